@@ -1,0 +1 @@
+"""Empty on purpose: every operator of the data model is a batch operator."""
