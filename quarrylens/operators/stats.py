@@ -807,7 +807,11 @@ def fisher_from_counts(spark, a: int, b: int, c: int, d: int, alternative: str =
 def ranked_counts(samples: DataFrame, keys=()) -> DataFrame:
     """(keys, group, value, count, rank, ties): mid-ranks over the pooled values."""
     keys = list(keys)
-    per_group = samples.groupBy(*keys, "group", "value").agg(F.count(F.lit(1)).alias("count"))
+    return rank_counts(samples.groupBy(*keys, "group", "value").agg(F.count(F.lit(1)).alias("count")), keys)
+
+
+def rank_counts(per_group: DataFrame, keys=()) -> DataFrame:
+    keys = list(keys)
     pooled = with_below(per_group.groupBy(*keys, "value").agg(F.sum("count").alias("count")), keys)
     side = pooled.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*keys, "value"])],
                          (F.col("below") + (F.col("count") + 1) / 2).alias("rank"), F.col("count").alias("ties"))
@@ -817,7 +821,7 @@ def ranked_counts(samples: DataFrame, keys=()) -> DataFrame:
     return per_group.join(side, cond).drop(*[f"__k{i}" for i in range(len(keys) + 1)])
 
 
-def _tie_sum() -> Column:
+def tie_sum() -> Column:
     """Sum of t^3 - t over distinct values, spread over the rows that share a value."""
     t = F.col("ties").cast("double")
     return F.sum(F.col("count") * (t * t - 1))
@@ -830,11 +834,11 @@ def mann_whitney(samples: DataFrame, a: str, b: str, alternative: str = "two-sid
     t = r.agg(
         F.sum(F.when(in_a, F.col("count"))).cast("double").alias("n_a"),
         F.sum(F.when(~in_a, F.col("count"))).cast("double").alias("n_b"),
-        F.sum(F.when(in_a, F.col("count") * F.col("rank"))).alias("ra"), _tie_sum().alias("ties"))
-    return _mann_whitney_from(t, alternative).withColumn("reject_null", F.col("p_value") < alpha)
+        F.sum(F.when(in_a, F.col("count") * F.col("rank"))).alias("ra"), tie_sum().alias("ties"))
+    return mann_whitney_from(t, alternative).withColumn("reject_null", F.col("p_value") < alpha)
 
 
-def _mann_whitney_from(t: DataFrame, alternative: str = "two-sided", keep=()) -> DataFrame:
+def mann_whitney_from(t: DataFrame, alternative: str = "two-sided", keep=()) -> DataFrame:
     na, nb = F.col("n_a"), F.col("n_b")
     n = na + nb
     u = F.col("ra") - na * (na + 1) / 2
@@ -848,11 +852,12 @@ def _mann_whitney_from(t: DataFrame, alternative: str = "two-sided", keep=()) ->
                     nb.cast("long").alias("n_b"), (1 - 2 * u / (na * nb)).alias("rank_biserial"))
 
 
-def kruskal_from(samples: DataFrame, keys=()) -> DataFrame:
+def kruskal_from(samples: DataFrame, keys=(), counted: bool = False) -> DataFrame:
+    """Samples, or with ``counted`` their value counts."""
     keys = list(keys)
-    r = ranked_counts(samples, keys)
+    r = rank_counts(samples, keys) if counted else ranked_counts(samples, keys)
     g = r.groupBy(*keys, "group").agg(F.sum("count").cast("double").alias("n"),
-                                      F.sum(F.col("count") * F.col("rank")).alias("rs"), _tie_sum().alias("ties"))
+                                      F.sum(F.col("count") * F.col("rank")).alias("rs"), tie_sum().alias("ties"))
     t = _agg(g, keys, F.sum("n").alias("total_n"), F.count(F.lit(1)).cast("double").alias("k"),
              F.sum(F.col("rs") ** 2 / F.col("n")).alias("h"), F.sum("ties").alias("ties"))
     n, k = F.col("total_n"), F.col("k")
@@ -882,7 +887,7 @@ def analyze_non_parametric(df: DataFrame, test_type: str, column_a=None, column_
         t = r.agg(
             F.coalesce(F.sum(F.when(F.col("group") == "pos", F.col("count") * F.col("rank"))), F.lit(0.0)).alias("wp"),
             F.coalesce(F.sum(F.when(F.col("group") == "neg", F.col("count") * F.col("rank"))), F.lit(0.0)).alias("wn"),
-            F.coalesce(F.sum("count"), F.lit(0)).cast("double").alias("n"), F.coalesce(_tie_sum(), F.lit(0.0)).alias("ties"))
+            F.coalesce(F.sum("count"), F.lit(0)).cast("double").alias("n"), F.coalesce(tie_sum(), F.lit(0.0)).alias("ties"))
         t = t.withColumn("n_pairs", diffs.agg(F.count(F.lit(1)).alias("x")).scalar())
         n, wp, wn = F.col("n"), F.col("wp"), F.col("wn")
         sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
