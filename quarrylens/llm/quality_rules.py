@@ -74,7 +74,7 @@ def rules() -> list[tuple[str, Column]]:
         ("few_words", c("n_words") < 50),
         ("repeated_words", 100 * c("n_repeat_words") > 50 * c("n_words")),
         ("symbols", 10 * c("n_symbols") > 3 * c("n_words")),
-        ("repeated_lines", 10 * c("n_dup_lines") > 3 * c("n_lines")),
+        ("repeated_lines", 10 * c("n_dup_lines") > 5 * c("n_lines")),
         ("shouting", 10 * c("n_shouted") > 5 * c("n_words")),
         ("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 40 * c("n_words"))),
     ]
@@ -183,7 +183,7 @@ f AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END)
           | (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
           | (CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END)
-          | (CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END)
+          | (CASE WHEN 10 * n_dup_lines > 5 * n_lines THEN 8 ELSE 0 END)
           | (CASE WHEN 10 * n_shouted > 5 * n_words THEN 16 ELSE 0 END)
           | (CASE WHEN word_chars < 2 * n_words OR word_chars > 40 * n_words THEN 32 ELSE 0 END) AS failed
   FROM m)

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import mixing, quality_rules, sharding
+from quarrylens.llm import decontamination, mixing, quality_rules, secret_scan, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_shard_slots": sharding.op1_shard_slots,
         "op2_rule_ledger": quality_rules.op2_rule_ledger,
+        "op3_winnowing": decontamination.op3_winnowing,
         "op4_pareto_mix": mixing.op4_pareto_mix,
+        "op8_secret_owners": secret_scan.op8_secret_owners,
+        "op9_simhash_golay": simhash.op9_simhash_golay,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_rule_ledger": quality_rules.OP2_SQL,
+        "op3_winnowing": decontamination.OP3_SQL,
         "op4_pareto_mix": mixing.OP4_SQL,
     }
