@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import decontamination, mixing, quality_rules, secret_scan, sharding, simhash
+from quarrylens.llm import (
+    decontamination,
+    mixing,
+    quality_rules,
+    secret_scan,
+    sharding,
+    simhash,
+    toxicity,
+)
 
 
 def queries() -> dict:
@@ -11,6 +19,7 @@ def queries() -> dict:
         "op2_rule_ledger": quality_rules.op2_rule_ledger,
         "op3_winnowing": decontamination.op3_winnowing,
         "op4_pareto_mix": mixing.op4_pareto_mix,
+        "op5_toxic_lexicon": toxicity.op5_toxic_lexicon,
         "op8_secret_owners": secret_scan.op8_secret_owners,
         "op9_simhash_golay": simhash.op9_simhash_golay,
     }
