@@ -9,6 +9,7 @@ from quarrylens.llm import (
     secret_scan,
     sharding,
     simhash,
+    surrogates,
     toxicity,
 )
 
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op5_toxic_lexicon": toxicity.op5_toxic_lexicon,
         "op8_secret_owners": secret_scan.op8_secret_owners,
         "op9_simhash_golay": simhash.op9_simhash_golay,
+        "op10_surrogates": surrogates.op10_surrogates,
     }
 
 
