@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import string
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +40,27 @@ def uniform(*parts: Column) -> Column:
     text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
     number = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
     return (number + F.lit(0.5)) / F.lit(float(2**52))
+
+
+def row_key(*columns: Column) -> list[Column]:
+    """Two hashes over the same values: equal rows agree, different ones practically never."""
+    return [
+        F.xxhash64(F.lit("a"), *columns).alias("__key_a"),
+        F.xxhash64(F.lit("b"), *columns).alias("__key_b"),
+    ]
+
+
+KEY = ["__key_a", "__key_b"]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the folder that all executors share, and read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
+        folder = tempfile.mkdtemp(prefix="quarrylens-")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -90,28 +90,22 @@ def _windows(tokens: DataFrame, lengths: list[int], keep: list[str]) -> DataFram
     return tokens.select(*keep, F.inline(F.concat(*found)))
 
 
-def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items and the sorted item ids as ``items``."""
-    source = docs.select("doc_id", "text")
+def _item_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(item_id, fp, length, window) and the lengths of items shorter than a window."""
     items = _tokens(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text"))
     items = items.where("n_words > 0")
     # At most WINDOW - 1 lengths.
-    short = [
-        r[0] for r in items.where(F.col("n_words") < WINDOW).select("n_words").distinct().collect()
-    ]
-    lengths = sorted(short)
-    item_windows = _windows(items, lengths, ["item_id", "n_words"])
-    item_windows = saved(
-        item_windows.where((F.col("length") == WINDOW) | (F.col("length") == F.col("n_words")))
-        .select("item_id", "fp", "length", "window")
-        .distinct()
-    )
-    known = item_windows.select("fp").distinct().withColumn("known", F.lit(True))
+    short = items.where(F.col("n_words") < WINDOW).select("n_words").distinct().collect()
+    lengths = sorted(r["n_words"] for r in short)
+    found = _windows(items, lengths, ["item_id", "n_words"])
+    whole = (F.col("length") == WINDOW) | (F.col("length") == F.col("n_words"))
+    return saved(found.where(whole).select("item_id", "fp", "length", "window").distinct()), lengths
 
-    # Documents: fingerprints only.
-    ids, n = F.col("ids"), F.col("n_words")
+
+def _fingerprint_hits(source: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """One row per document (doc_id, text_hash, n_words): does a fingerprint of it hit?"""
     prints = [window_minima(F.col("grams"))]
-    prints += [short_hashes(ids, n, length) for length in lengths]
+    prints += [short_hashes(F.col("ids"), F.col("n_words"), length) for length in lengths]
     tokens = _tokens(source.withColumn("row", F.monotonically_increasing_id()))
     spread = tokens.select(
         "row",
@@ -120,13 +114,19 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "n_words",
         F.explode_outer(F.array_distinct(F.concat(*prints))).alias("fp"),
     )
-    rows = saved(
-        spread.join(known, "fp", "left")
+    # The row number is used inside this one job only.
+    return (
+        spread.join(known.withColumn("known", F.lit(True)), "fp", "left")
         .groupBy("row", "doc_id", "text_hash", "n_words")
         .agg(F.bool_or(F.col("known").isNotNull()).alias("hit"))
+        .drop("row")
     )
 
-    # Texts with a hit: every distinct one once, word by word.
+
+def _hits_by_text(
+    source: DataFrame, rows: DataFrame, item_windows: DataFrame, lengths: list[int]
+) -> DataFrame:
+    """(text_hash, n_hit, items) of the texts that share a window with an item."""
     wanted = rows.where("hit").select("text_hash").distinct()
     texts = (
         source.withColumn("text_hash", F.xxhash64("text"))
@@ -145,7 +145,16 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = F.array_distinct(
         F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))
     )
-    by_text = by_text.select("text_hash", "items", F.size(covered).cast("long").alias("n_hit"))
+    return by_text.select("text_hash", "items", F.size(covered).cast("long").alias("n_hit"))
+
+
+def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document: n_words, n_hit and the sorted ids of the items as ``items``."""
+    source = docs.select("doc_id", "text")
+    item_windows, lengths = _item_windows(benchmark)
+    known = item_windows.select("fp").distinct()
+    rows = saved(_fingerprint_hits(source, known, lengths))
+    by_text = _hits_by_text(source, rows, item_windows, lengths)
     return rows.join(by_text, "text_hash", "left").select(
         "doc_id",
         F.col("n_words").cast("long").alias("n_words"),
@@ -154,6 +163,16 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that share no window with any item, with their own columns."""
+    source = docs.select("doc_id", "text")
+    item_windows, lengths = _item_windows(benchmark)
+    known = item_windows.select("fp").distinct()
+    rows = saved(_fingerprint_hits(source, known, lengths))
+    found = _hits_by_text(source, rows, item_windows, lengths).select("text_hash")
+    return docs.join(found, F.xxhash64(docs["text"]) == found["text_hash"], "left_anti")
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated_words(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")

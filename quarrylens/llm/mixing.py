@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylens.llm.common import saved, table, uniform, word_count
+from quarrylens.llm.common import KEY, row_key, saved, table, uniform, word_count
 
 BUCKETS = 4096
 CEILING = 3
@@ -64,13 +64,15 @@ def source_targets(sized: DataFrame, ceiling: int = CEILING) -> DataFrame:
     return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def pareto_mix(docs: DataFrame, ceiling: int = CEILING, seed: str = SEED) -> DataFrame:
+def pareto_mix(
+    docs: DataFrame, ceiling: int = CEILING, seed: str = SEED, keep: list[str] = ()
+) -> DataFrame:
     """One row per document with ``copies`` (certain whole copies) and ``part`` (words of the
     drawn copy), so that a source's taken words equal its rounded target."""
     sized = saved(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn(
-            "u", uniform(F.col("doc_id"), F.lit(seed))
-        )
+        docs.select(
+            "doc_id", "source", *keep, word_count(F.col("text")).alias("size")
+        ).withColumn("u", uniform(F.col("doc_id"), F.lit(seed)))
     )
     due = F.round("target").cast("long")
     quotas = source_targets(sized, ceiling).select(
@@ -112,7 +114,7 @@ def pareto_mix(docs: DataFrame, ceiling: int = CEILING, seed: str = SEED) -> Dat
         & (ranked["bucket"] == cells["c_bucket"]),
         "left",
     )
-    columns = ["doc_id", "source", "size", "source_size", "target", "copies"]
+    columns = ["doc_id", *keep, "source", "size", "source_size", "target", "copies"]
     edge = (F.col("begin") < F.col("rest")) & (F.col("rest") < F.col("end"))
     inside = placed.where(~F.coalesce(edge, F.lit(False))).select(
         *columns,
@@ -130,6 +132,22 @@ def pareto_mix(docs: DataFrame, ceiling: int = CEILING, seed: str = SEED) -> Dat
     return inside.unionByName(cut)
 
 
+def mixed_documents(docs: DataFrame, ceiling: int = CEILING, seed: str = SEED) -> DataFrame:
+    """The mix itself: each document as often as it is taken. Documents stay whole, so the one
+    at the boundary of a source is in if at least half of its words are due."""
+    keyed = docs.withColumns(
+        dict(zip(KEY, row_key(*[F.col(f"`{c}`") for c in docs.columns]), strict=True))
+    )
+    whole = F.col("copies") + F.when(
+        (F.col("size") > 0) & (2 * F.col("part") >= F.col("size")), 1
+    ).otherwise(0)
+    # Equal rows stand for each other: their copies are added up and dealt to one of them.
+    times = pareto_mix(keyed, ceiling, seed, KEY).groupBy(*KEY).agg(F.sum(whole).alias("__times"))
+    taken = keyed.dropDuplicates(KEY).join(times.where("__times > 0"), KEY)
+    copies = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    return copies.select([f"`{c}`" for c in docs.columns])
+
+
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = pareto_mix(table(spark, sf_dir, "documents"))
     return mixed.select(

@@ -115,6 +115,14 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return measured.withColumn("failed", failed.cast("long"))
 
 
+def accepted(docs: DataFrame, policy: str) -> DataFrame:
+    """The documents that the policy keeps, with their own columns only."""
+    taken = {*MEASURES, "failed"}
+    aside = docs.select([F.col(f"`{c}`").alias(f"__own_{c}" if c in taken else c) for c in docs.columns])
+    kept = ledger(aside).where(~rejected(policy))
+    return kept.select([F.col(f"`__own_{c}`" if c in taken else f"`{c}`").alias(c) for c in docs.columns])
+
+
 def rejected(policy: str) -> Column:
     return F.col("failed").bitwiseAND(F.lit(mask(policy))) != 0
 

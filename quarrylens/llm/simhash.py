@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import LOWER_ASCII, saved, table
+from quarrylens.llm.common import KEY, LOWER_ASCII, row_key, saved, table
 from quarrylens.llm.components import components
 
 SHINGLE = 3
@@ -67,10 +67,10 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): ``fp`` is the fingerprint as a signed long."""
-    source = docs.select("doc_id", "text")
-    id_type = source.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, keep: list[str], size: int = SHINGLE) -> DataFrame:
+    """The columns ``keep`` and ``fp``, the fingerprint as a signed long."""
+    source = docs.select(*keep, "text")
+    kept = [f"{c} {source.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches):
         import pyarrow as pa
@@ -79,10 +79,10 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             found = [fingerprint(t, size) for t in batch.column("text").to_pylist()]
             signed = np.array(found, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(signed)], names=["doc_id", "fp"]
+                [*(batch.column(c) for c in keep), pa.array(signed)], names=[*keep, "fp"]
             )
 
-    return source.mapInArrow(run, f"doc_id {id_type}, fp long")
+    return source.mapInArrow(run, ", ".join([*kept, "fp long"]))
 
 
 # ---- Golay keys -----------------------------------------------------------------------
@@ -222,19 +222,36 @@ def golay_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(linked, "u long, v long")
 
 
-def near_duplicate_groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id): the least document id that links of at most ``max_bits``
-    differing bits reach."""
-    prints = saved(fingerprints(docs))
+def near_duplicate_groups(
+    docs: DataFrame, keep: list[str] = (), max_bits: int = MAX_BITS
+) -> DataFrame:
+    """(doc_id, fp, component_id and the columns ``keep``): the component is the least document
+    id that links of at most ``max_bits`` differing bits reach; ``group`` names it by the least
+    fingerprint, also where ids are null."""
+    prints = saved(fingerprints(docs, ["doc_id", *keep]))
     least = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = saved(components(golay_links(least.select("fp"), max_bits)))
     joined = least.join(roots, least["fp"] == roots["node"])
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = joined.join(named, "root").select("fp", "component_id")
+    moved = joined.join(named, "root").select("fp", "root", "component_id")
     names = least.join(moved, "fp", "left").select(
-        "fp", F.coalesce("component_id", "least").alias("component_id")
+        "fp",
+        F.when(F.col("root").isNull(), F.col("least"))
+        .otherwise(F.col("component_id"))
+        .alias("component_id"),
+        F.coalesce("root", "fp").alias("group"),
     )
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(names, "fp").select("doc_id", *keep, "fp", "component_id", "group")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each group: the one with the least id (nulls last), whole and once."""
+    keyed = docs.withColumns(dict(zip(KEY, row_key(F.col("doc_id"), F.col("text")), strict=True)))
+    groups = near_duplicate_groups(keyed, KEY)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("first")
+    chosen = groups.groupBy("group").agg(first).select(*[f"first.{k}" for k in KEY])
+    kept = keyed.join(chosen, KEY, "left_semi").dropDuplicates(KEY)
+    return kept.select([f"`{c}`" for c in docs.columns])
 
 
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
