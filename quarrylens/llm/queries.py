@@ -9,6 +9,8 @@ from quarrylens.llm import (
     secret_scan,
     sharding,
     simhash,
+    substring_automata,
+    suffix_array,
     surrogates,
     toxicity,
 )
@@ -21,6 +23,8 @@ def queries() -> dict:
         "op3_winnowing": decontamination.op3_winnowing,
         "op4_pareto_mix": mixing.op4_pareto_mix,
         "op5_toxic_lexicon": toxicity.op5_toxic_lexicon,
+        "op6_suffix_columns": suffix_array.op6_suffix_columns,
+        "op7_suffix_automata": substring_automata.op7_suffix_automata,
         "op8_secret_owners": secret_scan.op8_secret_owners,
         "op9_simhash_golay": simhash.op9_simhash_golay,
         "op10_surrogates": surrogates.op10_surrogates,

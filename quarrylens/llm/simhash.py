@@ -241,6 +241,8 @@ def near_duplicate_groups(
         .alias("component_id"),
         F.coalesce("root", "fp").alias("group"),
     )
+    # Written first, so that the last join stands alone and a hot fingerprint can be split.
+    names = saved(names)
     return prints.join(names, "fp").select("doc_id", *keep, "fp", "component_id", "group")
 
 
