@@ -128,11 +128,11 @@ def _hits_by_text(
 ) -> DataFrame:
     """(text_hash, n_hit, items) of the texts that share a window with an item."""
     wanted = rows.where("hit").select("text_hash").distinct()
+    # Copies are folded before the shuffle, so a text of many copies arrives once per task.
     texts = (
-        source.withColumn("text_hash", F.xxhash64("text"))
-        .join(wanted, "text_hash", "left_semi")
-        .groupBy("text_hash")
+        source.groupBy(F.xxhash64("text").alias("text_hash"))
         .agg(F.first("text").alias("text"))
+        .join(wanted, "text_hash", "left_semi")
     )
     places = _windows(_tokens(texts), lengths, ["text_hash"])
     hits = places.join(item_windows, ["fp", "length", "window"]).select(
