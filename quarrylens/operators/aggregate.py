@@ -13,7 +13,6 @@ from quarrylens.operators.ordered import Key, Ordered, attach_totals, fits_one_t
 from quarrylens.operators.quantiles import exact_quantiles
 
 FUNCTIONS = {"count", "sum", "avg", "median", "min", "max", "distinct"}
-MAX_PIVOT_KEYS = 1000
 
 
 def _specs(df: DataFrame, keys: list[str], aggregations) -> list[dict]:
@@ -125,8 +124,13 @@ def group_statistics(df: DataFrame, group_by, include_null_keys: bool = True) ->
 
 def pivot_dataframe(df: DataFrame, rows=None, columns=None, values=None, include_null_keys: bool = True,
                     sort_dimensions: bool = False, fill_value=None, add_row_totals: bool = False,
-                    add_column_totals: bool = False, total_label: str = "Total") -> DataFrame:
-    """Named ``alias__key1__key2``. Totals are recomputed from the rows, not from cells."""
+                    add_column_totals: bool = False, total_label: str = "Total",
+                    max_columns: int | None = None) -> DataFrame:
+    """Named ``alias__key1__key2``. Totals are recomputed from the rows, not from cells.
+
+    The distinct column keys become columns, so they come to the driver; ``max_columns`` is the
+    caller's own bound on them. Keys whose names coincide are refused, never merged.
+    """
     rows, columns = list(rows or []), list(columns or [])
     require(len(rows) == len(set(rows)) and len(columns) == len(set(columns)), "DUPLICATE_DIMENSION",
             "Dimensions may not repeat.")
@@ -135,24 +139,35 @@ def pivot_dataframe(df: DataFrame, rows=None, columns=None, values=None, include
     require_columns(df, rows + columns)
     specs = _specs(df, rows + columns, values)
     work = _drop_null_keys(df, rows + columns, include_null_keys)
-    key_text = F.concat_ws("__", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns])
+    key = F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)]) if columns else None
 
     names = []
     if columns:
-        found = work.select(key_text.alias("k")).distinct().limit(MAX_PIVOT_KEYS + 1).collect()
-        require(len(found) <= MAX_PIVOT_KEYS, "TOO_MANY_PIVOT_COLUMNS", "Pivot produces too many columns.")
-        names = sorted(r["k"] for r in found)
+        distinct = work.select(key.alias("k")).distinct()
+        found = [tuple(r["k"]) for r in (distinct if max_columns is None else distinct.limit(max_columns + 1)).collect()]
+        require(max_columns is None or len(found) <= max_columns, "TOO_MANY_PIVOT_COLUMNS",
+                "The column dimension has more keys than the caller allows.")
+        named = [("__".join("None" if v is None else v for v in values), values) for values in found]
+        names = sorted(named, key=lambda item: item[0])
+        labels = [label for label, _ in names]
+        require(len(labels) == len(set(labels)), "PIVOT_COLUMN_COLLISION",
+                "Different column keys lead to one column name.",
+                names=sorted({x for x in labels if labels.count(x) > 1}))
 
     def block(label_rows: bool) -> DataFrame:
         """One level of totals: grouped by the row dimensions, or by none of them."""
         keys = [] if label_rows else rows
-        frame = work.withColumn("__k", key_text) if columns else work
+        frame = work.withColumn("__k", key) if columns else work
         pieces = None
         if columns:
             cells = _grouped(frame, keys + ["__k"], specs)
+            def cell(values) -> Column:
+                parts = [F.lit(v).cast("string").alias(f"k{i}") for i, v in enumerate(values)]
+                return F.col("__k").eqNullSafe(F.struct(*parts))
+
             pick = [
-                F.max(F.when(F.col("__k") == k, F.col(s["alias"]))).alias(f"{s['alias']}__{k}")
-                for s in specs for k in names
+                F.max(F.when(cell(values), F.col(s["alias"]))).alias(f"{s['alias']}__{label}")
+                for s in specs for label, values in names
             ]
             pieces = cells.groupBy(*keys).agg(*pick) if keys else cells.agg(*pick)
         if not columns or add_column_totals:

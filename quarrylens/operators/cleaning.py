@@ -107,7 +107,7 @@ def apply_imputation(df: DataFrame, strategy: str, columns: list[str], limit: in
         if strategy != "backward_fill":
             ordered.running(__past=("last", known))
         if strategy != "forward_fill":
-            ordered.running(reverse=True, __next=("last", known))
+            ordered.running(True, __next=("last", known))
         rn = F.col("__rn")
         past_gap = rn - F.col("__past")["at"] if strategy != "backward_fill" else None
         next_gap = F.col("__next")["at"] - rn if strategy != "forward_fill" else None

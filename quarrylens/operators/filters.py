@@ -138,7 +138,7 @@ def slicer_values(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def apply_sort(df: DataFrame, sort_by: list, nulls: str = "last") -> DataFrame:
-    require(bool(sort_by), "SORT_REQUIRED", "At least one sort column is required.")
+    require(bool(sort_by), "SORT_KEYS_REQUIRED", "Sorting needs a column to sort by.")
     require(nulls in ("first", "last"), "INVALID_NULL_PLACEMENT", "nulls must be first or last.")
     keys = order_keys(sort_by, nulls)
     names = [k.column for k in keys]
@@ -156,14 +156,19 @@ def preview(df: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
 
 
 def table_view(df: DataFrame, columns: list[str] | None = None, conditions: list[dict] | None = None,
-               sort_by: list | None = None, page: int = 1, page_size: int = 25, max_rows: int = 1000) -> DataFrame:
+               sort_by: list | None = None, page: int = 1, page_size: int = 25,
+               max_rows: int | None = None) -> DataFrame:
+    """A page of the filtered table in the given order, else in row order. ``max_rows`` is the
+    caller's own bound on how far paging goes."""
     require(page >= 1 and page_size >= 1, "INVALID_PAGE", "page and page_size start at 1.")
     if conditions:
         df = apply_row_filter(df, conditions)
     if sort_by:
         df = apply_sort(df, sort_by)
+    elif ROW_ID in df.columns:
+        df = df.orderBy(ROW_ID)
     start = (page - 1) * page_size
-    take = max(0, min(page_size, max_rows - start))
+    take = page_size if max_rows is None else max(0, min(page_size, max_rows - start))
     keep = require_columns(df, columns) if columns else df.columns
     return df.offset(start).limit(take).select(*keep)
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrylens.errors import require
 from quarrylens.ids import ROW_ID
 from quarrylens.session import cut_lineage, max_group_rows
 
@@ -40,15 +41,22 @@ class Key:
 
 
 def order_keys(order_by, nulls: str = "last", default_ascending: bool = True) -> list[Key]:
-    """Accept ``"c"``, ``{"column": "c", "ascending": False}`` or ``Key``."""
+    """Accept ``"c"``, ``{"column": "c", "direction": "desc"}``, ``{"column": "c", "ascending":
+    False}`` or ``Key``."""
     keys = []
     for item in order_by or []:
         if isinstance(item, Key):
             keys.append(item)
-        elif isinstance(item, str):
-            keys.append(Key(item, default_ascending, nulls))
-        else:
-            keys.append(Key(item["column"], bool(item.get("ascending", default_ascending)), nulls))
+            continue
+        spec = {"column": item} if isinstance(item, str) else dict(item)
+        unknown = set(spec) - {"column", "direction", "ascending", "nulls"}
+        require(not unknown, "UNKNOWN_PARAMETER", "A sort key does not take these parameters.",
+                parameters=sorted(unknown))
+        direction = spec.get("direction")
+        require(direction in (None, "asc", "desc"), "INVALID_SORT_DIRECTION", "direction is asc or desc.",
+                direction=direction)
+        ascending = direction == "asc" if direction else bool(spec.get("ascending", default_ascending))
+        keys.append(Key(spec["column"], ascending, spec.get("nulls") or nulls))
     return keys
 
 
@@ -97,7 +105,7 @@ class Ordered:
         w = Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))
         return w.orderBy(*[k.expr(reverse) for k in self.order])
 
-    def running(self, reverse: bool = False, **specs) -> "Ordered":
+    def running(self, reverse: bool = False, /, **specs) -> "Ordered":
         """Add running columns, each ``name=(kind, Column)``.
 
         sum, count, max, min and last (non-null) include the current row; ``prev`` is
@@ -166,7 +174,7 @@ class Ordered:
         self._df = joined.withColumns(merged).select(*keep)
         return self
 
-    def framed(self, before: int, after: int, **exprs) -> "Ordered":
+    def framed(self, before: int, after: int, /, **exprs) -> "Ordered":
         """Add columns over the frame of ``before`` preceding and ``after`` following rows.
 
         ``exprs`` maps a name to a function from a bounded frame to a Column. In the

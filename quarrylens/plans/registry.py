@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylens.queries import algebra
+from quarrylens.queries.registry import QUERIES, SQL
+
+MODULES = [algebra]
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarrylens.operators.stats import summary_table
+    """Column profiles, quality totals and the measure by month of one table, in long form."""
+    from quarrylens.plans.full_run import summary_table
 
-    return summary_table(spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return summary_table(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderdate", "o_totalprice")
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
