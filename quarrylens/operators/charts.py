@@ -69,14 +69,16 @@ def _timeline(df: DataFrame, x: str, series: str | None, unit: str, fill: bool)
     g = df.groupBy(*keys, F.date_trunc(unit, F.col(x)).alias(x)).agg(F.sum("value").alias("value"))
     ends = [F.min(x).alias("a"), F.max(x).alias("b")]
     spans = g.groupBy(*keys).agg(*ends) if keys else g.agg(*ends)
-    full = spans.select(*[F.col(k).alias(f"__{k}") for k in keys],
+    # Both sides come from g, so each gets names of its own before they meet.
+    full = spans.select(*[F.col(k).alias("__series") for k in keys],
                         F.explode(F.sequence("a", "b", F.expr(_STEP[unit]))).alias("__x"))
-    cond = full["__x"] == g[x]
+    seen = g.select(*[F.col(k).alias("__seen_series") for k in keys], F.col(x).alias("__seen_x"), "value")
+    cond = F.col("__x") == F.col("__seen_x")
     if series:
-        cond = cond & full[f"__{series}"].eqNullSafe(g[series])
-    out = full.join(g, cond, "left")
-    value = F.coalesce(g["value"], F.lit(0.0)) if fill else g["value"]
-    return out.select(F.col("__x").alias(x), *[F.col(f"__{k}").alias(k) for k in keys], value.alias("value"))
+        cond = cond & F.col("__series").eqNullSafe(F.col("__seen_series"))
+    value = F.coalesce(F.col("value"), F.lit(0.0)) if fill else F.col("value")
+    return full.join(seen, cond, "left").select(
+        F.col("__x").alias(x), *[F.col("__series").alias(k) for k in keys], value.alias("value"))
 
 
 def build_line_chart(df: DataFrame, x_column: str, y_column: str, series_column=None, aggregation: str = "sum",
@@ -185,14 +187,15 @@ def build_histogram(df: DataFrame, value_column: str, group_column=None, bins: i
 
 
 def build_scatter_bubble(df: DataFrame, x_column: str, y_column: str, size_column=None, group_column=None,
-                         max_points: int = 5000) -> DataFrame:
-    """The plotted points: first ``max_points`` complete rows, bubble sizes scaled to 30..300."""
+                         max_points: int | None = None) -> DataFrame:
+    """The plotted points: all complete rows, bubble sizes scaled to 30..300. ``max_points`` is
+    the caller's own bound: the first so many rows."""
     cols = [c for c in (x_column, y_column, size_column, group_column) if c]
     require_columns(df, cols)
     work = df.dropna(subset=cols)
-    if ROW_ID in df.columns:
-        work = work.orderBy(ROW_ID)
-    work = work.limit(max_points).select(*cols)
+    if max_points is not None:
+        work = (work.orderBy(ROW_ID) if ROW_ID in df.columns else work).limit(max_points)
+    work = work.select(*cols)
     if size_column:
         raw = F.abs(F.col(size_column).cast("double"))
         work = attach_totals(work, [], __a=F.min(raw), __b=F.max(raw))
@@ -207,13 +210,15 @@ def scatter_statistics(df: DataFrame, x_column: str, y_column: str) -> DataFrame
     return analyze_numeric_relationships(df, [x_column, y_column], rank_methods=False)
 
 
-def build_box_violin(df: DataFrame, value_column: str, group_column=None, max_groups: int = 40) -> DataFrame:
+def build_box_violin(df: DataFrame, value_column: str, group_column=None, max_groups: int | None = None) -> DataFrame:
     v = F.col(value_column).cast("double")
     keys = [group_column] if group_column else []
     work = df.dropna(subset=[value_column, *keys]).select(*keys, v.alias("value"))
     if keys:
-        levels = len(work.select(*keys).distinct().limit(max_groups + 1).collect())
-        require(levels <= max_groups, "TOO_MANY_GROUPS", "Group count exceeds max_groups.", groups=levels)
+        if max_groups is not None:
+            levels = work.select(*keys).distinct().limit(max_groups + 1).count()
+            require(levels <= max_groups, "TOO_MANY_GROUPS", "There are more groups than the caller allows.",
+                    groups=levels)
         work = work.withColumnRenamed(group_column, "group")
     else:
         work = work.withColumn("group", F.lit(value_column))

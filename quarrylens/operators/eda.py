@@ -196,15 +196,15 @@ def _eligible(long: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
 
 def analyze_numeric_categorical_relationships(df: DataFrame, numeric_columns_=None, categorical_columns_=None,
-                                              max_groups: int = 50, min_group_size: int = 2) -> DataFrame:
+                                              max_groups: int | None = None, min_group_size: int = 2) -> DataFrame:
     numbers = S._numeric(df, numeric_columns_)
     cats = require_columns(df, categorical_columns_) if categorical_columns_ else categorical_columns(df)
     require(bool(cats), "NO_CATEGORICAL_COLUMNS", "No categorical columns available.")
     levels = level_counts(df, cats)
-    usable = [c for c in cats if 2 <= levels[c] <= max_groups]
+    usable = [c for c in cats if 2 <= levels[c] and (max_groups is None or levels[c] <= max_groups)]
     status = df.sparkSession.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("numeric"), F.lit(c).alias("categorical"), F.lit(levels[c]).alias("level_count"),
-                 F.lit("insufficient_groups" if levels[c] < 2 else "too_many_groups" if levels[c] > max_groups
+                 F.lit("insufficient_groups" if levels[c] < 2 else "too_many_groups" if c not in usable
                        else "ok").alias("status")) for n in numbers for c in cats])))
     if not usable:
         return status
@@ -302,7 +302,7 @@ def group_summaries(df: DataFrame, value_column: str, group_column: str, min_gro
 
 
 def pairwise_comparisons(df: DataFrame, value_column: str, group_column: str, alpha: float = 0.05,
-                         min_group_size: int = 2, max_groups: int = 30) -> DataFrame:
+                         min_group_size: int = 2, max_groups: int | None = None) -> DataFrame:
     """Welch, Mann-Whitney and Hedges g for every pair of groups, with Holm adjustment.
 
     The number of groups is bounded, so pairs are formed between group summaries and
@@ -311,8 +311,10 @@ def pairwise_comparisons(df: DataFrame, value_column: str, group_column: str, al
     s = S.grouped_samples(df, value_column, group_column)
     counts = s.groupBy("group", "value").agg(F.count(F.lit(1)).alias("count"))
     g = S.group_moments(s).filter(F.col("n") >= min_group_size)
-    names = sorted(r["group"] for r in g.select("group").limit(max_groups + 1).collect())
-    require(len(names) <= max_groups, "TOO_MANY_GROUPS", "Group count exceeds max_groups.", groups=len(names))
+    found = g.select("group") if max_groups is None else g.select("group").limit(max_groups + 1)
+    names = sorted(r["group"] for r in found.collect())
+    require(max_groups is None or len(names) <= max_groups, "TOO_MANY_GROUPS",
+            "There are more groups than the caller allows.", groups=len(names))
     require(len(names) >= 2, "INSUFFICIENT_ELIGIBLE_GROUPS", "Fewer than two groups meet min_group_size.")
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     table = df.sparkSession.range(1).select(F.inline(F.array(*[
@@ -373,7 +375,7 @@ def analyze_group_comparison(df: DataFrame, value_column: str, group_column: str
 def detect_findings(df: DataFrame, high_missing_threshold: float = 0.2, strong_correlation_threshold: float = 0.8,
                     strong_categorical_threshold: float = 0.5, outlier_rate_threshold: float = 0.05,
                     imbalance_threshold: float = 0.9, id_like_threshold: float = 0.98,
-                    max_findings: int | None = 50) -> DataFrame:
+                    max_findings: int | None = None) -> DataFrame:
     """Ranked list (code, severity, category, columns, value, priority_score).
 
     Scores and severities are fixed values of the findings catalogue.
@@ -444,7 +446,7 @@ def detect_findings(df: DataFrame, high_missing_threshold: float = 0.2, strong_c
                        "STRONG_NUMERIC_RELATIONSHIP", F.when(a >= 0.95, "high").otherwise("medium"), "relationship",
                        both, F.col("correlation"), 55 + 40 * a))
     levels = level_counts(df, cats) if cats else {}
-    few = [x for x in cats if levels[x] <= 30]
+    few = [x for x in cats if levels[x] >= 2]
     if len(few) >= 2:
         v = S.chi_square_from(_cells(df, S._pairs(few)), _PAIR)
         out.append(add(v.filter((F.col("row_levels") >= 2) & (F.col("column_levels") >= 2) & (F.col("n") >= 4)
@@ -475,7 +477,7 @@ def generate_eda_report(df: DataFrame) -> dict[str, DataFrame]:
         out["correlations"] = explore_correlations(df, numbers, ("pearson", "spearman"))
         out["numeric_relationships"] = analyze_numeric_relationships(df, numbers, rank_methods=False)
     if len(cats) >= 2:
-        few = [c for c, n in level_counts(df, cats).items() if n <= 50]
+        few = [c for c, n in level_counts(df, cats).items() if n >= 2]
         if len(few) >= 2:
             out["categorical_relationships"] = analyze_categorical_relationships(df, few)
     if numbers and cats:

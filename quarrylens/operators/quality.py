@@ -111,14 +111,21 @@ def detect_basic_schema(df: DataFrame, counts: DataFrame | None = None) -> DataF
     )
 
 
-def sample_values(df: DataFrame, size: int = 5, read_rows: int = 1000) -> DataFrame:
-    """Example values per column from a short read of the head."""
-    head = df.limit(read_rows)
-    parts = [
-        F.struct(F.lit(c).alias("column"), F.slice(F.collect_list(F.col(c).cast("string")), 1, size)
-                 .alias("sample_values")) for c in data_columns(df)
-    ]
-    return head.agg(F.array(*parts).alias("a")).select(F.inline("a"))
+def sample_values(df: DataFrame, size: int = 5) -> DataFrame:
+    """Up to ``size`` non-null values per column, wherever in the table they are: a bounded
+    top-n by row id, or a limit that stops reading once it has enough."""
+    def some(c: str) -> DataFrame:
+        known = df.filter(F.col(c).isNotNull())
+        known = known.orderBy(ROW_ID) if ROW_ID in df.columns else known
+        return known.limit(size).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+
+    found = reduce(lambda a, b: a.union(b), [some(c) for c in data_columns(df)])
+    lists = found.groupBy("column").agg(F.collect_list("value").alias("found"))
+    names = F.array(*[F.lit(c) for c in data_columns(df)])
+    every = df.sparkSession.range(1).select(F.explode(names).alias("name"))
+    return every.join(lists, F.col("name") == F.col("column"), "left").select(
+        F.col("name").alias("column"),
+        F.coalesce("found", F.array().cast("array<string>")).alias("sample_values"))
 
 
 # ---------------------------------------------------------------- semantic types
@@ -383,7 +390,7 @@ def validate_dataset(df: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def _unique_failures(df: DataFrame, spec: dict) -> DataFrame:
-    c = F.col(spec["column"])
+    c = F.col(spec["column"]) if spec["column"] in df.columns else F.lit(None).cast("string")
     base = df
     if bool(spec.get("ignore_nulls", True)):
         base = df.filter(c.isNotNull() & (c.cast("string") != ""))

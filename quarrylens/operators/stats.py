@@ -246,14 +246,18 @@ def analyze_correlations(df: DataFrame, columns=None, method: str = "pearson", m
                       F.abs(value).alias("absolute_correlation"), F.col("n").alias("pairwise_count"))
 
 
-def strongest_pairs(correlations: DataFrame, top: int = 20, sign: str = "any") -> DataFrame:
+def strongest_pairs(correlations: DataFrame, top: int | None = None, sign: str = "any") -> DataFrame:
     c = F.col("correlation")
     t = correlations.filter(c.isNotNull())
+
+    def cut(ordered: DataFrame) -> DataFrame:
+        return ordered if top is None else ordered.limit(top)
+
     if sign == "positive":
-        return t.filter(c > 0).orderBy(F.desc("correlation")).limit(top)
+        return cut(t.filter(c > 0).orderBy(F.desc("correlation")))
     if sign == "negative":
-        return t.filter(c < 0).orderBy(F.asc("correlation")).limit(top)
-    return t.orderBy(F.desc("absolute_correlation"), "column_a", "column_b").limit(top)
+        return cut(t.filter(c < 0).orderBy(F.asc("correlation")))
+    return cut(t.orderBy(F.desc("absolute_correlation"), "column_a", "column_b"))
 
 
 def correlation_matrix(correlations: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.errors import EngineError
 from quarrylens.ids import ROW_ID, data_columns, numeric_columns
 from quarrylens.operators.business import build_bi_report
 from quarrylens.operators.charts import recommend_charts
@@ -18,6 +19,10 @@ from quarrylens.plans.recipe import safe_clean_frame
 from quarrylens.sources.versions import VersionStore
 
 
+# Codes of a table that fits no chart.
+NO_CHART = {"INSUFFICIENT_COLUMNS", "INVALID_INTENT"}
+
+
 def analysis_sections(df: DataFrame) -> dict[str, DataFrame]:
     """Every section of the analysis of one table, lazy, by name."""
     body = df.drop(ROW_ID)
@@ -28,8 +33,10 @@ def analysis_sections(df: DataFrame) -> dict[str, DataFrame]:
     if data_columns(body):
         try:
             out["recommendations"] = recommend_charts(body)
-        except Exception:  # no chart fits the schema
-            pass
+        except EngineError as exc:
+            # A table whose columns fit no chart has no recommendations; all else is an error.
+            if exc.code not in NO_CHART:
+                raise
     out.update({f"business.{k}": v for k, v in build_bi_report(body).items()})
     return out
 
@@ -40,10 +47,14 @@ def run_full_analysis(store: VersionStore, df: DataFrame, dataset: str, output:
     Sections are independent jobs, submitted from a few driver threads so that small ones
     fill the gaps of large ones. Both versions and the cleaning step go to the lineage.
     """
-    first = store.write(df, dataset, step="import")
+    first_health = quality_frames(df, keep=False)["health"].first().asDict()
+    first = store.write(df, dataset, step="import", health_score=first_health["score"])
     raw = store.read(dataset, first["version_number"])
-    before = quality_frames(raw, keep=False)["health"].first().asDict()
-    second = store.write(safe_clean_frame(raw), dataset, step="safe_clean", parameters={"before": before["score"]})
+    before = first_health
+    cleaned = safe_clean_frame(raw)
+    clean_health = quality_frames(cleaned, keep=False)["health"].first().asDict()
+    second = store.write(cleaned, dataset, step="safe_clean", parameters={"before": before["score"]},
+                         health_score=clean_health["score"])
     clean = store.read(dataset, second["version_number"])
     sections = analysis_sections(clean)
 

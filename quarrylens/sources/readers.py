@@ -175,7 +175,7 @@ def detect_file_types(spark: SparkSession, path: str) -> DataFrame:
 
 def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
     """Route one path to its reader; a Parquet signature that disagrees with the name is an error."""
-    kinds = detect_file_types(spark, path).groupBy("file_type").agg(F.min("matches").alias("ok")).limit(8).collect()
+    kinds = detect_file_types(spark, path).groupBy("file_type").agg(F.min("matches").alias("ok")).collect()
     found = {r["file_type"]: r["ok"] for r in kinds if r["file_type"] is not None}
     require(bool(found), "UNSUPPORTED_FILE_TYPE", "No supported file found.", path=path)
     require(all(found.values()), "FILE_TYPE_MISMATCH", "File content does not match its extension.", path=path)

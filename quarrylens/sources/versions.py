@@ -117,10 +117,12 @@ def version_diff(before: DataFrame, after: DataFrame, row_id: str = ROW_ID) -> D
         F.inline("x"), "removed_rows", "added_rows")
 
 
-def export_table(df: DataFrame, path: str, fmt: str = "csv", max_rows: int = 50_000) -> DataFrame:
-    """Report sink: capped rows, and text that a spreadsheet would run gets a quote in front."""
+def export_table(df: DataFrame, path: str, fmt: str = "csv", max_rows: int | None = None) -> DataFrame:
+    """Report sink: all rows (``max_rows`` is the caller's own bound); text that a spreadsheet
+    would run gets a quote in front."""
     require(fmt in ("csv", "parquet"), "UNSUPPORTED_FORMAT", "csv or parquet.")
-    out = safe_cells(df).limit(max_rows)
+    out = safe_cells(df)
+    out = out if max_rows is None else out.limit(max_rows)
     writer = out.write.mode("overwrite")
     writer.option("header", "true").csv(path) if fmt == "csv" else writer.parquet(path)
     return out
