@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.queries import algebra, cleaning
+from quarrylens.queries import algebra, cleaning, measures
 from quarrylens.queries.registry import QUERIES, SQL
 
-MODULES = [algebra, cleaning]
+MODULES = [algebra, cleaning, measures]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
