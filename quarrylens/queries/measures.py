@@ -167,12 +167,20 @@ def _(t):
     return rounded(out.withColumns({c: F.round(c, 2) for c in ("actual", "variance")}), 4)
 
 
-@query("k9_alert_rules")
+@query(
+    "k9_alert_rules",
+    "WITH s AS (SELECT o_orderstatus AS region, sum(o_totalprice) AS v FROM orders GROUP BY 1), r AS (SELECT region, v, 0::BIGINT AS rule_index, "
+    "'above' AS rule_type, v > 200000000 AS triggered FROM s UNION ALL SELECT region, v, 1, 'outside_range', v < 0 OR v > 1 FROM s WHERE region = 'F') "
+    "SELECT region, round(v, 2) AS value, rule_index, rule_type, triggered, CASE WHEN triggered THEN 'triggered' ELSE 'condition_not_met' END AS reason FROM r",
+)
 def _(t):
     snapshots = t("orders").groupBy(F.col("o_orderstatus").alias("region")).agg(F.sum("o_totalprice").alias("value"))
     snapshots = snapshots.withColumn("kpi_slug", F.lit("sales"))
-    rule = {"name": "big", "kpi_slug": "sales", "metric": "value", "operator": "gt", "threshold": 1000000}
-    return kp.evaluate_rules(snapshots, [rule])
+    rules = [
+        {"rule_type": "above", "kpi_slug": "sales", "threshold": 200000000},
+        {"rule_type": "outside_range", "kpi_slug": "sales", "lower_bound": 0, "upper_bound": 1, "dimensions": {"region": "F"}},
+    ]
+    return rounded(kp.evaluate_rules(snapshots, rules).drop("kpi_slug"), 2)
 
 
 @query(
@@ -369,9 +377,8 @@ def _(t):
 
 @query("b3_project")
 def _(t):
-    frames = bu.build_project(with_row_id(_sales(t), "order_id"), "retail")
-    name = "kpis" if "kpis" in frames else sorted(frames)[0]
-    return frames[name]
+    frames = bu.build_project(with_row_id(_sales(t), "order_id"), "superstore_sales_dashboard")
+    return frames["kpis"]
 
 
 @query("b4_rfm")
