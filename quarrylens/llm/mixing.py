@@ -138,9 +138,9 @@ def mixed_documents(docs: DataFrame, ceiling: int = CEILING, seed: str = SEED) -
     keyed = docs.withColumns(
         dict(zip(KEY, row_key(*[F.col(f"`{c}`") for c in docs.columns]), strict=True))
     )
-    whole = F.col("copies") + F.when(
-        (F.col("size") > 0) & (2 * F.col("part") >= F.col("size")), 1
-    ).otherwise(0)
+    # Documents without words add nothing to any target and are left out.
+    drawn = F.when(2 * F.col("part") >= F.col("size"), 1).otherwise(0)
+    whole = F.when(F.col("size") > 0, F.col("copies") + drawn).otherwise(0)
     # Equal rows stand for each other: their copies are added up and dealt to one of them.
     times = pareto_mix(keyed, ceiling, seed, KEY).groupBy(*KEY).agg(F.sum(whole).alias("__times"))
     taken = keyed.dropDuplicates(KEY).join(times.where("__times > 0"), KEY)

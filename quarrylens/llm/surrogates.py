@@ -9,8 +9,9 @@ entity get the same one in every document, and without the key nothing leads bac
 
 Distinct entities must stay distinct. All distinct entities of the corpus are checked: where
 surrogates clash with each other or with a real entity, all but one of the clashing ones are
-drawn again under the next salt, until none clashes. Only entities move for this, added up on
-the map side; texts with entities move once, to meet their surrogates.
+drawn again under the next salt, until none clashes; where a format is too short for all its
+entities, the last ones get longer surrogates. Only entities move for this, added up on the map
+side; texts with entities move once, to meet their surrogates.
 
 Everything is built from DataFrame functions.
 
@@ -187,7 +188,15 @@ def surrogate_map(distinct: DataFrame, key: str = KEY) -> DataFrame:
             return settled.drop("clash")
         fresh = clashing.select("kind", "entity", (F.col("salt") + 1).alias("salt"))
         settled = settled.where("NOT clash").drop("clash")
-    raise ValueError("Surrogates of some type are exhausted; its format is too short.")
+    # A format too short for all its entities: the last ones get longer surrogates.
+    seed = F.sha2(F.concat_ws(":", F.lit(key), "kind", "entity"), 256)
+    more = F.substring(seed, 1, 12)
+    digits = F.conv(more, 16, 10)
+    longer = F.when(F.col("kind").isin("email", "name"), F.concat(more, "surrogate")).otherwise(
+        F.concat("surrogate", digits)
+    )
+    last = draw_surrogates(fresh, key).withColumn("surrogate", longer)
+    return settled.unionByName(last)
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
