@@ -466,21 +466,24 @@ def health_score(df: DataFrame, rules: list[dict] | None = None, report: dict |
 def quality_frames(df: DataFrame, rules: list[dict] | None = None, keep: bool = True) -> dict:
     """Every quality section as a lazy frame over one shared table of value counts.
 
-    ``keep`` persists the counts (memory and disk); callers unpersist ``value_counts``.
+    ``keep`` persists the counts and the sections that others build on (these have a row per
+    column), in memory and on disk, so that each is computed once however many read it;
+    callers unpersist the frames when done.
     """
-    counts = column_counts(df)
-    if keep:
-        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
-    basic = detect_basic_schema(df, counts)
-    semantic = detect_semantic_schema(df, counts, basic)
+    def shared(frame: DataFrame) -> DataFrame:
+        return frame.persist(StorageLevel.MEMORY_AND_DISK) if keep else frame
+
+    counts = shared(column_counts(df))
+    basic = shared(detect_basic_schema(df, counts))
+    semantic = shared(detect_semantic_schema(df, counts, basic))
     if rules is None:
         rules = [r for r in DEFAULT_RULES if r["column"] in df.columns]
     frames = {
         "value_counts": counts, "basic_schema": basic, "semantic_schema": semantic,
-        "numeric_profile": profile_numeric(df, counts, basic, semantic),
-        "categorical_profile": profile_categorical(df, counts, semantic),
-        "missing_by_column": missing_by_column(df), "missing_totals": missing_totals(df),
-        "missing_patterns": missing_patterns(df), "duplicates": duplicate_metrics(df),
+        "numeric_profile": shared(profile_numeric(df, counts, basic, semantic)),
+        "categorical_profile": shared(profile_categorical(df, counts, semantic)),
+        "missing_by_column": missing_by_column(df), "missing_totals": shared(missing_totals(df)),
+        "missing_patterns": missing_patterns(df), "duplicates": shared(duplicate_metrics(df)),
         "duplicate_groups": duplicate_groups(df),
     }
     if rules:

@@ -41,18 +41,27 @@ def analysis_sections(df: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+def _health(df: DataFrame) -> dict:
+    """The health row, with the sections below it computed once and freed again."""
+    frames = quality_frames(df)
+    found = frames["health"].first().asDict()
+    for frame in frames.values():
+        frame.unpersist()
+    return found
+
+
 def run_full_analysis(store: VersionStore, df: DataFrame, dataset: str, output: str, workers: int = 4) -> dict:
     """Import, clean and analyse; sections are written as Parquet below ``output``.
 
     Sections are independent jobs, submitted from a few driver threads so that small ones
     fill the gaps of large ones. Both versions and the cleaning step go to the lineage.
     """
-    first_health = quality_frames(df, keep=False)["health"].first().asDict()
+    first_health = _health(df)
     first = store.write(df, dataset, step="import", health_score=first_health["score"])
     raw = store.read(dataset, first["version_number"])
     before = first_health
     cleaned = safe_clean_frame(raw)
-    clean_health = quality_frames(cleaned, keep=False)["health"].first().asDict()
+    clean_health = _health(cleaned)
     second = store.write(cleaned, dataset, step="safe_clean", parameters={"before": before["score"]},
                          health_score=clean_health["score"])
     clean = store.read(dataset, second["version_number"])
@@ -75,7 +84,8 @@ def summary_table(df: DataFrame, date_column: str, value_column: str) -> DataFra
     measure by month."""
     from quarrylens.operators.kpi import calculate_kpi
 
-    frames = quality_frames(df, keep=False)
+    # The shared sections stay cached for as long as the caller uses the table.
+    frames = quality_frames(df)
 
     def long(frame, section, item, metrics):
         pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
