@@ -21,6 +21,7 @@ from quarrylens.session import cut_lineage, max_group_rows
 
 CHUNK = "__chunk"
 _LOCAL = "__local_rn"
+SIZES = "_group_sizes"
 
 
 @dataclass(frozen=True)
@@ -73,6 +74,17 @@ def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     return int(row["n"]), int(row["m"])
 
 
+def with_sizes(df: DataFrame, sizes: dict) -> DataFrame:
+    """``df`` with the group sizes that are known of it (its rows must not have changed)."""
+    setattr(df, SIZES, sizes)
+    return df
+
+
+def same_rows(df: DataFrame, before: DataFrame) -> DataFrame:
+    """``df`` derived from ``before`` by adding or dropping columns only."""
+    return with_sizes(df, getattr(before, SIZES, {}))
+
+
 def fits_one_task(df: DataFrame, keys: list[str]) -> bool:
     return group_sizes(df, keys)[1] <= max_group_rows(df.sparkSession)
 
@@ -85,7 +97,12 @@ class Ordered:
         if tiebreak and ROW_ID in df.columns and ROW_ID not in [k.column for k in order]:
             self.order.append(Key(ROW_ID))
         limit = max_group_rows(df.sparkSession)
-        rows, largest = group_sizes(df, self.keys)
+        # A chain of operators over the same keys counts its groups once.
+        self._sizes = dict(getattr(df, SIZES, {}))
+        known = tuple(self.keys)
+        if known not in self._sizes:
+            self._sizes[known] = group_sizes(df, self.keys)
+        rows, largest = self._sizes[known]
         self.chunked = largest > limit
         if self.chunked:
             ranges = max(2, -(-rows // limit), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -98,7 +115,7 @@ class Ordered:
 
     @property
     def df(self) -> DataFrame:
-        return self._df.drop(CHUNK)
+        return with_sizes(self._df.drop(CHUNK), self._sizes)
 
     def _window(self, reverse: bool):
         parts = self.keys + ([CHUNK] if self.chunked else [])

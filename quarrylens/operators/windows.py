@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.errors import require, require_columns
 from quarrylens.ids import kind
-from quarrylens.operators.ordered import Ordered, attach_totals, order_keys
+from quarrylens.operators.ordered import Ordered, attach_totals, order_keys, same_rows
 
 ROLLING = {"sum", "avg", "min", "max", "count", "median", "std"}
 
@@ -52,7 +52,7 @@ def apply_ranking(df: DataFrame, operations: list[dict]) -> DataFrame:
         require(method in ("rank", "dense_rank", "row_number", "percent_rank"), "INVALID_METHOD",
                 "Unsupported ranking method.")
         name, parts, order = _setup(df, spec, "rank", seen, ascending=False)
-        df = Ordered(df.drop(name), parts, order).ranks(name, method).df
+        df = Ordered(same_rows(df.drop(name), df), parts, order).ranks(name, method).df
     return df
 
 
@@ -74,7 +74,7 @@ def apply_running_totals(df: DataFrame, operations: list[dict]) -> DataFrame:
             total = F.when(F.col(source).isNotNull(), total)
         elif policy == "propagate":
             total = F.when(F.col("__nulls") == 0, total)
-        df = df.withColumn(name, total).drop(*specs)
+        df = same_rows(df.withColumn(name, total).drop(*specs), df)
     return df
 
 
@@ -101,7 +101,7 @@ def apply_lag_lead(df: DataFrame, operations: list[dict]) -> DataFrame:
         df = Ordered(df, parts, order).framed(
             before, after, **{name: lambda frame, w: shift(source, offset).over(w)}).df
         if "default" in spec:
-            df = df.withColumn(name, F.coalesce(F.col(name), F.lit(spec["default"])))
+            df = same_rows(df.withColumn(name, F.coalesce(F.col(name), F.lit(spec["default"]))), df)
     return df
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.errors import require
+from quarrylens.errors import EngineError, require
 from quarrylens.ids import nan_to_null
 
 # Candidate delimiters and how many lines are looked at.
@@ -161,24 +161,26 @@ EXTENSIONS = {"csv": "csv", "tsv": "csv", "txt": "csv", "json": "json", "jsonl":
 
 
 def detect_file_types(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file_type, matches) by magic bytes and extension for every file below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    magic = F.substring("content", 1, 4).cast("string")
+    """(path, file_type) by extension for every file below a path. Only the listing is read, no
+    file body; a file that is not what its name says is refused by the reader it is routed to."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     by_name = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])
     named = F.try_element_at(by_name, ext)
-    is_parquet = magic == "PAR1"
-    return files.select(
-        "path", F.when(is_parquet, "parquet").otherwise(named).alias("file_type"),
-        (is_parquet == (F.coalesce(named, F.lit("")) == "parquet")).alias("matches"))
+    return files.select("path", named.alias("file_type"))
 
 
 def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Route one path to its reader; a Parquet signature that disagrees with the name is an error."""
-    kinds = detect_file_types(spark, path).groupBy("file_type").agg(F.min("matches").alias("ok")).collect()
-    found = {r["file_type"]: r["ok"] for r in kinds if r["file_type"] is not None}
-    require(bool(found), "UNSUPPORTED_FILE_TYPE", "No supported file found.", path=path)
-    require(all(found.values()), "FILE_TYPE_MISMATCH", "File content does not match its extension.", path=path)
-    require(len(found) == 1, "MIXED_FILE_TYPES", "One format per path is required.", types=sorted(found))
-    reader = {"csv": read_delimited, "json": read_json, "parquet": read_parquet}[next(iter(found))]
-    return reader(spark, path, **options)
+    """Route one path to its reader by the names of its files."""
+    kinds = detect_file_types(spark, path).where("file_type IS NOT NULL").select("file_type").distinct().collect()
+    found = sorted(r["file_type"] for r in kinds)
+    require(bool(found), "UNSUPPORTED_FILE_TYPE", "Nothing below this path has a known type.", path=path)
+    require(len(found) == 1, "MIXED_FILE_TYPES", "The path holds files of several types.", types=found)
+    reader = {"csv": read_delimited, "json": read_json, "parquet": read_parquet}[found[0]]
+    try:
+        return reader(spark, path, **options)
+    except EngineError:
+        raise
+    except Exception as exc:
+        raise EngineError("FILE_TYPE_MISMATCH", "The files are not what their names say.",
+                          {"path": path, "reason": str(exc).split("\n")[0]}) from exc

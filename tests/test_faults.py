@@ -168,3 +168,42 @@ def test_both_forms_of_ordered_operators_agree(spark, request):
     request.getfixturevalue("small_groups")
     split = [seen(f) for f in ordered_frames(spark)]
     assert plain == split
+
+
+def test_a_chain_of_windows_counts_its_groups_once(spark, monkeypatch):
+    from quarrylens.operators import ordered
+
+    counted = []
+    plain = ordered.group_sizes
+    monkeypatch.setattr(ordered, "group_sizes", lambda df, keys: counted.append(tuple(keys)) or plain(df, keys))
+    frame = with_row_id(spark.range(50).selectExpr("id", "id % 3 AS g", "id * 2 AS v"), "id")
+    place = {"source_column": "v", "partition_by": ["g"], "order_by": ["id"]}
+    out = wi.apply_running_totals(frame, [place])
+    out = wi.apply_lag_lead(out, [{"offset": 1, "default": 0, **place}, {"offset": 2, **place}])
+    out = wi.apply_rolling_windows(out, [{"function": "sum", "window": 3, **place}])
+    assert counted == [("g",)] and out.count() == 50
+
+
+def test_files_are_routed_by_name(spark, tmp_path):
+    from quarrylens.sources import readers
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.csv").write_text("p,q\n1,2\n3,4\n")
+    assert readers.read_any(spark, str(tmp_path / "a")).count() == 2
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.parquet").write_text("p,q\n1,2\n")
+    with pytest.raises(EngineError) as found:
+        readers.read_any(spark, str(tmp_path / "b")).count()
+    assert code(found) == "FILE_TYPE_MISMATCH"
+
+
+def test_version_store(spark, tmp_path):
+    store = ve.VersionStore(spark, str(tmp_path / "store"))
+    frame = with_row_id(spark.range(10).selectExpr("id", "id * 2 AS v"), "id")
+    first = store.write(frame, "t")
+    again = store.write(frame.repartition(3), "t")
+    assert again["version_number"] == 1 and not again["created"]
+    second = store.write(frame.where("id <> 4"), "t", step="filter", health_score=90.0)
+    assert (first["version_number"], second["version_number"]) == (1, 2)
+    assert store.catalog().first().health_score == 90.0 and store.read("t", 1).count() == 10
+    assert not ve.same_content(frame, frame.union(frame))
