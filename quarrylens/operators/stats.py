@@ -8,6 +8,7 @@ serves one test or one per group.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -151,8 +152,42 @@ def _with_ranks(pairs: DataFrame) -> DataFrame:
     return pairs
 
 
+def _column_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``df`` with each column's values replaced by their mid-ranks: one long table
+    of cells meets one table of ranked values, however many pairs are formed of it later."""
+    cells = F.array(*[F.struct(F.lit(i).alias("k"), _d(c).alias("value")) for i, c in enumerate(columns)])
+    # The row number lives inside this one plan only; it is taken before rows turn into cells.
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), cells.alias("cells"))
+    long = numbered.select("row", F.inline("cells"))
+    counts = long.groupBy("k", "value").agg(F.count(F.lit(1)).alias("count"))
+    ranks = with_below(counts, ["k"]).select("k", "value", (F.col("below") + (F.col("count") + 1) / 2).alias("rank"))
+    pick = [F.max(F.when(F.col("k") == i, F.col("rank"))).alias(c) for i, c in enumerate(columns)]
+    return long.join(ranks, ["k", "value"]).groupBy("row").agg(*pick).drop("row")
+
+
 def spearman_pairs(df: DataFrame, pairs) -> DataFrame:
-    """Pearson correlation of mid-ranks taken after dropping incomplete pairs."""
+    """Pearson correlation of mid-ranks. Columns without nulls are ranked once for all their
+    pairs; a pair with a null somewhere is ranked anew after its incomplete rows are dropped."""
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    gaps = df.agg(*[F.count_if(_d(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    full = {c for i, c in enumerate(columns) if not gaps[i]}
+    whole = [p for p in pairs if set(p) <= full]
+    rest = [p for p in pairs if not set(p) <= full]
+    frames = []
+    if whole:
+        used = [c for c in columns if any(c in p for p in whole)]
+
+        def build(a: Column, b: Column) -> list[Column]:
+            spread = F.stddev_pop(a) * F.stddev_pop(b)
+            return [F.count(a).alias("n"), F.try_divide(F.covar_pop(a, b), spread).alias("correlation")]
+
+        frames.append(_pair_aggregate(_column_ranks(df, used), whole, build))
+    if rest:
+        frames.append(_spearman_with_gaps(df, rest))
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def _spearman_with_gaps(df: DataFrame, pairs) -> DataFrame:
     t = attach_totals(_with_ranks(_pair_rows(df, pairs)), _PAIR, __n=F.sum("w"))
     mid = (F.col("__n") + 1) / 2
     x, y, w = F.col("rank_a") - mid, F.col("rank_b") - mid, F.col("w")

@@ -77,3 +77,13 @@ def test_linkage_is_greedy(spark):
     members = lambda e, i: spark.range(25).selectExpr(f"id AS {e}", f"id AS {i}")
     found = greedy_runs(frame, members("leid", "lid"), members("reid", "rid"))
     assert {(r.lid, r.rid, r.score) for r in found.select("lid", "rid", "score").collect()} == want
+
+
+def test_both_rank_forms_agree(spark):
+    frame = spark.range(200).selectExpr("pmod(hash(id), 17) AS a", "pmod(hash(id, 1), 29) AS b", "5 AS c")
+    once = {(r.column_a, r.column_b): r.correlation for r in sx.spearman_pairs(frame, [("a", "b"), ("a", "c")]).collect()}
+    anew = {(r.column_a, r.column_b): r.correlation for r in sx._spearman_with_gaps(frame, [("a", "b"), ("a", "c")]).collect()}
+    assert once["a", "b"] == pytest.approx(anew["a", "b"]) and once["a", "c"] is anew["a", "c"] is None
+    gap = frame.selectExpr("if(a = 3, null, a) AS a", "b", "c AS d")
+    found = sx.spearman_pairs(gap, [("a", "b"), ("b", "d")]).collect()
+    assert {(r.column_a, r.n) for r in found} == {("a", gap.where("a IS NOT NULL").count()), ("b", 200)}
