@@ -39,7 +39,8 @@ from quarrylens.llm.common import table
 
 WINDOW = 100
 GRAM = 24
-BLOCK_BYTES = 400_000
+# Columns of a block this size stay in a core's own cache.
+BLOCK_BYTES = 100_000
 
 
 def byte_tokens(text: str | None):
@@ -56,19 +57,20 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> n
     ends = starts + lengths
     place = np.arange(count)
     transform = codes[ends - 1]
-    order = ends.copy()
+    order = ends.astype(np.int32)
+    steps = np.arange(len(data) + count, dtype=np.int32)
+    ranks = np.empty(len(steps), np.int32)
     shorter_first = lengths[::-1]
     for column in range(1, int(lengths[0]) + 1):
         active = count - int(np.searchsorted(shorter_first, column, "left"))
         at = ends[:active] - column
         ranked = np.argsort(transform, kind="stable")
-        rank = np.empty(len(ranked), np.int64)
-        rank[ranked] = np.arange(len(ranked))
+        ranks[ranked] = steps[: len(ranked)]
         closed = len(ranked) - np.count_nonzero(transform)
-        place = rank[place[:active]] + (count - closed)
+        place = ranks[place[:active]] + (count - closed)
         old = np.ones(len(ranked) + active, bool)
         old[place] = False
-        bigger, moved = np.empty(len(old), np.uint8), np.empty(len(old), np.int64)
+        bigger, moved = np.empty(len(old), np.uint8), np.empty(len(old), np.int32)
         bigger[old], moved[old] = transform, order
         before = codes[at - 1]
         before[at == starts[:active]] = 0
@@ -127,9 +129,9 @@ def block_engine(window: int, block_bytes: int = BLOCK_BYTES):
 
 
 def repeated_byte_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Spans of bytes (doc, a, b) of ``docs`` (doc, text) that begin earlier somewhere."""
+    """Spans of bytes (doc, a, b) of ``docs`` (doc, doc_id, text) that begin earlier somewhere."""
     rule = Rule(byte_tokens, window, gram, inside=True)
-    return repeated_spans(docs.select("doc", "text"), rule, block_engine(window))
+    return repeated_spans(docs, rule, block_engine(window))
 
 
 def kept_bytes(text: str | None, spans: list[tuple[int, int]]) -> tuple[int, int, int, str]:
