@@ -129,7 +129,7 @@ def piece_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                 names=["fp", "ph", "doc", "start", "n", "kind"],
             )
 
-    return docs.mapInArrow(run, ROW)
+    return docs.select("doc", "text").mapInArrow(run, ROW)
 
 
 def settled(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -178,12 +178,13 @@ def fetched(found: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             if rows:
                 yield batch_of(rows)
 
-    return docs.join(wanted, "doc").select("doc", "text", "pieces").mapInArrow(run, FETCHED)
+    # All columns go in, so that this join and the last one read one and the same shuffle of texts.
+    return docs.join(wanted, "doc").mapInArrow(run, FETCHED)
 
 
 def repeated_spans(docs: DataFrame, rule: Rule, engine: Callable) -> DataFrame:
     """Spans (doc, a, b) of tokens that lie in windows with an earlier occurrence. ``docs``
-    has (doc, text); ``engine`` gets the fetched pieces of whole anchors, sorted by anchor and
+    has (doc, doc_id, text); ``engine`` gets the fetched pieces of whole anchors, sorted by anchor and
     document, and yields spans."""
     found = saved(settled(piece_rows(docs, rule), rule))
     window = rule.window
@@ -221,6 +222,7 @@ def numbered(docs: DataFrame) -> DataFrame:
             F.min("h").alias("low"), F.max("h").alias("high")
         )
         if odd.where("doc_id IS NULL OR low <> high").isEmpty():
+            # Known not to be null, so that no join adds a filter of its own below its shuffle.
             number = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
             return source.select(number.alias("doc"), "doc_id", "text")
     keys = source.select("doc_id", F.xxhash64("text").alias("h")).distinct()
@@ -238,7 +240,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, describe: Callable, columns
     """``describe(text, merged spans)`` of every row of ``docs`` (doc, doc_id, text): a tuple
     of the values that ``columns`` declares after doc_id."""
     found = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    joined = docs.join(found, "doc", "left").select("doc_id", "text", "spans")
+    joined = docs.join(found, "doc", "left")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {columns}"
     names = [c.split()[0] for c in columns.split(", ")]
 

@@ -159,9 +159,9 @@ def automaton_engine(window: int, shard_words: int = SHARD_WORDS):
 
 
 def repeated_word_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Spans of words (doc, a, b) of ``docs`` (doc, text) whose windows occur earlier."""
+    """Spans of words (doc, a, b) of ``docs`` (doc, doc_id, text) whose windows occur earlier."""
     rule = Rule(word_tokens, window, gram, inside=False)
-    return repeated_spans(docs.select("doc", "text"), rule, automaton_engine(window))
+    return repeated_spans(docs, rule, automaton_engine(window))
 
 
 def kept_words(text: str | None, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
