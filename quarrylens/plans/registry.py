@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.queries import algebra, cleaning, measures, statistics
+from quarrylens.queries import algebra, cleaning, measures, sources, statistics
 from quarrylens.queries.registry import QUERIES, SQL
 
-MODULES = [algebra, cleaning, measures, statistics]
+MODULES = [algebra, cleaning, measures, sources, statistics]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

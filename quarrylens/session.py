@@ -32,19 +32,21 @@ def max_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(MAX_GROUP_ROWS_CONF, str(MAX_GROUP_ROWS_DEFAULT)))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. One of our own is
+    made only where the setting is missing and the master is local (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
+        folder = tempfile.mkdtemp(prefix="quarrylens-")
+    return folder
+
 
-    A folder of our own is set only where neither the setting nor the context has one
-    and the master is local (tests); a cluster without a shared folder is an error.
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("Set spark.checkpoint.dir to a shared folder.")
-            folder = tempfile.mkdtemp(prefix="quarrylens-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
