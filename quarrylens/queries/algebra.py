@@ -559,7 +559,13 @@ def _(t):
     return jo.unmatched_keys(t("customer"), t("orders"), keys, limit=None).select("c_custkey")
 
 
-@query("j5_join_metrics")
+@query(
+    "j5_join_metrics",
+    "SELECT (SELECT count(*) FROM customer)::BIGINT AS left_rows, (SELECT count(*) FROM orders)::BIGINT AS right_rows, "
+    "count(*)::BIGINT AS matched_output_rows, count(DISTINCT c_custkey)::BIGINT AS matched_left_rows, count(DISTINCT o_orderkey)::BIGINT AS matched_right_rows, "
+    "count(DISTINCT c_custkey)::BIGINT AS matched_keys, ((SELECT count(*) FROM customer) - count(DISTINCT c_custkey))::BIGINT AS unmatched_left_rows, "
+    "((SELECT count(*) FROM orders) - count(DISTINCT o_orderkey))::BIGINT AS unmatched_right_rows FROM customer JOIN orders ON c_custkey = o_custkey",
+)
 def _(t):
     return jo.join_metrics(t("customer"), t("orders"), [{"left": "c_custkey", "right": "o_custkey"}])
 

@@ -334,11 +334,17 @@ def _(t):
     return rounded(out, 2)
 
 
-@query("v9_funnel")
+@query(
+    "v9_funnel",
+    "WITH g AS (SELECT o_orderpriority, sum(o_totalprice) AS v, min(o_orderkey) AS p FROM orders GROUP BY 1) "
+    "SELECT o_orderpriority, round(v, 2) AS value, p::BIGINT AS position, round(v / first_value(v) OVER (ORDER BY p) * 100, 4) AS conversion_from_start_pct, "
+    "round(coalesce(v / lag(v) OVER (ORDER BY p) * 100, 100), 4) AS conversion_from_previous_pct FROM g",
+)
 def _(t):
-    return ch.build_business_chart(
+    out = ch.build_business_chart(
         t("orders"), "funnel", "o_orderpriority", "o_totalprice", order_column="o_orderkey"
     )
+    return rounded(out.withColumn("value", F.round("value", 2)), 4)
 
 
 @query("v10_recommendations")
@@ -375,13 +381,22 @@ def _(t):
     return rounded(out.select(F.date_format("date", "yyyy-MM-dd").alias("month"), "value"), 2)
 
 
-@query("b3_project")
+@query(
+    "b3_project",
+    "SELECT count(*)::BIGINT AS rows, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 2) AS average FROM orders",
+)
 def _(t):
     frames = bu.build_project(with_row_id(_sales(t), "order_id"), "superstore_sales_dashboard")
-    return frames["kpis"]
+    return rounded(frames["kpis"], 2)
 
 
-@query("b4_rfm")
+@query(
+    "b4_rfm",
+    "WITH g AS (SELECT o_custkey AS customer_id, max(o_orderdate) AS d, count(DISTINCT o_orderkey)::BIGINT AS frequency, sum(o_totalprice) AS m "
+    "FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY m, customer_id) AS k, count(*) OVER () AS n, max(d) OVER () AS a FROM g) "
+    "SELECT customer_id, date_diff('day', d, a)::BIGINT AS recency_days, frequency, round(m, 2) AS monetary_value, 1::BIGINT AS customer_count, "
+    "['Bronze', 'Silver', 'Gold', 'Platinum'][greatest(1, ceil(4.0 * (k - 1) / (n - 1)))::INT] AS rfm_segment FROM r",
+)
 def _(t):
     return rounded(bu.rfm_segments(t("orders"), "o_custkey", "o_orderdate", "o_totalprice", "o_orderkey"), 2)
 
@@ -415,11 +430,15 @@ def _(t):
     return rounded(out.select("o_orderkey", "forecast_baseline"), 4)
 
 
-@query("b8_inventory")
+@query(
+    "b8_inventory",
+    "WITH c AS (SELECT *, p_size * p_retailprice AS v FROM part), s AS (SELECT *, sum(v) OVER (ORDER BY v DESC, p_partkey ROWS UNBOUNDED PRECEDING) / sum(v) OVER () AS x FROM c) "
+    "SELECT p_partkey, round(v, 4) AS inventory_value, CASE WHEN x <= 0.8 THEN 'A' WHEN x <= 0.95 THEN 'B' ELSE 'C' END AS abc_class FROM s",
+)
 def _(t):
     df = with_row_id(t("part").withColumn("sold", F.col("p_size") % 5), "p_partkey")
     out = bu.inventory_metrics(df, "p_size", "p_retailprice", "sold")
-    return rounded(out.drop("__row_id"), 4)
+    return rounded(out.select("p_partkey", "inventory_value", "abc_class"), 4)
 
 
 @query(

@@ -45,10 +45,16 @@ def _(t):
     ).withColumn("position", F.col("position").cast("int"))
 
 
-@query("d1_sample_values")
+@query(
+    "d1_sample_values",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", least(5, count({c}))::BIGINT AS n FROM customer"
+        for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    ),
+)
 def _(t):
     out = qu.sample_values(t("customer"))
-    return out.select("column", F.size("sample_values").alias("n"))
+    return rounded(out.select("column", F.size("sample_values").alias("n")))
 
 
 @query("d2_semantic_schema")
@@ -124,7 +130,11 @@ def _(t):
     return rounded(qu.missing_totals(_holes(t)), 4)
 
 
-@query("d5_missing_patterns")
+@query(
+    "d5_missing_patterns",
+    "SELECT CASE WHEN event_id % 3 = 0 AND event_id % 5 = 0 THEN 'value,event_type' WHEN event_id % 3 = 0 THEN 'value' "
+    "ELSE 'event_type' END AS columns, count(*)::BIGINT AS row_count FROM events WHERE event_id % 3 = 0 OR event_id % 5 = 0 GROUP BY 1",
+)
 def _(t):
     return qu.missing_patterns(_holes(t))
 
@@ -370,12 +380,18 @@ def _(t):
     return rounded(out.withColumn("f_statistic", F.round("f_statistic", 4)))
 
 
-@query("t15_mann_whitney")
+@query(
+    "t15_mann_whitney",
+    "WITH v AS (SELECT l_quantity AS v, 1 AS g FROM lineitem UNION ALL SELECT l_extendedprice, 2 FROM lineitem), "
+    "r AS (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS k FROM v), "
+    "s AS (SELECT sum(k) AS rs, count(*)::DOUBLE AS n FROM r WHERE g = 1) SELECT round(rs - n * (n + 1) / 2, 2) AS u_statistic FROM s",
+)
 def _(t):
     out = sx.analyze_non_parametric(
         _lines(t), "mann_whitney_u", "l_quantity", "l_extendedprice"
     )
-    return rounded(out)
+    name = next(c for c in out.columns if "statistic" in c)
+    return rounded(out.select(F.col(name).alias("u_statistic")), 2)
 
 
 @query(
@@ -403,9 +419,14 @@ def _(t):
     return rounded(sx.analyze_non_parametric(_lines(t), "friedman", sample_columns=list(_NUM)))
 
 
-@query("t19_sign_test")
+@query(
+    "t19_sign_test",
+    "SELECT count(*) FILTER (WHERE l_quantity > l_discount)::BIGINT AS positive, count(*) FILTER (WHERE l_quantity < l_discount)::BIGINT AS negative, "
+    "count(*) FILTER (WHERE l_quantity = l_discount)::BIGINT AS ties FROM lineitem",
+)
 def _(t):
-    return rounded(sx.analyze_non_parametric(_lines(t), "sign_test", "l_quantity", "l_discount"))
+    out = sx.analyze_non_parametric(_lines(t), "sign_test", "l_quantity", "l_discount")
+    return rounded(out.select("positive", "negative", "ties"))
 
 
 @query(
