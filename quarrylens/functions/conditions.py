@@ -31,10 +31,10 @@ def _never_null(c: Column) -> Column:
 
 def condition(df: DataFrame, cond: dict, index: int = 0) -> Column:
     column, op = cond.get("column"), cond.get("operator")
-    require(bool(column), "COLUMN_REQUIRED", "Each filter condition requires a column.", condition_index=index)
-    require(column in df.columns, "UNKNOWN_COLUMN", "Filter column does not exist.",
+    require(bool(column), "COLUMN_REQUIRED", condition_index=index)
+    require(column in df.columns, "UNKNOWN_COLUMN",
             condition_index=index, column=column)
-    require(op in OPERATORS, "UNSUPPORTED_OPERATOR", "Unsupported row filter operator.",
+    require(op in OPERATORS, "UNSUPPORTED_OPERATOR",
             condition_index=index, operator=op)
     c = F.col(column)
     if op == "is_null":
@@ -45,7 +45,7 @@ def condition(df: DataFrame, cond: dict, index: int = 0) -> Column:
     text = c.cast("string") if sensitive else F.lower(c.cast("string"))
 
     if op in TEXT:
-        require(cond.get("value") is not None, "VALUE_REQUIRED", "Text filter requires a value.",
+        require(cond.get("value") is not None, "VALUE_REQUIRED",
                 condition_index=index)
         needle = str(cond["value"]) if sensitive else str(cond["value"]).lower()
         if op == "starts_with":
@@ -55,24 +55,21 @@ def condition(df: DataFrame, cond: dict, index: int = 0) -> Column:
         return text.contains(needle) if op == "contains" else ~_never_null(text.contains(needle))
     if op in ("in", "not_in"):
         values = cond.get("values")
-        require(isinstance(values, list) and bool(values), "VALUES_REQUIRED",
-                "in/not_in requires a non-empty values array.", condition_index=index)
+        require(isinstance(values, list) and bool(values), "VALUES_REQUIRED", condition_index=index)
         if sensitive:
             hit = c.isin(*[typed_literal(df, column, v) for v in values])
         else:
             hit = text.isin(*[str(v).lower() for v in values])
         return hit if op == "in" else ~_never_null(hit)
     if op == "between":
-        require("lower" in cond and "upper" in cond, "BOUNDS_REQUIRED",
-                "between requires lower and upper values.", condition_index=index)
+        require("lower" in cond and "upper" in cond, "BOUNDS_REQUIRED", condition_index=index)
         try:
             ordered = cond["lower"] <= cond["upper"]
         except TypeError as exc:
-            raise EngineError("INCOMPATIBLE_FILTER_VALUE", "between bounds have different types.",
-                              {"condition_index": index}) from exc
-        require(ordered, "INVALID_BOUNDS", "between lower must be <= upper.", condition_index=index)
+            raise EngineError("INCOMPATIBLE_FILTER_VALUE", details={"condition_index": index}) from exc
+        require(ordered, "INVALID_BOUNDS", condition_index=index)
         return c.between(typed_literal(df, column, cond["lower"]), typed_literal(df, column, cond["upper"]))
-    require("value" in cond, "VALUE_REQUIRED", "Filter operator requires value.",
+    require("value" in cond, "VALUE_REQUIRED",
             condition_index=index, operator=op)
     value = typed_literal(df, column, cond["value"])
     if op == "ne":
@@ -81,8 +78,8 @@ def condition(df: DataFrame, cond: dict, index: int = 0) -> Column:
 
 
 def combine(df: DataFrame, conditions, logic: str = "and", invert: bool = False) -> Column:
-    require(bool(conditions), "CONDITIONS_REQUIRED", "At least one filter condition is required.")
-    require(logic in ("and", "or"), "INVALID_LOGIC", "logic must be and or or.", logic=logic)
+    require(bool(conditions), "CONDITIONS_REQUIRED")
+    require(logic in ("and", "or"), "INVALID_LOGIC", logic=logic)
     parts = [condition(df, c, i) for i, c in enumerate(conditions)]
     merged = reduce((lambda a, b: a & b) if logic == "and" else (lambda a, b: a | b), parts)
     return ~_never_null(merged) if invert else merged
@@ -93,10 +90,10 @@ def kpi_filters(df: DataFrame, filters) -> Column:
     parts = [F.lit(True)]
     for i, f in enumerate(filters or []):
         op = f.get("operator", "eq")
-        require(f.get("column") in df.columns, "UNKNOWN_FILTER_COLUMN", "Filter column does not exist.",
+        require(f.get("column") in df.columns, "UNKNOWN_FILTER_COLUMN",
                 column=f.get("column"))
         require(op in {*COMPARE, "ne", "in", "not_in", "is_null", "not_null", "contains"},
-                "INVALID_FILTER_OPERATOR", "Unsupported filter operator.", operator=op)
+                "INVALID_FILTER_OPERATOR", operator=op)
         spec = {"column": f["column"], "operator": op, "value": f.get("value"), "values": f.get("value")}
         if op == "contains":
             spec["case_sensitive"] = False

@@ -32,22 +32,22 @@ def _guard_zero(divisor: Column, policy: str) -> Column:
 
 
 def compile_expression(df: DataFrame, node, divide_by_zero: str = "null") -> Column:
-    require(isinstance(node, dict), "INVALID_EXPRESSION", "Expression node must be an object.")
+    require(isinstance(node, dict), "INVALID_EXPRESSION")
     op = node.get("op")
-    require(op in OPERATIONS, "UNSUPPORTED_EXPRESSION", f"Unsupported expression op: {op}", op=op)
+    require(op in OPERATIONS, "UNSUPPORTED_EXPRESSION", op=op)
 
     def sub(key):
         return compile_expression(df, node[key], divide_by_zero)
 
     if op == "column":
         name = node.get("name")
-        require(bool(name), "COLUMN_NAME_REQUIRED", "column expression requires name.")
-        require(name in df.columns, "UNKNOWN_COLUMN", "Referenced column does not exist.", column=name)
+        require(bool(name), "COLUMN_NAME_REQUIRED")
+        require(name in df.columns, "UNKNOWN_COLUMN", column=name)
         return F.col(name)
     if op == "literal":
         return F.lit(node.get("value"))
     if op in _ARITHMETIC | _COMPARISON | _LOGIC:
-        require("left" in node and "right" in node, "OPERANDS_REQUIRED", f"{op} requires left and right operands.")
+        require("left" in node and "right" in node, "OPERANDS_REQUIRED")
         a, b = sub("left"), sub("right")
         if op == "divide":
             return a / _guard_zero(b, divide_by_zero)
@@ -63,7 +63,7 @@ def compile_expression(df: DataFrame, node, divide_by_zero: str = "null") -> Col
             "and": lambda: _truth(a) & _truth(b), "or": lambda: _truth(a) | _truth(b),
         }[op]()
     if op in _UNARY:
-        require("value" in node, "VALUE_REQUIRED", f"{op} requires value.")
+        require("value" in node, "VALUE_REQUIRED")
         v = sub("value")
         return {
             "abs": lambda: F.abs(v), "round": lambda: F.bround(v, int(node.get("digits", 0))),
@@ -73,12 +73,12 @@ def compile_expression(df: DataFrame, node, divide_by_zero: str = "null") -> Col
         }[op]()
     if op in ("coalesce", "concat"):
         args = node.get("args")
-        require(isinstance(args, list) and bool(args), "ARGS_REQUIRED", f"{op} requires a non-empty args array.")
+        require(isinstance(args, list) and bool(args), "ARGS_REQUIRED")
         parts = [compile_expression(df, a, divide_by_zero) for a in args]
         if op == "coalesce":
             return F.coalesce(*parts)
         filler = F.lit(str(node.get("null_as", "")))
         return F.concat_ws(str(node.get("separator", "")), *[F.coalesce(p.cast("string"), filler) for p in parts])
     for field in ("condition", "then", "else"):
-        require(field in node, "IF_ELSE_FIELD_REQUIRED", f"if_else requires {field}.")
+        require(field in node, "IF_ELSE_FIELD_REQUIRED")
     return F.when(_truth(sub("condition")), sub("then")).otherwise(sub("else"))

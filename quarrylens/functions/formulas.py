@@ -23,18 +23,18 @@ BUILT_IN = {
 
 def compile_formula(text: str, components: dict[str, Column]) -> Column:
     """Only numbers, names, ``+ - * / % **`` and signs are accepted; 1/0 gives null."""
-    require(bool(text and text.strip()), "FORMULA_REQUIRED", "Formula text is required.")
-    require(len(text) <= MAX_LENGTH, "FORMULA_TOO_LONG", "Formula text is too long.")
+    require(bool(text and text.strip()), "FORMULA_REQUIRED")
+    require(len(text) <= MAX_LENGTH, "FORMULA_TOO_LONG")
     try:
         tree = ast.parse(text, mode="eval").body
     except SyntaxError as exc:
-        raise EngineError("INVALID_FORMULA", "Formula syntax invalid.") from exc
+        raise EngineError("INVALID_FORMULA") from exc
 
     def build(node) -> Column:
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
             return F.lit(float(node.value))
         if isinstance(node, ast.Name):
-            require(node.id in components, "UNKNOWN_COMPONENT", "Formula references unknown component.",
+            require(node.id in components, "UNKNOWN_COMPONENT",
                     component=node.id)
             return components[node.id].cast("double")
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
@@ -54,6 +54,6 @@ def compile_formula(text: str, components: dict[str, Column]) -> Column:
             if isinstance(node.op, ast.Pow):
                 guarded = F.when(F.abs(b) > MAX_EXPONENT, F.raise_error("UNSAFE_FORMULA").cast("double"))
                 return F.pow(a, guarded.otherwise(b))
-        raise EngineError("UNSAFE_FORMULA", "Formula contains unsupported syntax.")
+        raise EngineError("UNSAFE_FORMULA")
 
     return build(tree)

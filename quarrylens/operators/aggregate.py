@@ -16,21 +16,20 @@ FUNCTIONS = {"count", "sum", "avg", "median", "min", "max", "distinct"}
 
 
 def _specs(df: DataFrame, keys: list[str], aggregations) -> list[dict]:
-    require(bool(aggregations), "AGGREGATIONS_REQUIRED", "At least one aggregation is required.")
+    require(bool(aggregations), "AGGREGATIONS_REQUIRED")
     out = []
     for i, a in enumerate(aggregations):
         fn, column = a.get("function"), a.get("column")
-        require(fn in FUNCTIONS, "UNSUPPORTED_AGGREGATION", f"Unsupported aggregation function: {fn}",
+        require(fn in FUNCTIONS, "UNSUPPORTED_AGGREGATION",
                 aggregation_index=i)
-        require(fn == "count" or bool(column), "AGGREGATION_COLUMN_REQUIRED", f"{fn} requires a column.",
+        require(fn == "count" or bool(column), "AGGREGATION_COLUMN_REQUIRED",
                 aggregation_index=i)
         if column is not None:
             require_columns(df, [column])
-        require(fn not in ("sum", "avg", "median") or kind(df, column) == "numeric", "INCOMPATIBLE_COLUMN_TYPE",
-                f"{fn} requires a numeric column.", column=column)
+        require(fn not in ("sum", "avg", "median") or kind(df, column) == "numeric", "INCOMPATIBLE_COLUMN_TYPE", column=column)
         alias = str(a.get("alias") or ("row_count" if column is None else f"{column}_{fn}")).strip()
-        require(alias not in keys, "ALIAS_COLLISION", "Alias collides with a grouping column.", alias=alias)
-        require(alias not in [s["alias"] for s in out], "DUPLICATE_ALIAS", "Aliases must be unique.", alias=alias)
+        require(alias not in keys, "ALIAS_COLLISION", alias=alias)
+        require(alias not in [s["alias"] for s in out], "DUPLICATE_ALIAS", alias=alias)
         out.append({"fn": fn, "column": column, "alias": alias, "drop_nulls": bool(a.get("drop_nulls", True))})
     return out
 
@@ -71,7 +70,7 @@ def _drop_null_keys(df: DataFrame, keys: list[str], include: bool) -> DataFrame:
 def aggregate_dataframe(df: DataFrame, group_by=None, aggregations=None, include_null_keys: bool = True,
                         sort_groups: bool = False) -> DataFrame:
     keys = list(group_by or [])
-    require(len(keys) == len(set(keys)), "DUPLICATE_GROUP_COLUMN", "Grouping columns may not repeat.")
+    require(len(keys) == len(set(keys)), "DUPLICATE_GROUP_COLUMN")
     require_columns(df, keys)
     specs = _specs(df, keys, aggregations)
     out = _grouped(_drop_null_keys(df, keys, include_null_keys), keys, specs)
@@ -84,12 +83,12 @@ def analyze_groups(df: DataFrame, group_by, include_null_keys: bool = True, sort
                    order_column: str = ROW_ID) -> DataFrame:
     """Annotate rows with the group's size and its number in first-seen (or sorted) order."""
     keys = list(group_by or [])
-    require(bool(keys), "GROUP_BY_REQUIRED", "At least one grouping column is required.")
+    require(bool(keys), "GROUP_BY_REQUIRED")
     require_columns(df, keys)
     for flag, name in ((add_group_id, group_id_column), (add_group_size, group_size_column)):
-        require(not flag or name not in df.columns, "ANNOTATION_COLUMN_EXISTS", "Output column exists.", column=name)
+        require(not flag or name not in df.columns, "ANNOTATION_COLUMN_EXISTS", column=name)
     require(not (add_group_id and add_group_size and group_id_column == group_size_column),
-            "ANNOTATION_COLUMN_COLLISION", "Annotation columns must differ.")
+            "ANNOTATION_COLUMN_COLLISION")
     if add_group_id:
         require_columns(df, [order_column])
     source = _drop_null_keys(df, keys, include_null_keys)
@@ -132,10 +131,9 @@ def pivot_dataframe(df: DataFrame, rows=None, columns=None, values=None, include
     caller's own bound on them. Keys whose names coincide are refused, never merged.
     """
     rows, columns = list(rows or []), list(columns or [])
-    require(len(rows) == len(set(rows)) and len(columns) == len(set(columns)), "DUPLICATE_DIMENSION",
-            "Dimensions may not repeat.")
-    require(not set(rows) & set(columns), "DIMENSION_COLLISION", "A dimension may appear on one axis only.")
-    require(bool(rows or columns), "PIVOT_DIMENSION_REQUIRED", "At least one dimension is required.")
+    require(len(rows) == len(set(rows)) and len(columns) == len(set(columns)), "DUPLICATE_DIMENSION")
+    require(not set(rows) & set(columns), "DIMENSION_COLLISION")
+    require(bool(rows or columns), "PIVOT_DIMENSION_REQUIRED")
     require_columns(df, rows + columns)
     specs = _specs(df, rows + columns, values)
     work = _drop_null_keys(df, rows + columns, include_null_keys)
@@ -145,13 +143,11 @@ def pivot_dataframe(df: DataFrame, rows=None, columns=None, values=None, include
     if columns:
         distinct = work.select(key.alias("k")).distinct()
         found = [tuple(r["k"]) for r in (distinct if max_columns is None else distinct.limit(max_columns + 1)).collect()]
-        require(max_columns is None or len(found) <= max_columns, "TOO_MANY_PIVOT_COLUMNS",
-                "The column dimension has more keys than the caller allows.")
+        require(max_columns is None or len(found) <= max_columns, "TOO_MANY_PIVOT_COLUMNS")
         named = [("__".join("None" if v is None else v for v in values), values) for values in found]
         names = sorted(named, key=lambda item: item[0])
         labels = [label for label, _ in names]
         require(len(labels) == len(set(labels)), "PIVOT_COLUMN_COLLISION",
-                "Different column keys lead to one column name.",
                 names=sorted({x for x in labels if labels.count(x) > 1}))
 
     def block(label_rows: bool) -> DataFrame:
@@ -209,10 +205,10 @@ def unpivot_dataframe(df: DataFrame, id_vars=None, value_vars=None, variable_nam
                       value_name: str = "value", drop_null_values: bool = False) -> DataFrame:
     ids = require_columns(df, id_vars)
     measures = require_columns(df, value_vars) if value_vars else [c for c in df.columns if c not in ids]
-    require(bool(measures), "VALUE_COLUMNS_REQUIRED", "At least one value column is required.")
-    require(not set(ids) & set(measures), "COLUMN_ROLE_COLLISION", "A column is both id and value.")
+    require(bool(measures), "VALUE_COLUMNS_REQUIRED")
+    require(not set(ids) & set(measures), "COLUMN_ROLE_COLLISION")
     require(variable_name != value_name and variable_name not in ids and value_name not in ids,
-            "OUTPUT_NAME_COLLISION", "Output names collide.")
+            "OUTPUT_NAME_COLLISION")
     if len({df.schema[m].dataType for m in measures}) > 1:
         numeric = all(kind(df, m) == "numeric" for m in measures)
         df = df.withColumns({m: F.col(m).cast("double" if numeric else "string") for m in measures})
@@ -252,23 +248,22 @@ def approximate_summary(df: DataFrame, columns: list[str], probabilities=(0.25,
 def concatenate_dataframes(frames: list[tuple[str, DataFrame]], schema_mode: str = "strict",
                            add_source_column: bool = False, source_column_name: str = "__source_dataset",
                            drop_duplicate_rows: bool = False) -> DataFrame:
-    require(len(frames) >= 2, "INSUFFICIENT_FRAMES", "At least two frames are required.")
-    require(schema_mode in ("strict", "union", "intersection"), "INVALID_SCHEMA_MODE", "Unsupported schema mode.")
+    require(len(frames) >= 2, "INSUFFICIENT_FRAMES")
+    require(schema_mode in ("strict", "union", "intersection"), "INVALID_SCHEMA_MODE")
     names = [n for n, _ in frames]
-    require(len(names) == len(set(names)), "DUPLICATE_SOURCE_NAME", "Source names must be unique.")
+    require(len(names) == len(set(names)), "DUPLICATE_SOURCE_NAME")
     first = frames[0][1].columns
     if schema_mode == "strict":
         for name, frame in frames[1:]:
-            require(frame.columns == first, "SCHEMA_MISMATCH", "Strict concatenation requires identical columns.",
+            require(frame.columns == first, "SCHEMA_MISMATCH",
                     source_name=name)
         keep = first
     elif schema_mode == "union":
         keep = list(dict.fromkeys(c for _, f in frames for c in f.columns))
     else:
         keep = [c for c in first if all(c in f.columns for _, f in frames)]
-        require(bool(keep), "NO_COMMON_COLUMNS", "Intersection mode found no common columns.")
-    require(not add_source_column or source_column_name not in keep, "SOURCE_COLUMN_COLLISION",
-            "Source column collides with the output schema.")
+        require(bool(keep), "NO_COMMON_COLUMNS")
+    require(not add_source_column or source_column_name not in keep, "SOURCE_COLUMN_COLLISION")
     parts = []
     for name, frame in frames:
         part = frame.select(*[c for c in keep if c in frame.columns])

@@ -301,14 +301,14 @@ PROJECTS = {
 
 def prepare_project(df: DataFrame, project: str) -> tuple[DataFrame, dict[str, str]]:
     """The table with the domain's derived columns, and its resolved fields."""
-    require(project in PROJECTS, "UNKNOWN_PROJECT", "Unknown project.", project=project)
+    require(project in PROJECTS, "UNKNOWN_PROJECT", project=project)
     f = resolve_fields(df, PROJECTS[project]["fields"])
 
     def have(*names):
         return all(n in f for n in names)
 
     if project == "customer_rfm_segmentation":
-        require(have("customer_id", "date", "amount"), "FIELDS_REQUIRED", "RFM needs customer, date and amount.")
+        require(have("customer_id", "date", "amount"), "FIELDS_REQUIRED")
         df = rfm_segments(df, f["customer_id"], f["date"], f["amount"], f.get("order_id"))
         f = {c: c for c in df.columns}
     elif project == "ecommerce_funnel" and have("purchases", "visitors"):
@@ -347,7 +347,7 @@ def build_project(df: DataFrame, project: str) -> dict[str, DataFrame]:
     frame, f = prepare_project(df, project)
     charts = [c for c in spec["charts"] if c["dimension"] in f and c["measure"] in f]
     first = next((f[c["measure"]] for c in charts), None) or next(iter(numeric_columns(frame)), None)
-    require(first is not None, "NO_MEASURE", "The table has no measure for this project.")
+    require(first is not None, "NO_MEASURE")
     v = _number(frame, first)
     kpi = [F.count(F.lit(1)).alias("rows"), F.sum(v).alias("total"), F.avg(v).alias("average")]
     if "conversion_rate" in frame.columns:

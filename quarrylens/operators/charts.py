@@ -28,9 +28,8 @@ def build_bar_chart(df: DataFrame, category_column: str, value_column=None, seri
                     aggregation: str = "sum", top_n: int | None = None, sort_by: str = "value",
                     descending: bool = True, normalize_percent: bool = False,
                     include_missing_category: bool = False) -> DataFrame:
-    require(top_n is None or top_n >= 1, "INVALID_TOP_N", "top_n must be >= 1.")
-    require(value_column is not None or aggregation in ("count", "nunique"), "VALUE_COLUMN_REQUIRED",
-            "value_column is required for this aggregation.")
+    require(top_n is None or top_n >= 1, "INVALID_TOP_N")
+    require(value_column is not None or aggregation in ("count", "nunique"), "VALUE_COLUMN_REQUIRED")
     keys = [category_column] + ([series_column] if series_column else [])
     require_columns(df, keys + ([value_column] if value_column else []))
     if include_missing_category:
@@ -88,9 +87,9 @@ def build_line_chart(df: DataFrame, x_column: str, y_column: str, series_column=
     """Also the area chart, which adds ``normalize_percent`` per x."""
     keys = [x_column] + ([series_column] if series_column else [])
     require_columns(df, keys + [y_column])
-    require(not frequency or parse_datetime, "DATETIME_REQUIRED", "frequency requires parse_datetime=true.")
-    require(not frequency or frequency in FREQUENCIES, "INVALID_FREQUENCY", "Unsupported frequency.")
-    require(rolling_window is None or rolling_window >= 1, "INVALID_ROLLING_WINDOW", "rolling_window must be >= 1.")
+    require(not frequency or parse_datetime, "DATETIME_REQUIRED")
+    require(not frequency or frequency in FREQUENCIES, "INVALID_FREQUENCY")
+    require(rolling_window is None or rolling_window >= 1, "INVALID_ROLLING_WINDOW")
     if parse_datetime:
         typed = F.col(x_column).cast("timestamp") if kind(df, x_column) == "datetime" else parse_timestamp(F.col(x_column))
         df = df.withColumn(x_column, typed)
@@ -120,8 +119,8 @@ def build_area_chart(df: DataFrame, x_column: str, y_column: str, **options) ->
 def build_pie_donut(df: DataFrame, category_column: str, value_column=None, aggregation: str = "count",
                     top_n: int | None = None, group_other: bool = True, min_share: float = 0.0,
                     include_missing_category: bool = False) -> DataFrame:
-    require(aggregation in ("count", "sum", "mean"), "INVALID_AGGREGATION", "Unsupported aggregation.")
-    require(0 <= min_share < 1, "INVALID_MIN_SHARE", "min_share must be in [0,1).")
+    require(aggregation in ("count", "sum", "mean"), "INVALID_AGGREGATION")
+    require(0 <= min_share < 1, "INVALID_MIN_SHARE")
     c = F.col(category_column)
     if include_missing_category:
         df = df.withColumn(category_column, F.coalesce(c.cast("string"), F.lit(MISSING)))
@@ -149,7 +148,7 @@ def build_pie_donut(df: DataFrame, category_column: str, value_column=None, aggr
 def build_histogram(df: DataFrame, value_column: str, group_column=None, bins: int = 20, density: bool = False,
                     cumulative: bool = False, lower_quantile=None, upper_quantile=None) -> DataFrame:
     """(group, bin, lower, upper, value) over edges shared by all groups."""
-    require(1 <= bins <= 500, "INVALID_BINS", "bins must be 1..500.")
+    require(1 <= bins <= 500, "INVALID_BINS")
     keys = [group_column] if group_column else []
     v = F.col(value_column).cast("double")
     work = df.dropna(subset=[value_column, *keys]).select(*keys, v.alias("__v"))
@@ -161,7 +160,7 @@ def build_histogram(df: DataFrame, value_column: str, group_column=None, bins: i
         if upper_quantile is not None:
             work = work.filter(F.col("__v") <= F.lit(found[-1]))
     low, high = work.agg(F.min("__v"), F.max("__v")).first()
-    require(low is not None, "NO_DATA", "No numeric data available.")
+    require(low is not None, "NO_DATA")
     if low == high:
         low, high = low - 0.5, high + 0.5
     cuts = linspace(low, high, bins)
@@ -217,7 +216,7 @@ def build_box_violin(df: DataFrame, value_column: str, group_column=None, max_gr
     if keys:
         if max_groups is not None:
             levels = work.select(*keys).distinct().limit(max_groups + 1).count()
-            require(levels <= max_groups, "TOO_MANY_GROUPS", "There are more groups than the caller allows.",
+            require(levels <= max_groups, "TOO_MANY_GROUPS",
                     groups=levels)
         work = work.withColumnRenamed(group_column, "group")
     else:
@@ -239,7 +238,7 @@ def build_box_violin(df: DataFrame, value_column: str, group_column=None, max_gr
 def build_heatmap(df: DataFrame, mode: str = "correlation", columns=None, method: str = "pearson", row_column=None,
                   column_column=None, value_column=None, aggregation: str = "mean",
                   min_observations: int = 3) -> DataFrame:
-    require(mode in ("correlation", "metric"), "INVALID_MODE", "mode must be correlation or metric.")
+    require(mode in ("correlation", "metric"), "INVALID_MODE")
     if mode == "correlation":
         columns = columns or numeric_columns(df)
         return S.correlation_matrix(S.analyze_correlations(df, columns, method, max(2, min_observations)), columns)
@@ -256,15 +255,14 @@ def build_business_chart(df: DataFrame, chart_type: str, category_column: str, v
     Funnel and waterfall run in the order of ``order_column`` (its minimum per category),
     or of the first row of each category.
     """
-    require(chart_type in ("pareto", "variance", "funnel", "waterfall", "combo"), "INVALID_CHART_TYPE",
-            "Unsupported business chart type.")
+    require(chart_type in ("pareto", "variance", "funnel", "waterfall", "combo"), "INVALID_CHART_TYPE")
     require_columns(df, [c for c in (category_column, value_column, comparison_column, line_column, order_column) if c])
     specs = [("value", aggregation, F.col(value_column))]
     if chart_type == "variance":
-        require(bool(comparison_column), "COMPARISON_REQUIRED", "Variance chart needs comparison_column.")
+        require(bool(comparison_column), "COMPARISON_REQUIRED")
         specs.append(("comparison", aggregation, F.col(comparison_column)))
     if chart_type == "combo":
-        require(bool(line_column), "LINE_REQUIRED", "Combo chart needs line_column.")
+        require(bool(line_column), "LINE_REQUIRED")
         specs.append(("line", "mean", F.col(line_column)))
     if chart_type in ("funnel", "waterfall"):
         position = order_column or ROW_ID
@@ -328,8 +326,8 @@ def recommend_charts(df: DataFrame, intent: str = "auto", x_column=None, y_colum
     needs = {"trend": (x_column or time) and y, "distribution": y, "group_distribution": y and group, "comparison": cat,
              "correlation": len(nums) >= 2, "relationship": len(nums) >= 2 or (x_column and y_column),
              "composition": cat, "business": cat and y, "auto": True}
-    require(intent in needs, "INVALID_INTENT", "Unsupported visualization intent.")
-    require(bool(needs[intent]), "INSUFFICIENT_COLUMNS", "The table lacks columns for this intent.")
+    require(intent in needs, "INVALID_INTENT")
+    require(bool(needs[intent]), "INSUFFICIENT_COLUMNS")
     picks: list[tuple[str, float, str | None, str | None]] = []
     if intent == "business":
         picks.append((business_chart_type, 0.99, cat, y))

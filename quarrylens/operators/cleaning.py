@@ -32,7 +32,7 @@ def _fill_literal(df: DataFrame, column: str, value) -> Column:
         "numeric": isinstance(value, (int, float)) and not isinstance(value, bool),
         "boolean": isinstance(value, bool), "string": isinstance(value, str),
     }.get(k, True)
-    require(fits, "INCOMPATIBLE_FILL_VALUE", "Fill value does not fit the column type.", column=column)
+    require(fits, "INCOMPATIBLE_FILL_VALUE", column=column)
     return F.lit(value).cast(df.schema[column].dataType)
 
 
@@ -41,16 +41,15 @@ def apply_missing_value_operation(df: DataFrame, operation: str, columns=None, t
     if operation == "drop_rows_any":
         return df.dropna(how="any", subset=data_columns(df))
     if operation == "drop_rows_selected":
-        require(bool(columns), "COLUMNS_REQUIRED", "Selected columns are required.")
+        require(bool(columns), "COLUMNS_REQUIRED")
         return df.dropna(how="any", subset=require_columns(df, columns))
     if operation == "drop_columns_any":
         return df.drop(*[c for c, r in null_rates(df).items() if r > 0])
     if operation == "drop_columns_threshold":
-        require(threshold is not None and 0 <= float(threshold) <= 100, "INVALID_THRESHOLD",
-                "threshold must be between 0 and 100.")
+        require(threshold is not None and 0 <= float(threshold) <= 100, "INVALID_THRESHOLD")
         return df.drop(*[c for c, r in null_rates(df).items() if r * 100 >= float(threshold)])
-    require(operation == "fill_constant", "UNSUPPORTED_OPERATION", f"Unsupported operation: {operation}")
-    require(fill_value is not None, "FILL_VALUE_REQUIRED", "fill_value is required.")
+    require(operation == "fill_constant", "UNSUPPORTED_OPERATION")
+    require(fill_value is not None, "FILL_VALUE_REQUIRED")
     names = require_columns(df, columns) if columns else data_columns(df)
     return df.withColumns({c: F.coalesce(F.col(c), _fill_literal(df, c, fill_value)) for c in names})
 
@@ -67,12 +66,12 @@ def mode_value(df: DataFrame, column: str):
 def apply_imputation(df: DataFrame, strategy: str, columns: list[str], limit: int | None = None,
                      order_by=None, partition_by=()) -> DataFrame:
     """mean, median, mode; forward/backward fill and interpolation run in row order."""
-    require(bool(columns), "COLUMNS_REQUIRED", "At least one column must be selected.")
+    require(bool(columns), "COLUMNS_REQUIRED")
     columns = require_columns(df, columns)
-    require(limit is None or limit > 0, "INVALID_LIMIT", "limit must be a positive integer.")
+    require(limit is None or limit > 0, "INVALID_LIMIT")
     if strategy in ("mean", "median", "interpolate_linear"):
         for c in columns:
-            require(kind(df, c) == "numeric", "INCOMPATIBLE_COLUMN_TYPE", f"{strategy} requires numeric columns.",
+            require(kind(df, c) == "numeric", "INCOMPATIBLE_COLUMN_TYPE",
                     column=c)
     if strategy in ("mean", "median", "mode"):
         if strategy == "mean":
@@ -87,8 +86,7 @@ def apply_imputation(df: DataFrame, strategy: str, columns: list[str], limit: in
                 found = {c: mode_value(df, c) for c in columns}
             gaps = {c: 1 for c in columns}
         for c in columns:
-            require(found[c] is not None or not gaps[c], "NO_IMPUTATION_VALUE",
-                    f"{strategy} cannot be calculated for an all-null column.", column=c)
+            require(found[c] is not None or not gaps[c], "NO_IMPUTATION_VALUE", column=c)
         fills = {}
         for c in columns:
             if strategy == "mode":
@@ -97,8 +95,7 @@ def apply_imputation(df: DataFrame, strategy: str, columns: list[str], limit: in
                 fills[c] = F.coalesce(F.col(c).cast("double"), F.lit(found[c]))
         return df.withColumns(fills)
 
-    require(strategy in ("forward_fill", "backward_fill", "interpolate_linear"), "UNSUPPORTED_STRATEGY",
-            f"Unsupported strategy: {strategy}")
+    require(strategy in ("forward_fill", "backward_fill", "interpolate_linear"), "UNSUPPORTED_STRATEGY")
     order = [Key(c) if isinstance(c, str) else c for c in (order_by or [ROW_ID])]
     require_columns(df, [k.column for k in order])
     ordered = Ordered(df, list(partition_by), order).number("__rn")
@@ -135,7 +132,7 @@ def text_operation(c: Column, op) -> Column:
     spec = op if isinstance(op, dict) else {"type": op}
     name = spec.get("type")
     if name == "replace_substring":
-        require(spec.get("old") is not None, "REPLACE_VALUE_REQUIRED", "replace_substring requires old.")
+        require(spec.get("old") is not None, "REPLACE_VALUE_REQUIRED")
         return T.literal_replace(c, str(spec["old"]), str(spec.get("new", "")))
     table = {
         "trim": T.strip, "collapse_whitespace": T.collapse, "lowercase": F.lower, "uppercase": F.upper,
@@ -145,15 +142,15 @@ def text_operation(c: Column, op) -> Column:
         "remove_special_characters": lambda x: F.regexp_replace(
             x, "(?U)" + (spec.get("pattern") or T.SPECIAL_CHARACTERS), ""),
     }
-    require(name in table, "UNSUPPORTED_OPERATION", f"Unsupported string operation: {name}")
+    require(name in table, "UNSUPPORTED_OPERATION")
     return table[name](c)
 
 
 def _text_columns(df: DataFrame, columns) -> list[str]:
-    require(bool(columns), "COLUMNS_REQUIRED", "At least one column must be selected.")
+    require(bool(columns), "COLUMNS_REQUIRED")
     columns = require_columns(df, columns)
     bad = [c for c in columns if kind(df, c) == "numeric"]
-    require(not bad, "INCOMPATIBLE_COLUMN_TYPE", "String-compatible columns are required.", columns=bad)
+    require(not bad, "INCOMPATIBLE_COLUMN_TYPE", columns=bad)
     return columns
 
 
@@ -162,7 +159,7 @@ def cleaned_text(c: Column, operations) -> Column:
 
 
 def apply_string_cleaning(df: DataFrame, columns: list[str], operations: list) -> DataFrame:
-    require(bool(operations), "OPERATIONS_REQUIRED", "At least one string operation is required.")
+    require(bool(operations), "OPERATIONS_REQUIRED")
     return df.withColumns({c: cleaned_text(F.col(c), operations) for c in _text_columns(df, columns)})
 
 
@@ -204,24 +201,23 @@ def numeric_operation(c: Column, op) -> Column:
         return F.when(c.rlike(r"(?s)%\s*$") & exact.isNotNull(), F.regexp_replace(text, r"\.$", "")).otherwise(c)
     if name in ("remove_prefix", "remove_suffix"):
         value = spec.get("value")
-        require(value is not None, "PREFIX_REQUIRED" if name == "remove_prefix" else "SUFFIX_REQUIRED",
-                f"{name} requires a value.")
+        require(value is not None, "PREFIX_REQUIRED" if name == "remove_prefix" else "SUFFIX_REQUIRED")
         value = str(value)
         if not value:
             return c
         if name == "remove_prefix":
             return F.when(c.startswith(value), F.substr(c, F.lit(len(value) + 1))).otherwise(c)
         return F.when(c.endswith(value), F.substr(c, F.lit(1), F.length(c) - len(value))).otherwise(c)
-    raise EngineError("UNSUPPORTED_OPERATION", f"Unsupported numeric cleaning operation: {name}")
+    raise EngineError("UNSUPPORTED_OPERATION")
 
 
 def apply_numeric_cleaning(df: DataFrame, columns: list[str], operations: list,
                            on_invalid: str = "keep_original") -> DataFrame:
     """With ``to_numeric`` the column turns double; under keep_original the text stays and
     ``<column>__num`` carries the parsed value, since a column holds one type."""
-    require(bool(columns), "COLUMNS_REQUIRED", "At least one column must be selected.")
-    require(bool(operations), "OPERATIONS_REQUIRED", "At least one operation is required.")
-    require(on_invalid in INVALID, "INVALID_POLICY", "Unsupported invalid-value policy.", on_invalid=on_invalid)
+    require(bool(columns), "COLUMNS_REQUIRED")
+    require(bool(operations), "OPERATIONS_REQUIRED")
+    require(on_invalid in INVALID, "INVALID_POLICY", on_invalid=on_invalid)
     wants_number = any((o.get("type") if isinstance(o, dict) else o) == "to_numeric" for o in operations)
     out = {}
     for c in require_columns(df, columns):
@@ -269,10 +265,10 @@ def apply_date_cleaning(df: DataFrame, columns: list[str], target_type: str = "d
                         dayfirst: bool = False, yearfirst: bool = False, convert_to_utc: bool = False,
                         on_invalid: str = "keep_original") -> DataFrame:
     """ISO text out. The session runs in UTC, so zoned input is already converted."""
-    require(bool(columns), "COLUMNS_REQUIRED", "At least one date column must be selected.")
-    require(target_type in ("date", "datetime"), "INVALID_TARGET_TYPE", "target_type must be date or datetime.")
-    require(on_invalid in INVALID, "INVALID_POLICY", "Unsupported invalid-value policy.", on_invalid=on_invalid)
-    require(input_formats is None or all(input_formats), "INVALID_INPUT_FORMAT", "Formats may not be empty.")
+    require(bool(columns), "COLUMNS_REQUIRED")
+    require(target_type in ("date", "datetime"), "INVALID_TARGET_TYPE")
+    require(on_invalid in INVALID, "INVALID_POLICY", on_invalid=on_invalid)
+    require(input_formats is None or all(input_formats), "INVALID_INPUT_FORMAT")
     out = {}
     for c in require_columns(df, columns):
         raw = F.col(c).cast("string")
@@ -316,7 +312,7 @@ def _mapped(c: Column, mappings: dict, ignore_case: bool) -> tuple[Column, Colum
 
 def apply_category_normalization(df: DataFrame, columns: list[str], operations=None, mappings=None,
                                  case_insensitive_mapping: bool = False) -> DataFrame:
-    require(bool(operations or mappings), "NORMALIZATION_RULE_REQUIRED", "A text operation or mapping is required.")
+    require(bool(operations or mappings), "NORMALIZATION_RULE_REQUIRED")
     out = {}
     for c in _text_columns(df, columns):
         out[c] = _mapped(cleaned_text(F.col(c), operations or []), mappings or {}, case_insensitive_mapping)[0]
@@ -344,10 +340,10 @@ def remove_duplicates(df: DataFrame, mode: str = "exact", columns=None, keep: st
                       order_column: str = ROW_ID) -> DataFrame:
     """Nulls are equal. Copies are folded by a map-side combined aggregate, so a value
     repeated in a third of all rows never meets in one sorted window."""
-    require(keep in ("first", "last", "none"), "INVALID_KEEP_POLICY", "keep must be first, last, or none.")
-    require(mode in ("exact", "columns"), "INVALID_MODE", "mode must be exact or columns.")
+    require(keep in ("first", "last", "none"), "INVALID_KEEP_POLICY")
+    require(mode in ("exact", "columns"), "INVALID_MODE")
     keys = data_columns(df) if mode == "exact" else require_columns(df, columns)
-    require(bool(keys), "COLUMNS_REQUIRED", "Key columns are required.")
+    require(bool(keys), "COLUMNS_REQUIRED")
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         if keep != "none":
@@ -397,14 +393,13 @@ def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr", iqr_m
                    z_threshold: float = 3.0, lower_percentile: float = 1.0,
                    upper_percentile: float = 99.0) -> dict[str, dict]:
     """{column: low, high, and how they came about}; a few numbers on the driver."""
-    require(bool(columns), "COLUMNS_REQUIRED", "At least one column must be selected.")
+    require(bool(columns), "COLUMNS_REQUIRED")
     for c in require_columns(df, columns):
-        require(kind(df, c) == "numeric", "INCOMPATIBLE_COLUMN_TYPE", "Numeric columns are required.", column=c)
-    require(method in ("iqr", "zscore", "percentile"), "INVALID_METHOD", f"Unsupported outlier method: {method}")
-    require(iqr_multiplier > 0, "INVALID_IQR_MULTIPLIER", "iqr_multiplier must be greater than zero.")
-    require(z_threshold > 0, "INVALID_Z_THRESHOLD", "z_threshold must be greater than zero.")
-    require(0 <= lower_percentile < upper_percentile <= 100, "INVALID_PERCENTILE_RANGE",
-            "Percentiles must satisfy 0 <= lower < upper <= 100.")
+        require(kind(df, c) == "numeric", "INCOMPATIBLE_COLUMN_TYPE", column=c)
+    require(method in ("iqr", "zscore", "percentile"), "INVALID_METHOD")
+    require(iqr_multiplier > 0, "INVALID_IQR_MULTIPLIER")
+    require(z_threshold > 0, "INVALID_Z_THRESHOLD")
+    require(0 <= lower_percentile < upper_percentile <= 100, "INVALID_PERCENTILE_RANGE")
     out = {}
     if method == "zscore":
         row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns],
@@ -474,9 +469,8 @@ def apply_outlier_treatment(df: DataFrame, method: str, columns: list[str], acti
                             z_threshold: float = 3.0, **options) -> DataFrame:
     actions = ("remove_rows", "cap", "winsorize", "replace_constant", "replace_median", "replace_mean",
                "retain_and_flag")
-    require(action in actions, "INVALID_ACTION", f"Unsupported action: {action}")
-    require(action != "replace_constant" or replacement_constant is not None, "REPLACEMENT_CONSTANT_REQUIRED",
-            "replacement_constant is required.")
+    require(action in actions, "INVALID_ACTION")
+    require(action != "replace_constant" or replacement_constant is not None, "REPLACEMENT_CONSTANT_REQUIRED")
     bounds = outlier_bounds(df, columns, method, z_threshold=z_threshold, **options)
     flags = {c: _is_outlier(c, b, z_threshold) for c, b in bounds.items()}
     if action == "remove_rows":
@@ -489,9 +483,9 @@ def apply_outlier_treatment(df: DataFrame, method: str, columns: list[str], acti
         }
         return df.withColumns(clipped) if clipped else df
     if action == "retain_and_flag":
-        require(bool(flag_suffix), "FLAG_SUFFIX_REQUIRED", "flag_suffix may not be empty.")
+        require(bool(flag_suffix), "FLAG_SUFFIX_REQUIRED")
         taken = [c + flag_suffix for c in columns if c + flag_suffix in df.columns]
-        require(not taken, "FLAG_COLUMN_EXISTS", "A generated flag column already exists.", columns=taken)
+        require(not taken, "FLAG_COLUMN_EXISTS", columns=taken)
         return df.withColumns({c + flag_suffix: f for c, f in flags.items()})
     if action == "replace_constant":
         values = {c: float(replacement_constant) for c in columns}
@@ -503,7 +497,7 @@ def apply_outlier_treatment(df: DataFrame, method: str, columns: list[str], acti
         else:
             values = {c: v[0] for c, v in quantile_row(inliers, list(flags), [0.5]).items()}
     for c, v in values.items():
-        require(v is not None, "NO_REPLACEMENT_VALUE", "Replacement could not be calculated.", column=c)
+        require(v is not None, "NO_REPLACEMENT_VALUE", column=c)
     return df.withColumns({
         c: F.when(f, F.lit(values[c])).otherwise(F.col(c).cast("double")) for c, f in flags.items()
     })

@@ -62,7 +62,7 @@ def eda_categories(df: DataFrame, include_numeric_low_cardinality: bool = True,
 def analyze_categorical_eda(df: DataFrame, columns=None, rare_threshold: float = 0.01,
                             high_cardinality_threshold: int = 50) -> DataFrame:
     columns = require_columns(df, columns) if columns else eda_categories(df)
-    require(bool(columns), "NO_CATEGORICAL_COLUMNS", "No categorical columns.")
+    require(bool(columns), "NO_CATEGORICAL_COLUMNS")
     counts = attach_totals(value_counts(df, columns, as_type="string"), ["column"], __n=F.sum("count"))
     share = F.col("count") / F.col("__n")
     top = F.struct(F.col("count"), F.col("value"))
@@ -118,7 +118,7 @@ _PAIR = ["column_a", "column_b"]
 def analyze_categorical_relationships(df: DataFrame, columns=None, correction: bool = False) -> DataFrame:
     """Chi-square, both Cramer V forms and expected-count diagnostics for every pair."""
     columns = require_columns(df, columns) if columns else categorical_columns(df)
-    require(len(columns) >= 2, "INSUFFICIENT_COLUMNS", "At least two categorical columns are required.")
+    require(len(columns) >= 2, "INSUFFICIENT_COLUMNS")
     cells = _cells(df, S._pairs(columns))
     t = S.chi_square_from(cells, _PAIR, correction)
     rows = cells.groupBy(*_PAIR, "row_value").agg(F.sum("count").alias("r"))
@@ -199,7 +199,7 @@ def analyze_numeric_categorical_relationships(df: DataFrame, numeric_columns_=No
                                               max_groups: int | None = None, min_group_size: int = 2) -> DataFrame:
     numbers = S._numeric(df, numeric_columns_)
     cats = require_columns(df, categorical_columns_) if categorical_columns_ else categorical_columns(df)
-    require(bool(cats), "NO_CATEGORICAL_COLUMNS", "No categorical columns available.")
+    require(bool(cats), "NO_CATEGORICAL_COLUMNS")
     levels = level_counts(df, cats)
     usable = [c for c in cats if 2 <= levels[c] and (max_groups is None or levels[c] <= max_groups)]
     status = df.sparkSession.range(1).select(F.inline(F.array(*[
@@ -228,7 +228,7 @@ def explore_correlations(df: DataFrame, columns=None, methods=("pearson", "spear
                          absolute_threshold: float = 0.0, redundancy_threshold: float = 0.9) -> DataFrame:
     """Long (method, pair, correlation) with target and redundancy marks."""
     columns = S._numeric(df, columns, 2)
-    require(target_column is None or target_column in columns, "INVALID_TARGET", "target_column must be in columns.")
+    require(target_column is None or target_column in columns, "INVALID_TARGET")
     frames = [S.analyze_correlations(df, columns, m, 3).withColumn("method", F.lit(m)) for m in methods]
     t = reduce(lambda a, b: a.unionByName(b), frames)
     size = F.col("absolute_correlation")
@@ -275,7 +275,7 @@ def explore_distributions(df: DataFrame, columns=None) -> DataFrame:
 def ecdf_points(df: DataFrame, columns=None, points: int = 100) -> DataFrame:
     """(column, x, p) at evenly spaced ranks. Each value finds the point numbers that fall
     into its own run of ranks, so no rank is looked up by a range join."""
-    require(5 <= points <= 1000, "INVALID_ECDF_POINTS", "points must be 5..1000.")
+    require(5 <= points <= 1000, "INVALID_ECDF_POINTS")
     cum = attach_totals(cumulative_counts(df, S._numeric(df, columns)), ["column"], __n=F.sum("count"))
     n = F.col("__n")
     m = F.least(F.lit(points), n)
@@ -313,9 +313,8 @@ def pairwise_comparisons(df: DataFrame, value_column: str, group_column: str, al
     g = S.group_moments(s).filter(F.col("n") >= min_group_size)
     found = g.select("group") if max_groups is None else g.select("group").limit(max_groups + 1)
     names = sorted(r["group"] for r in found.collect())
-    require(max_groups is None or len(names) <= max_groups, "TOO_MANY_GROUPS",
-            "There are more groups than the caller allows.", groups=len(names))
-    require(len(names) >= 2, "INSUFFICIENT_ELIGIBLE_GROUPS", "Fewer than two groups meet min_group_size.")
+    require(max_groups is None or len(names) <= max_groups, "TOO_MANY_GROUPS", groups=len(names))
+    require(len(names) >= 2, "INSUFFICIENT_ELIGIBLE_GROUPS")
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     table = df.sparkSession.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("group_a"), F.lit(b).alias("group_b")) for a, b in pairs])))

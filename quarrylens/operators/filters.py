@@ -53,14 +53,14 @@ def validate_state(filters: list[dict], state: dict) -> dict:
     """Defaults filled in, required filters present, no unknown ids. Driver only."""
     known = {f["id"]: f for f in filters}
     unknown = sorted(set(state) - set(known))
-    require(not unknown, "UNKNOWN_FILTER", "Filter state has unknown filters.", filters=unknown)
+    require(not unknown, "UNKNOWN_FILTER", filters=unknown)
     out = {}
     for name, f in known.items():
-        require(f.get("value_type", "string") in VALUE_TYPES, "INVALID_VALUE_TYPE", "Unsupported value type.")
-        require(f.get("operator", "eq") in STATE_OPERATORS, "UNSUPPORTED_OPERATOR", "Unsupported filter operator.")
+        require(f.get("value_type", "string") in VALUE_TYPES, "INVALID_VALUE_TYPE")
+        require(f.get("operator", "eq") in STATE_OPERATORS, "UNSUPPORTED_OPERATOR")
         value = state.get(name, f.get("default"))
         missing = value is None or value == "" or value == []
-        require(not (missing and f.get("required")), "FILTER_VALUE_REQUIRED", "Required filter has no value.",
+        require(not (missing and f.get("required")), "FILTER_VALUE_REQUIRED",
                 filter=name)
         if not missing or f.get("operator") in ("is_null", "not_null"):
             out[name] = value
@@ -138,11 +138,11 @@ def slicer_values(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def apply_sort(df: DataFrame, sort_by: list, nulls: str = "last") -> DataFrame:
-    require(bool(sort_by), "SORT_KEYS_REQUIRED", "Sorting needs a column to sort by.")
-    require(nulls in ("first", "last"), "INVALID_NULL_PLACEMENT", "nulls must be first or last.")
+    require(bool(sort_by), "SORT_KEYS_REQUIRED")
+    require(nulls in ("first", "last"), "INVALID_NULL_PLACEMENT")
     keys = order_keys(sort_by, nulls)
     names = [k.column for k in keys]
-    require(len(names) == len(set(names)), "DUPLICATE_SORT_COLUMN", "Sort columns may not repeat.")
+    require(len(names) == len(set(names)), "DUPLICATE_SORT_COLUMN")
     require_columns(df, names)
     tie = [F.col(ROW_ID)] if ROW_ID in df.columns and ROW_ID not in names else []
     return df.orderBy(*[k.expr() for k in keys], *tie)
@@ -150,7 +150,7 @@ def apply_sort(df: DataFrame, sort_by: list, nulls: str = "last") -> DataFrame:
 
 def preview(df: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
     """A page of rows in row order; at most 500 of them."""
-    require(offset >= 0 and 1 <= limit <= 500, "INVALID_PAGE", "offset >= 0 and 1 <= limit <= 500 are required.")
+    require(offset >= 0 and 1 <= limit <= 500, "INVALID_PAGE")
     ordered = df.orderBy(ROW_ID) if ROW_ID in df.columns else df
     return ordered.offset(offset).limit(limit)
 
@@ -160,7 +160,7 @@ def table_view(df: DataFrame, columns: list[str] | None = None, conditions: list
                max_rows: int | None = None) -> DataFrame:
     """A page of the filtered table in the given order, else in row order. ``max_rows`` is the
     caller's own bound on how far paging goes."""
-    require(page >= 1 and page_size >= 1, "INVALID_PAGE", "page and page_size start at 1.")
+    require(page >= 1 and page_size >= 1, "INVALID_PAGE")
     if conditions:
         df = apply_row_filter(df, conditions)
     if sort_by:

@@ -21,7 +21,7 @@ def measure(df: DataFrame, keys: list, specs: list[tuple[str, str, Column]]) ->
     where groups are small enough and are ranked on value counts elsewhere.
     """
     for _, fn, _ in specs:
-        require(fn in AGGREGATIONS, "INVALID_AGGREGATION", "Unsupported aggregation.", aggregation=fn)
+        require(fn in AGGREGATIONS, "INVALID_AGGREGATION", aggregation=fn)
     named = [F.col(k) if isinstance(k, str) else k for k in keys]
     work = df.select(*named, *[v.alias(f"__v{i}") for i, (_, _, v) in enumerate(specs)])
     names = work.columns[:len(named)]

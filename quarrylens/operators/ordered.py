@@ -51,10 +51,10 @@ def order_keys(order_by, nulls: str = "last", default_ascending: bool = True) ->
             continue
         spec = {"column": item} if isinstance(item, str) else dict(item)
         unknown = set(spec) - {"column", "direction", "ascending", "nulls"}
-        require(not unknown, "UNKNOWN_PARAMETER", "A sort key does not take these parameters.",
+        require(not unknown, "UNKNOWN_PARAMETER",
                 parameters=sorted(unknown))
         direction = spec.get("direction")
-        require(direction in (None, "asc", "desc"), "INVALID_SORT_DIRECTION", "direction is asc or desc.",
+        require(direction in (None, "asc", "desc"), "INVALID_SORT_DIRECTION",
                 direction=direction)
         ascending = direction == "asc" if direction else bool(spec.get("ascending", default_ascending))
         keys.append(Key(spec["column"], ascending, spec.get("nulls") or nulls))

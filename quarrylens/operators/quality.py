@@ -371,7 +371,7 @@ def _rule(df: DataFrame, spec: dict):
 
 def validate_dataset(df: DataFrame, rules: list[dict]) -> DataFrame:
     """One row per rule: severity, failing rows and status. All row rules share one pass."""
-    require(bool(rules), "RULES_REQUIRED", "At least one rule is required.")
+    require(bool(rules), "RULES_REQUIRED")
     parts, uniques = [], []
     for i, spec in enumerate(rules):
         name, severity, bad = _rule(df, spec)

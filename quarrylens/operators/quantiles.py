@@ -68,7 +68,7 @@ def quantiles_of_counts(cum: DataFrame, keys: list[str], probabilities, interpol
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities, keys=(),
                     interpolation: str = "linear", bounded: bool | None = None) -> DataFrame:
     """One row per key with, for each column, an array of quantiles in request order."""
-    require(interpolation in INTERPOLATIONS, "INVALID_INTERPOLATION", "Unsupported interpolation mode.")
+    require(interpolation in INTERPOLATIONS, "INVALID_INTERPOLATION")
     keys, qs = list(keys), [float(q) for q in probabilities]
     if interpolation == "linear":
         if bounded is None:

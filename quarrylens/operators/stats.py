@@ -30,10 +30,9 @@ def _d(name: str) -> Column:
 
 def _numeric(df: DataFrame, columns=None, least: int = 1) -> list[str]:
     columns = numeric_columns(df) if columns is None else require_columns(df, columns)
-    require(len(columns) >= least, "NO_NUMERIC_COLUMNS" if least == 1 else "INSUFFICIENT_NUMERIC_COLUMNS",
-            "Not enough numeric columns.")
+    require(len(columns) >= least, "NO_NUMERIC_COLUMNS" if least == 1 else "INSUFFICIENT_NUMERIC_COLUMNS")
     bad = [c for c in columns if kind(df, c) != "numeric"]
-    require(not bad, "INCOMPATIBLE_COLUMN_TYPE", "Numeric columns required.", columns=bad)
+    require(not bad, "INCOMPATIBLE_COLUMN_TYPE", columns=bad)
     return columns
 
 
@@ -80,7 +79,7 @@ def _count_facts(cum: DataFrame, probabilities) -> DataFrame:
 
 
 def analyze_descriptive_statistics(df: DataFrame, columns=None, ddof: int = 1) -> DataFrame:
-    require(ddof in (0, 1), "INVALID_DDOF", "ddof must be 0 or 1.")
+    require(ddof in (0, 1), "INVALID_DDOF")
     columns = _numeric(df, columns)
     facts = _count_facts(cumulative_counts(df, columns), [0.5])
     t = moments(df, columns, ddof).join(facts, F.col("column") == F.col("vc"), "left")
@@ -97,12 +96,11 @@ def analyze_descriptive_statistics(df: DataFrame, columns=None, ddof: int = 1) -
 
 def analyze_percentiles(df: DataFrame, columns=None, quantiles=None, interpolation: str = "linear") -> DataFrame:
     """Fixed marks plus one ``q_<p>`` column per requested quantile."""
-    require(interpolation in INTERPOLATIONS, "INVALID_INTERPOLATION", "Unsupported interpolation mode.")
+    require(interpolation in INTERPOLATIONS, "INVALID_INTERPOLATION")
     columns = _numeric(df, columns)
     qs = [0, 0.25, 0.5, 0.75, 1] if quantiles is None else list(quantiles)
-    require(bool(qs) and all(isinstance(q, (int, float)) and 0 <= q <= 1 for q in qs), "INVALID_QUANTILE",
-            "Quantiles must be numbers between 0 and 1.")
-    require(len(qs) == len({float(q) for q in qs}), "DUPLICATE_QUANTILE", "Quantiles must be unique.")
+    require(bool(qs) and all(isinstance(q, (int, float)) and 0 <= q <= 1 for q in qs), "INVALID_QUANTILE")
+    require(len(qs) == len({float(q) for q in qs}), "DUPLICATE_QUANTILE")
     marks = [0.25, 0.5, 0.75, 0.1, 0.9]
     row = exact_quantiles(df, columns, [*marks, *qs], interpolation=interpolation)
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("q")) for c in columns])
@@ -264,9 +262,8 @@ def _both(a: Column, b: Column, value: Column) -> Column:
 
 def analyze_correlations(df: DataFrame, columns=None, method: str = "pearson", min_periods: int = 2) -> DataFrame:
     """Long (column_a, column_b, correlation, absolute_correlation, pairwise_count)."""
-    require(method in ("pearson", "spearman", "kendall"), "INVALID_METHOD",
-            "method must be pearson, spearman, or kendall.")
-    require(isinstance(min_periods, int) and min_periods >= 2, "INVALID_MIN_PERIODS", "min_periods must be >= 2.")
+    require(method in ("pearson", "spearman", "kendall"), "INVALID_METHOD")
+    require(isinstance(min_periods, int) and min_periods >= 2, "INVALID_MIN_PERIODS")
     pairs = _pairs(_numeric(df, columns, 2))
     if method == "pearson":
         def build(a, b):
@@ -305,7 +302,7 @@ def correlation_matrix(correlations: DataFrame, columns: list[str]) -> DataFrame
 
 
 def analyze_covariance(df: DataFrame, columns=None, ddof: int = 1) -> DataFrame:
-    require(ddof in (0, 1), "INVALID_DDOF", "ddof must be 0 or 1.")
+    require(ddof in (0, 1), "INVALID_DDOF")
     columns = _numeric(df, columns, 2)
     pairs = [(a, a) for a in columns] + _pairs(columns)
 
@@ -321,7 +318,7 @@ def analyze_covariance(df: DataFrame, columns=None, ddof: int = 1) -> DataFrame:
 
 def histogram(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
     """Equal-width counts (column, bin, lower, upper, count); the last bin is closed."""
-    require(isinstance(bins, int) and 1 <= bins <= 200, "INVALID_HISTOGRAM_BINS", "bins must be 1..200.")
+    require(isinstance(bins, int) and 1 <= bins <= 200, "INVALID_HISTOGRAM_BINS")
     row = df.agg(*[F.min(_d(c)).alias(f"a_{c}") for c in columns], *[F.max(_d(c)).alias(f"b_{c}")
                                                                     for c in columns]).first()
     marks, edges = [], []
@@ -365,7 +362,7 @@ def tail_label(kurt: Column) -> Column:
 def analyze_distributions(df: DataFrame, columns=None, quantiles=None) -> DataFrame:
     columns = _numeric(df, columns)
     qs = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99] if quantiles is None else list(quantiles)
-    require(bool(qs) and all(0 <= q <= 1 for q in qs), "INVALID_QUANTILES", "Quantiles must be within 0..1.")
+    require(bool(qs) and all(0 <= q <= 1 for q in qs), "INVALID_QUANTILES")
     cum = cumulative_counts(df, columns)
     facts = _count_facts(cum, [0.25, 0.5, 0.75, *qs])
     q = F.col("q")
@@ -416,7 +413,7 @@ AD_CRITICAL = [0.576, 0.656, 0.787, 0.918, 1.092]
 
 
 def analyze_normality(df: DataFrame, columns=None, alpha: float = 0.05) -> DataFrame:
-    require(0 < alpha < 1, "INVALID_ALPHA", "alpha must be between 0 and 1.")
+    require(0 < alpha < 1, "INVALID_ALPHA")
     columns = _numeric(df, columns)
     m = moments(df, columns)
     stats = m.select(F.col("column").alias("mc"), "mean", F.sqrt("variance").alias("sd"))
@@ -466,7 +463,7 @@ def as_samples(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def grouped_samples(df: DataFrame, value_column: str, group_column: str) -> DataFrame:
     require_columns(df, [value_column, group_column])
-    require(kind(df, value_column) == "numeric", "INCOMPATIBLE_COLUMN_TYPE", "value_column must be numeric.")
+    require(kind(df, value_column) == "numeric", "INCOMPATIBLE_COLUMN_TYPE")
     return df.select(F.col(group_column).cast("string").alias("group"), _d(value_column).alias("value")).dropna()
 
 
@@ -580,7 +577,7 @@ def _welch(t: DataFrame):
 
 def calculate_confidence_interval(df: DataFrame, interval_type: str, column=None, column_b=None,
                                   confidence_level: float = 0.95, population_std=None, success_value=True) -> DataFrame:
-    require(0 < confidence_level < 1, "INVALID_CONFIDENCE_LEVEL", "confidence_level must be between 0 and 1.")
+    require(0 < confidence_level < 1, "INVALID_CONFIDENCE_LEVEL")
     require_columns(df, [c for c in (column, column_b) if c])
     upper = F.lit(1 - (1 - confidence_level) / 2)
     z = P.normal_quantile(upper)
@@ -599,8 +596,7 @@ def calculate_confidence_interval(df: DataFrame, interval_type: str, column=None
         v = _d(column) - _d(column_b) if interval_type == "paired_mean_difference" else _d(column)
         t = df.agg(F.count(v).cast("double").alias("n"), F.avg(v).alias("m"), F.var_samp(v).alias("var"))
         if interval_type == "mean_z":
-            require(population_std is not None and population_std > 0, "POPULATION_STD_REQUIRED",
-                    "population_std must be > 0 for mean_z.")
+            require(population_std is not None and population_std > 0, "POPULATION_STD_REQUIRED")
             return spread(t, F.col("m"), F.lit(float(population_std)) / F.sqrt("n"), None, "n")
         return spread(t, F.col("m"), F.sqrt(F.col("var") / F.col("n")), F.col("n") - 1, "n")
     if interval_type == "difference_means_welch":
@@ -613,7 +609,7 @@ def calculate_confidence_interval(df: DataFrame, interval_type: str, column=None
         p, low, high = _wilson(F.col("successes"), F.col("n"), z)
         return t.select(F.lit(interval_type).alias("interval_type"), p.alias("estimate"), low.alias("lower"),
                         high.alias("upper"), "successes", "n")
-    require(interval_type == "difference_proportions", "INVALID_INTERVAL_TYPE", "Unsupported interval type.")
+    require(interval_type == "difference_proportions", "INVALID_INTERVAL_TYPE")
     t = df.agg(*[x for s, c in (("a", column), ("b", column_b)) for x in (
         F.count(c).cast("double").alias(f"n_{s}"),
         F.count_if(F.col(c) == F.lit(success_value)).cast("double").alias(f"s_{s}"))])
@@ -658,7 +654,7 @@ def calculate_effect_size(df: DataFrame, effect_type: str, column: str, column_b
             F.count(c).alias(f"n_{s}"), F.avg((F.col(c) == F.lit(success_value)).cast("double")).alias(f"p_{s}"))])
         value = 2 * F.asin(F.sqrt("p_a")) - 2 * F.asin(F.sqrt("p_b"))
         return t.select(head, value.alias("value"), P.magnitude(value).alias("magnitude"), "n_a", "n_b")
-    require(effect_type == "cramers_v", "INVALID_EFFECT_TYPE", "Unsupported effect size type.")
+    require(effect_type == "cramers_v", "INVALID_EFFECT_TYPE")
     t = chi_square_test(df, column, column_b)
     return t.select(head, F.col("cramers_v").alias("value"),
                     P.magnitude(F.col("cramers_v"), 0.1, 0.3, 0.5).alias("magnitude"),
@@ -668,8 +664,7 @@ def calculate_effect_size(df: DataFrame, effect_type: str, column: str, column_b
 # ---------------------------------------------------------------- t tests
 
 def _alternative(alternative: str) -> None:
-    require(alternative in ("two-sided", "less", "greater"), "INVALID_ALTERNATIVE",
-            "alternative must be two-sided, less, or greater.")
+    require(alternative in ("two-sided", "less", "greater"), "INVALID_ALTERNATIVE")
 
 
 def _t_result(t: DataFrame, diff: Column, se: Column, deg: Column, alternative: str, alpha: float,
@@ -706,12 +701,12 @@ def independent_t_test(df: DataFrame, sample_mode: str = "columns", column_a=Non
                        group_column=None, group_a=None, group_b=None, equal_var: bool = False,
                        alternative: str = "two-sided", alpha: float = 0.05,
                        confidence_level: float = 0.95) -> DataFrame:
-    require(sample_mode in ("columns", "grouped"), "INVALID_SAMPLE_MODE", "sample_mode must be columns or grouped.")
+    require(sample_mode in ("columns", "grouped"), "INVALID_SAMPLE_MODE")
     if sample_mode == "columns":
         _numeric(df, [column_a, column_b])
         s, a, b = as_samples(df, [column_a, column_b]), column_a, column_b
     else:
-        require(group_a != group_b, "GROUPS_MUST_DIFFER", "group_a and group_b must be different.")
+        require(group_a != group_b, "GROUPS_MUST_DIFFER")
         a, b = str(group_a), str(group_b)
         s = grouped_samples(df, value_column, group_column).filter(F.col("group").isin(a, b))
     g = group_moments(s)
@@ -735,7 +730,7 @@ def independent_t_test(df: DataFrame, sample_mode: str = "columns", column_a=Non
 
 def paired_t_test(df: DataFrame, column_a: str, column_b: str, alternative: str = "two-sided", alpha: float = 0.05,
                   confidence_level: float = 0.95) -> DataFrame:
-    require(column_a != column_b, "SAME_COLUMN", "Two distinct numeric columns are required.")
+    require(column_a != column_b, "SAME_COLUMN")
     require_columns(df, [column_a, column_b])
     a, b = _d(column_a), _d(column_b)
     v = a - b
@@ -791,7 +786,7 @@ def chi_square_from(cells: DataFrame, keys=(), correction: bool = False) -> Data
 
 def chi_square_test(df: DataFrame, row_column: str, column_column: str, alpha: float = 0.05,
                     correction: bool = False) -> DataFrame:
-    require(row_column != column_column, "SAME_COLUMN", "Two distinct categorical columns are required.")
+    require(row_column != column_column, "SAME_COLUMN")
     cells = contingency_table(df, row_column, column_column).select("row_value", "column_value", "count")
     out = chi_square_from(cells, correction=correction)
     return out.withColumn("reject_null", F.col("p_value") < alpha)
@@ -804,7 +799,7 @@ def fisher_exact_test(df: DataFrame, row_column: str, column_column: str, altern
     cells = contingency_table(df, row_column, column_column).limit(5).collect()
     rows = sorted({r["row_value"] for r in cells}, key=str)
     cols = sorted({r["column_value"] for r in cells}, key=str)
-    require(len(rows) == 2 and len(cols) == 2, "REQUIRES_2X2", "Fisher exact test requires a 2x2 table.",
+    require(len(rows) == 2 and len(cols) == 2, "REQUIRES_2X2",
             shape=[len(rows), len(cols)])
     found = {(r["row_value"], r["column_value"]): r["count"] for r in cells}
     a, b, c, d = (found.get((x, y), 0) for x in rows for y in cols)
@@ -953,7 +948,7 @@ def analyze_non_parametric(df: DataFrame, test_type: str, column_a=None, column_
         out = t.select(chi.alias("statistic"), P.chi2_sf(chi, k - 1).alias("p_value"), n.cast("long").alias("n_blocks"),
                        F.lit(k).alias("k"), (chi / (n * (k - 1))).alias("kendalls_w"))
     else:
-        require(test_type == "sign_test", "INVALID_TEST_TYPE", "Unsupported non-parametric test.")
+        require(test_type == "sign_test", "INVALID_TEST_TYPE")
         _numeric(df, [column_a])
         v = _d(column_a) - F.lit(float(median0))
         t = df.agg(F.count_if(v > 0).alias("positive"), F.count_if(v < 0).alias("negative"),
@@ -972,9 +967,9 @@ def analyze_ab_test(df: DataFrame, variant_column: str, control_value, treatment
                     expected_treatment_share: float = 0.5, srm_alpha: float = 0.01, segments=()) -> DataFrame:
     """One row, or one per segment: uplift, test, interval, effect and sample-ratio check."""
     require_columns(df, [variant_column, metric_column, *segments])
-    require(control_value != treatment_value, "SAME_VARIANT", "control_value and treatment_value must differ.")
-    require(metric_type in ("binary", "continuous"), "INVALID_METRIC_TYPE", "metric_type must be binary or continuous.")
-    require(0 < expected_treatment_share < 1, "INVALID_EXPECTED_ALLOCATION", "expected_treatment_share must be in 0..1.")
+    require(control_value != treatment_value, "SAME_VARIANT")
+    require(metric_type in ("binary", "continuous"), "INVALID_METRIC_TYPE")
+    require(0 < expected_treatment_share < 1, "INVALID_EXPECTED_ALLOCATION")
     used = df.filter(F.col(variant_column).isin(control_value, treatment_value) & F.col(metric_column).isNotNull())
     treated = F.col(variant_column) == F.lit(treatment_value)
     if metric_type == "binary":
@@ -1029,9 +1024,9 @@ def power_columns(design: str, effect: Column, n: Column, n2: Column | None = No
                   power: float = 0.8, alternative: str = "two-sided", allocation_ratio: float = 1.0,
                   groups: int = 3) -> dict[str, Column]:
     """achieved_power for the observed sizes and required_n for the wanted power, per row."""
-    require(design in DESIGNS, "INVALID_DESIGN", "Unsupported design.", design=design)
-    require(0 < alpha < 1 and 0 < power < 1, "INVALID_ALPHA", "alpha and power must be between 0 and 1.")
-    require(alternative in ("two-sided", "one-sided"), "INVALID_ALTERNATIVE", "two-sided or one-sided.")
+    require(design in DESIGNS, "INVALID_DESIGN", design=design)
+    require(0 < alpha < 1 and 0 < power < 1, "INVALID_ALPHA")
+    require(alternative in ("two-sided", "one-sided"), "INVALID_ALTERNATIVE")
     za = P.normal_quantile(1 - alpha / (2 if alternative == "two-sided" else 1))
     zb = P.normal_quantile(power)
     size = F.abs(effect)

@@ -14,19 +14,18 @@ ROLLING = {"sum", "avg", "min", "max", "count", "median", "std"}
 
 def _setup(df: DataFrame, spec: dict, default_name: str, seen: set, ascending: bool):
     name = str(spec.get("output_column") or default_name).strip()
-    require(bool(name), "OUTPUT_COLUMN_REQUIRED", "output_column must be non-empty.")
-    require(name not in seen, "DUPLICATE_OUTPUT_COLUMN", "Output columns must be unique.", column=name)
+    require(bool(name), "OUTPUT_COLUMN_REQUIRED")
+    require(name not in seen, "DUPLICATE_OUTPUT_COLUMN", column=name)
     seen.add(name)
-    require(name not in df.columns or bool(spec.get("replace")), "OUTPUT_COLUMN_EXISTS",
-            "Output column already exists.", column=name)
+    require(name not in df.columns or bool(spec.get("replace")), "OUTPUT_COLUMN_EXISTS", column=name)
     parts = list(spec.get("partition_by") or [])
-    require(len(parts) == len(set(parts)), "DUPLICATE_PARTITION_COLUMN", "partition_by contains duplicates.")
-    require(bool(spec.get("order_by")), "ORDER_BY_REQUIRED", "At least one order_by column is required.")
+    require(len(parts) == len(set(parts)), "DUPLICATE_PARTITION_COLUMN")
+    require(bool(spec.get("order_by")), "ORDER_BY_REQUIRED")
     nulls = spec.get("nulls", "last")
-    require(nulls in ("first", "last"), "INVALID_NULL_PLACEMENT", "nulls must be first or last.")
+    require(nulls in ("first", "last"), "INVALID_NULL_PLACEMENT")
     order = order_keys(spec["order_by"], nulls, ascending)
     names = [k.column for k in order]
-    require(len(names) == len(set(names)), "DUPLICATE_ORDER_COLUMN", "order_by contains duplicates.")
+    require(len(names) == len(set(names)), "DUPLICATE_ORDER_COLUMN")
     require_columns(df, parts + names, "UNKNOWN_ORDER_OR_PARTITION_COLUMN")
     return name, parts, order
 
@@ -34,13 +33,12 @@ def _setup(df: DataFrame, spec: dict, default_name: str, seen: set, ascending: b
 def _source(df: DataFrame, spec: dict, numeric: bool) -> str:
     column = spec.get("source_column")
     require_columns(df, [column], "UNKNOWN_SOURCE_COLUMN")
-    require(not numeric or kind(df, column) == "numeric", "INCOMPATIBLE_COLUMN_TYPE",
-            "A numeric source column is required.", column=column)
+    require(not numeric or kind(df, column) == "numeric", "INCOMPATIBLE_COLUMN_TYPE", column=column)
     return column
 
 
 def _operations(operations) -> list[dict]:
-    require(bool(operations), "OPERATIONS_REQUIRED", "At least one operation is required.")
+    require(bool(operations), "OPERATIONS_REQUIRED")
     return operations
 
 
@@ -49,8 +47,7 @@ def apply_ranking(df: DataFrame, operations: list[dict]) -> DataFrame:
     seen: set = set()
     for spec in _operations(operations):
         method = spec.get("method", "rank")
-        require(method in ("rank", "dense_rank", "row_number", "percent_rank"), "INVALID_METHOD",
-                "Unsupported ranking method.")
+        require(method in ("rank", "dense_rank", "row_number", "percent_rank"), "INVALID_METHOD")
         name, parts, order = _setup(df, spec, "rank", seen, ascending=False)
         df = Ordered(same_rows(df.drop(name), df), parts, order).ranks(name, method).df
     return df
@@ -62,8 +59,7 @@ def apply_running_totals(df: DataFrame, operations: list[dict]) -> DataFrame:
         source = _source(df, spec, True)
         name, parts, order = _setup(df, spec, f"{source}_running_total", seen, ascending=True)
         policy = spec.get("null_policy", "skip")
-        require(policy in ("skip", "zero", "propagate"), "INVALID_NULL_POLICY",
-                "null_policy must be skip, zero, or propagate.")
+        require(policy in ("skip", "zero", "propagate"), "INVALID_NULL_POLICY")
         value = F.col(source).cast("double")
         specs = {"__run": ("sum", F.coalesce(value, F.lit(0.0)))}
         if policy == "propagate":
@@ -93,8 +89,8 @@ def apply_lag_lead(df: DataFrame, operations: list[dict]) -> DataFrame:
     for spec in _operations(operations):
         source = _source(df, spec, False)
         direction, offset = spec.get("direction", "lag"), spec.get("offset", 1)
-        require(direction in ("lag", "lead"), "INVALID_DIRECTION", "direction must be lag or lead.")
-        require(isinstance(offset, int) and offset >= 1, "INVALID_OFFSET", "offset must be a positive integer.")
+        require(direction in ("lag", "lead"), "INVALID_DIRECTION")
+        require(isinstance(offset, int) and offset >= 1, "INVALID_OFFSET")
         name, parts, order = _setup(df, spec, f"{source}_{direction}_{offset}", seen, ascending=True)
         shift = F.lag if direction == "lag" else F.lead
         before, after = (offset, 0) if direction == "lag" else (0, offset)
@@ -111,14 +107,13 @@ def apply_rolling_windows(df: DataFrame, operations: list[dict]) -> DataFrame:
     for spec in _operations(operations):
         source = _source(df, spec, True)
         fn, size = spec.get("function", "avg"), spec.get("window")
-        require(fn in ROLLING, "INVALID_FUNCTION", "Unsupported rolling function.", function=fn)
-        require(isinstance(size, int) and size >= 1, "INVALID_WINDOW", "window must be a positive integer.")
+        require(fn in ROLLING, "INVALID_FUNCTION", function=fn)
+        require(isinstance(size, int) and size >= 1, "INVALID_WINDOW")
         least = spec.get("min_periods")
         least = size if least is None else least
-        require(isinstance(least, int) and 1 <= least <= size, "INVALID_MIN_PERIODS",
-                "min_periods must be between 1 and window.")
+        require(isinstance(least, int) and 1 <= least <= size, "INVALID_MIN_PERIODS")
         ddof = spec.get("ddof", 1)
-        require(isinstance(ddof, int) and ddof >= 0, "INVALID_DDOF", "ddof must be a non-negative integer.")
+        require(isinstance(ddof, int) and ddof >= 0, "INVALID_DDOF")
         name, parts, order = _setup(df, spec, f"{source}_rolling_{fn}_{size}", seen, ascending=True)
         c = F.col(source).cast("double")
 

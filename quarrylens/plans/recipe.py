@@ -19,10 +19,10 @@ RECIPE_SYMBOLS = ["$", "€", "£", "₹", "¥"]
 
 
 def validate_recipe_steps(steps: list[dict]) -> None:
-    require(bool(steps), "STEPS_REQUIRED", "Recipe requires at least one step.")
+    require(bool(steps), "STEPS_REQUIRED")
     for i, s in enumerate(steps):
-        require(s.get("type") in STEPS, "UNSUPPORTED_STEP", f"Unsupported recipe step: {s.get('type')}", step_index=i)
-        require(isinstance(s.get("params", {}), dict), "INVALID_STEP_PARAMS", "Step params must be an object.",
+        require(s.get("type") in STEPS, "UNSUPPORTED_STEP", step_index=i)
+        require(isinstance(s.get("params", {}), dict), "INVALID_STEP_PARAMS",
                 step_index=i)
 
 

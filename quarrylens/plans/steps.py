@@ -25,8 +25,8 @@ _PREVIEW = {"max_examples", "max_preview_rows", "max_group_examples"}
 
 
 def _external(frames: dict, ref, index: int, tool: str) -> DataFrame:
-    require(bool(ref), "EXTERNAL_DATASET_REQUIRED", f"{tool} requires an external dataset.", step_index=index, tool=tool)
-    require(ref in frames, "EXTERNAL_DATASET_NOT_FOUND", "External dataset was not supplied.", step_index=index,
+    require(bool(ref), "EXTERNAL_DATASET_REQUIRED", step_index=index, tool=tool)
+    require(ref in frames, "EXTERNAL_DATASET_NOT_FOUND", step_index=index,
             tool=tool, ref=ref)
     return frames[ref]
 
@@ -60,22 +60,20 @@ def execute_steps(df: DataFrame, steps: list[dict], external_frames: dict[str, D
     Names and parameters are checked against schemas while the plan is built, so a bad
     step fails before any data is read.
     """
-    require(bool(steps), "STEPS_REQUIRED", "At least one transformation step is required.")
+    require(bool(steps), "STEPS_REQUIRED")
     frames = external_frames or {}
     history, analyses = [], []
     for i, s in enumerate(steps):
         tool = s.get("tool")
-        require(tool in TOOLS, "UNKNOWN_TOOL", "Step references an unsupported tool.", step_index=i, tool=tool)
+        require(tool in TOOLS, "UNKNOWN_TOOL", step_index=i, tool=tool)
         try:
             following, found = apply_tool(df, tool, s.get("parameters") or {}, frames, i)
         except EngineError as exc:
             if exc.code.startswith("EXTERNAL_DATASET"):
                 raise
-            raise EngineError("STEP_FAILED", f"Step {i} ({tool}) failed: {exc.message}",
-                              {**exc.details, "step_index": i, "tool": tool, "engine_code": exc.code}) from exc
+            raise EngineError("STEP_FAILED", details={**exc.details, "step_index": i, "tool": tool, "engine_code": exc.code}) from exc
         except TypeError as exc:
-            raise EngineError("STEP_FAILED", f"Step {i} ({tool}) has invalid parameters: {exc}",
-                              {"step_index": i, "tool": tool}) from exc
+            raise EngineError("STEP_FAILED", details={"step_index": i, "tool": tool, "reason": str(exc)}) from exc
         if found is not None:
             analyses.append({"step_index": i, "tool": tool, "result": found})
         history.append({"step_index": i, "tool": tool, "tool_number": TOOLS[tool], "before": df, "after": following,

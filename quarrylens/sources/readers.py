@@ -30,10 +30,10 @@ def detect_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
 
 
 def _check_headers(names: list[str]) -> None:
-    require(all(n and n.strip() for n in names), "BLANK_HEADER", "Header contains a blank column name.")
+    require(all(n and n.strip() for n in names), "BLANK_HEADER")
     folded = [n.strip().lower() for n in names]
     repeated = sorted({n for n in folded if folded.count(n) > 1})
-    require(not repeated, "DUPLICATE_HEADER", "Header contains duplicate column names.", columns=repeated)
+    require(not repeated, "DUPLICATE_HEADER", columns=repeated)
 
 
 def read_delimited(spark: SparkSession, path: str, has_header: bool = True, delimiter: str | None = None,
@@ -46,7 +46,7 @@ def read_delimited(spark: SparkSession, path: str, has_header: bool = True, deli
     sep = delimiter or detect_delimiter(spark, path, encoding)
     head = spark.read.option("sep", sep).option("encoding", encoding).option("header", "false").csv(path).limit(1)
     first = head.collect()
-    require(bool(first), "EMPTY_FILE", "The file has no rows.")
+    require(bool(first), "EMPTY_FILE")
     if has_header:
         raw = (spark.read.option("encoding", encoding).text(path).limit(1).collect()[0][0]).lstrip("﻿")
         row = spark.createDataFrame([(raw,)], "line string").select(F.from_csv(
@@ -65,7 +65,7 @@ def read_delimited(spark: SparkSession, path: str, has_header: bool = True, deli
     df = reader.csv(path)
     if check_ragged:
         bad = df.filter(F.col(CORRUPT).isNotNull()).limit(1).select(CORRUPT, *names).collect()
-        require(not bad, "RAGGED_ROWS", "Rows differ in their number of fields.",
+        require(not bad, "RAGGED_ROWS",
                 example=bad[0][CORRUPT] if bad else None)
     df = df.drop(CORRUPT)
     if infer_types:
@@ -103,7 +103,7 @@ def read_json(spark: SparkSession, path: str, is_jsonl: bool | None = None) -> D
     """
     if is_jsonl is None:
         start = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-        require(bool(start), "EMPTY_FILE", "The file has no content.")
+        require(bool(start), "EMPTY_FILE")
         is_jsonl = start[0][0].lstrip("﻿ \t").startswith("{")
     df = spark.read.option("multiLine", str(not is_jsonl).lower()).json(path)
     fields = df.schema.fields
@@ -148,7 +148,7 @@ def read_table(spark: SparkSession, url: str, table: str, partition_column: str
 
 def largest_table(spark: SparkSession, url: str, tables: list[str], **properties) -> str:
     """Name of the table with most rows; the counts run inside the database."""
-    require(bool(tables), "NO_TABLES", "The database has no tables.")
+    require(bool(tables), "NO_TABLES")
     base = spark.read.format("jdbc").option("url", url).options(**properties)
     sizes = {t: base.option("query", f"SELECT COUNT(*) AS n FROM {t}").load().first()[0] for t in tables}
     return max(sorted(sizes), key=lambda t: sizes[t])
@@ -174,13 +174,12 @@ def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
     """Route one path to its reader by the names of its files."""
     kinds = detect_file_types(spark, path).where("file_type IS NOT NULL").select("file_type").distinct().collect()
     found = sorted(r["file_type"] for r in kinds)
-    require(bool(found), "UNSUPPORTED_FILE_TYPE", "Nothing below this path has a known type.", path=path)
-    require(len(found) == 1, "MIXED_FILE_TYPES", "The path holds files of several types.", types=found)
+    require(bool(found), "UNSUPPORTED_FILE_TYPE", path=path)
+    require(len(found) == 1, "MIXED_FILE_TYPES", types=found)
     reader = {"csv": read_delimited, "json": read_json, "parquet": read_parquet}[found[0]]
     try:
         return reader(spark, path, **options)
     except EngineError:
         raise
     except Exception as exc:
-        raise EngineError("FILE_TYPE_MISMATCH", "The files are not what their names say.",
-                          {"path": path, "reason": str(exc).split("\n")[0]}) from exc
+        raise EngineError("FILE_TYPE_MISMATCH", details={"path": path, "reason": str(exc).split("\n")[0]}) from exc

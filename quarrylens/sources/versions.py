@@ -71,7 +71,7 @@ class VersionStore:
         if version is not None:
             info = info.filter(F.col("version_number") == version)
         rows = info.orderBy(F.desc("version_number")).limit(1).collect()
-        require(bool(rows), "VERSION_NOT_FOUND", "Dataset version was not found.", dataset=dataset, version=version)
+        require(bool(rows), "VERSION_NOT_FOUND", dataset=dataset, version=version)
         return self.spark.read.parquet(rows[0]["path"])
 
     def write(self, df: DataFrame, dataset: str, step: str = "import", parameters: dict | None = None,
@@ -118,7 +118,7 @@ def version_diff(before: DataFrame, after: DataFrame, row_id: str = ROW_ID) -> D
 def export_table(df: DataFrame, path: str, fmt: str = "csv", max_rows: int | None = None) -> DataFrame:
     """Report sink: all rows (``max_rows`` is the caller's own bound); text that a spreadsheet
     would run gets a quote in front."""
-    require(fmt in ("csv", "parquet"), "UNSUPPORTED_FORMAT", "csv or parquet.")
+    require(fmt in ("csv", "parquet"), "UNSUPPORTED_FORMAT")
     out = safe_cells(df)
     out = out if max_rows is None else out.limit(max_rows)
     writer = out.write.mode("overwrite")

@@ -207,3 +207,23 @@ def test_version_store(spark, tmp_path):
     assert (first["version_number"], second["version_number"]) == (1, 2)
     assert store.catalog().first().health_score == 90.0 and store.read("t", 1).count() == 10
     assert not ve.same_content(frame, frame.union(frame))
+
+
+def test_binning_rules(spark):
+    frame = spark.createDataFrame([(float(v),) for v in (0, 1, 5, 10, 11)] + [(None,)], "v double")
+
+    def bins(**spec):
+        out = co.apply_binning(frame, [{"column": "v", "method": "custom", "edges": [0, 5, 10], "output_column": "b", **spec}])
+        return {r.v: r.b for r in out.collect()}
+
+    assert bins() == {0: "bin_1", 1: "bin_1", 5: "bin_1", 10: "bin_2", 11: None, None: None}
+    assert bins(include_lowest=False)[0] is None
+    assert bins(right=False) == {0: "bin_1", 1: "bin_1", 5: "bin_2", 10: None, 11: None, None: None}
+    assert bins(out_of_range="clip", labels=["x", "y"]) == {0: "x", 1: "x", 5: "x", 10: "y", 11: "y", None: None}
+    for bad in ({"edges": [5, 0]}, {"edges": [1]}, {"labels": ["x"]}, {"labels": ["x", "x"]}, {"method": "odd"}):
+        with pytest.raises(EngineError):
+            bins(**bad)
+    flat = frame.where("v = 1")
+    with pytest.raises(EngineError) as found:
+        co.apply_binning(flat, [{"column": "v", "method": "equal_width", "bins": 3}])
+    assert code(found) == "CONSTANT_COLUMN"
