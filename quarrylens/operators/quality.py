@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from quarrylens.errors import require
 from quarrylens.functions.text import EMAIL_PATTERN, NUMBER_PATTERN, strip
-from quarrylens.ids import ROW_ID, data_columns
+from quarrylens.ids import ROW_ID, data_columns, numeric_columns
 from quarrylens.operators.cleaning import duplicate_groups, duplicate_metrics
 from quarrylens.operators.ordered import attach_totals
-from quarrylens.operators.quantiles import quantiles_of_counts, value_counts, with_below
+from quarrylens.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts, with_below
+from quarrylens.session import cut_lineage
 
 # Null tokens, value patterns and name lists of the two type layers.
 NULL_TOKENS = ["", "null", "none", "na", "n/a", "nan"]
@@ -193,48 +194,85 @@ def detect_semantic_schema(df: DataFrame, counts: DataFrame | None = None, basic
 
 # ---------------------------------------------------------------- profiles
 
-def profile_numeric(df: DataFrame, counts: DataFrame | None = None, basic: DataFrame | None = None,
-                    semantic: DataFrame | None = None) -> DataFrame:
-    """Population moments and quartiles of numeric columns and of text that reads as numbers."""
-    counts = column_counts(df) if counts is None else counts
-    basic = detect_basic_schema(df, counts) if basic is None else basic
-    semantic = detect_semantic_schema(df, counts, basic) if semantic is None else semantic
+_PARTS = ["non_null_count", "sum", "mean", "min", "max", "variance", "g1", "g2", "zero_count", "negative_count",
+          "positive_count", "own_unique"]
+
+
+def _typed_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Moments of columns that are numbers by schema: wide aggregates over the raw rows, forty
+    columns at a time, which combine map-side and shuffle one row per task."""
+    frames = []
+    for i in range(0, len(columns), 40):
+        parts = []
+        for c in columns[i:i + 40]:
+            v = F.col(c).cast("double")
+            v = F.when(~F.isnan(v), v)
+            built = [F.count(v), F.sum(v), F.avg(v), F.min(v), F.max(v), F.var_pop(v), F.skewness(v), F.kurtosis(v),
+                     F.count_if(v == 0), F.count_if(v < 0), F.count_if(v > 0), F.lit(None).cast("long")]
+            parts.append(F.struct(F.lit(c).alias("column"), *[x.alias(n) for x, n in zip(built, _PARTS)]))
+        frames.append(df.agg(F.array(*parts).alias("a")).select(F.inline("a")))
+    return reduce(lambda x, y: x.unionByName(y), frames)
+
+
+def _typed_quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    clean = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
+    row = exact_quantiles(clean, columns, [0.25, 0.5, 0.75])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("qc"), F.col(c).alias("q")) for c in columns])))
+
+
+def _text_numbers(counts: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Moments and quartiles of text that reads as numbers, from its value counts."""
     text = F.replace(strip(F.col("value")), F.lit(","), F.lit(""))
     number = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
-    values = counts.withColumn("value", number).filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
-        F.sum("count").alias("count"))
+    read = counts.filter(F.col("column").isin(*columns)).withColumn("value", number).filter("value IS NOT NULL")
+    values = read.groupBy("column", "value").agg(F.sum("count").alias("count"))
     v, c = F.col("value"), F.col("count")
-    mean = F.sum(v * c) / F.sum(c)
     d = v - F.col("__mu")
-    moments = attach_totals(values, ["column"], __mu=mean).groupBy("column").agg(
+    sums = attach_totals(values, ["column"], __mu=F.sum(v * c) / F.sum(c)).groupBy("column").agg(
         F.sum(c).alias("non_null_count"), F.sum(v * c).alias("sum"), F.max("__mu").alias("mean"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.count(F.lit(1)).alias("unique_count"),
-        F.sum(d * d * c).alias("m2"), F.sum(d * d * d * c).alias("m3"), F.sum(d * d * d * d * c).alias("m4"),
-        F.coalesce(F.sum(F.when(v == 0, c)), F.lit(0)).alias("zero_count"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.sum(d * d * c).alias("m2"), F.sum(d * d * d * c).alias("m3"),
+        F.sum(d * d * d * d * c).alias("m4"), F.coalesce(F.sum(F.when(v == 0, c)), F.lit(0)).alias("zero_count"),
         F.coalesce(F.sum(F.when(v < 0, c)), F.lit(0)).alias("negative_count"),
-        F.coalesce(F.sum(F.when(v > 0, c)), F.lit(0)).alias("positive_count"),
-    )
-    quartiles = quantiles_of_counts(with_below(values, ["column"]), ["column"], [0.25, 0.5, 0.75]).select(
-        F.col("column").alias("qc"), "q")
-    meta = semantic.select(F.col("column").alias("sc"), "semantic_type", "physical_type").join(
-        _names_frame(df), F.col("sc") == F.col("name"))
-    full = moments.join(quartiles, F.col("column") == F.col("qc")).join(meta, F.col("column") == F.col("sc"))
+        F.coalesce(F.sum(F.when(v > 0, c)), F.lit(0)).alias("positive_count"), F.count(F.lit(1)).alias("own_unique"))
+    n, m2 = F.col("non_null_count"), F.col("m2")
+    moments = sums.withColumns({
+        "variance": m2 / n, "g1": F.try_divide(F.sqrt(n) * F.col("m3"), F.pow(m2, 1.5)),
+        "g2": F.try_divide(n * F.col("m4"), m2 * m2) - 3}).select("column", *_PARTS)
+    quartiles = quantiles_of_counts(with_below(values, ["column"]), ["column"], [0.25, 0.5, 0.75])
+    return moments, quartiles.select(F.col("column").alias("qc"), "q")
+
+
+def profile_numeric(df: DataFrame, counts: DataFrame | None = None, basic: DataFrame | None = None,
+                    semantic: DataFrame | None = None) -> DataFrame:
+    """Population moments and quartiles of numeric columns and of text that reads as numbers."""
+    counts = column_counts(df) if counts is None else counts
+    basic = detect_basic_schema(df, counts) if basic is None else basic
+    semantic = detect_semantic_schema(df, counts, basic) if semantic is None else semantic
+    typed = numeric_columns(df)
+    texts = [c for c in data_columns(df) if c not in typed]
+    found = [(_typed_moments(df, typed), _typed_quartiles(df, typed))] if typed else []
+    found += [_text_numbers(counts, texts)] if texts else []
+    moments = reduce(lambda x, y: x.unionByName(y), [m for m, _ in found])
+    quartiles = reduce(lambda x, y: x.unionByName(y), [q for _, q in found])
+    sizes = basic.select(F.col("column").alias("bc"), F.col("unique_count"))
+    meta = semantic.select(F.col("column").alias("sc"), "position", "semantic_type", "physical_type")
+    rows = df.agg(F.count(F.lit(1)).alias("total_rows"))
+    full = moments.join(quartiles, F.col("column") == F.col("qc")).join(meta, F.col("column") == F.col("sc")).join(
+        sizes, F.col("column") == F.col("bc")).withColumn("total_rows", rows.scalar())
     n, sem = F.col("non_null_count"), F.coalesce(F.col("semantic_type"), F.lit(""))
-    chosen = ~sem.isin("identifier", "postal_code", "phone_number", "boolean") & (
+    chosen = (n > 0) & ~sem.isin("identifier", "postal_code", "phone_number", "boolean") & (
         F.col("physical_type").isin("integer", "float") | sem.isin("currency", "percentage", "age")
         | (n / F.col("total_rows") >= 0.8))
-    var = F.col("m2") / n
-    sd = F.sqrt(var)
+    sd, missing = F.sqrt("variance"), F.col("total_rows") - n
     return full.filter(chosen).select(
-        "position", "column", F.col("total_rows").alias("count"), "non_null_count",
-        (F.col("total_rows") - n).alias("null_count"),
-        F.round((F.col("total_rows") - n) * 100.0 / F.col("total_rows"), 6).alias("null_percentage"),
+        "position", "column", F.col("total_rows").alias("count"), "non_null_count", missing.alias("null_count"),
+        F.round(missing * 100.0 / F.col("total_rows"), 6).alias("null_percentage"),
         "sum", "mean", F.col("q")[1].alias("median"), "min", "max", (F.col("max") - F.col("min")).alias("range"),
-        sd.alias("std_dev"), var.alias("variance"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"),
-        (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "unique_count", "zero_count", "negative_count",
-        "positive_count",
-        F.when((n >= 3) & (sd > 0), F.col("m3") / n / F.pow(sd, 3)).alias("skewness"),
-        F.when((n >= 4) & (sd > 0), F.col("m4") / n / F.pow(sd, 4) - 3).alias("kurtosis"),
+        sd.alias("std_dev"), "variance", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"),
+        (F.col("q")[2] - F.col("q")[0]).alias("iqr"),
+        F.coalesce("own_unique", "unique_count").alias("unique_count"), "zero_count", "negative_count",
+        "positive_count", F.when((n >= 3) & (sd > 0), F.col("g1")).alias("skewness"),
+        F.when((n >= 4) & (sd > 0), F.col("g2")).alias("kurtosis"),
     )
 
 
@@ -466,14 +504,17 @@ def health_score(df: DataFrame, rules: list[dict] | None = None, report: dict |
 def quality_frames(df: DataFrame, rules: list[dict] | None = None, keep: bool = True) -> dict:
     """Every quality section as a lazy frame over one shared table of value counts.
 
-    ``keep`` persists the counts and the sections that others build on (these have a row per
-    column), in memory and on disk, so that each is computed once however many read it;
-    callers unpersist the frames when done.
+    With ``keep`` the counts are persisted (memory and disk; callers unpersist
+    ``value_counts`` when done), and the sections that others build on, which have a row per
+    column, are computed at once and written to the shared folder, so that neither their rows
+    nor their plans are built again by those that read them.
     """
     def shared(frame: DataFrame) -> DataFrame:
-        return frame.persist(StorageLevel.MEMORY_AND_DISK) if keep else frame
+        return cut_lineage(frame) if keep else frame
 
-    counts = shared(column_counts(df))
+    counts = column_counts(df)
+    if keep:
+        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     basic = shared(detect_basic_schema(df, counts))
     semantic = shared(detect_semantic_schema(df, counts, basic))
     if rules is None:

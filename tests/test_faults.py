@@ -227,3 +227,15 @@ def test_binning_rules(spark):
     with pytest.raises(EngineError) as found:
         co.apply_binning(flat, [{"column": "v", "method": "equal_width", "bins": 3}])
     assert code(found) == "CONSTANT_COLUMN"
+
+
+def test_numbers_profile_alike_as_text(spark):
+    frame = spark.range(500).selectExpr("pmod(hash(id), 40) - 7 AS v", "id")
+    numbers = qu.profile_numeric(frame.select("v")).drop("position").first().asDict()
+    text = qu.profile_numeric(frame.selectExpr("concat(' ', v, '.0') AS v")).drop("position").first().asDict()
+    assert numbers.keys() == text.keys()
+    for key, value in numbers.items():
+        assert text[key] == (pytest.approx(value) if isinstance(value, float) else value), key
+    mixed = frame.selectExpr("v", "if(id % 5 = 0, null, cast(id AS double)) AS w", "'x' AS s", "CAST('NaN' AS double) AS n")
+    found = {r.column: r for r in qu.profile_numeric(mixed).collect()}
+    assert set(found) >= {"v", "w"} and found["w"].null_count == 100
