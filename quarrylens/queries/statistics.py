@@ -183,7 +183,7 @@ def _(t):
 @query(
     "t1_descriptive",
     _each(
-        "count({c})::BIGINT AS count, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, min({c}) AS min, max({c}) AS max, "
+        "count({c})::BIGINT AS count, round(avg({c}), 5) AS mean, round(median({c}), 6) AS median, min({c}) AS min, max({c}) AS max, "
         "round(sum({c}), 2) AS sum, round(var_samp({c}), 2) AS variance, round(stddev_samp({c}), 6) AS std_dev, "
         "round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis, count(DISTINCT {c})::BIGINT AS unique_count"
     ),
@@ -517,7 +517,7 @@ def _(t):
 @query(
     "e7_explore_distributions",
     "WITH m AS (SELECT median(l_extendedprice) AS m FROM lineitem) SELECT 'l_extendedprice' AS \"column\", "
-    "round(median(abs(l_extendedprice - m)), 4) AS mad, round(skewness(ln(1 + l_extendedprice)), 4) AS log_skewness FROM lineitem, m",
+    "round(median(abs(l_extendedprice - m)), 4) AS mad, round(skewness(ln(l_extendedprice)), 4) AS log_skewness FROM lineitem, m",
 )
 def _(t):
     out = eda.explore_distributions(_lines(t), ["l_extendedprice"])
