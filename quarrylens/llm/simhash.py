@@ -24,6 +24,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -229,8 +230,14 @@ def near_duplicate_groups(
     id that links of at most ``max_bits`` differing bits reach; ``group`` names it by the least
     fingerprint, also where ids are null."""
     prints = saved(fingerprints(docs, ["doc_id", *keep]))
+    return named_groups(prints, lambda fps: golay_links(fps, max_bits), keep)
+
+
+def named_groups(prints: DataFrame, links: Callable, keep: list[str] = ()) -> DataFrame:
+    """Rows of ``prints`` (doc_id, fp and the columns ``keep``) with the groups that the links
+    (u, v) make which ``links`` finds among their distinct ``fp``."""
     least = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = saved(components(golay_links(least.select("fp"), max_bits)))
+    roots = saved(components(links(least.select("fp"))))
     joined = least.join(roots, least["fp"] == roots["node"])
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = joined.join(named, "root").select("fp", "root", "component_id")
@@ -246,10 +253,10 @@ def near_duplicate_groups(
     return prints.join(names, "fp").select("doc_id", *keep, "fp", "component_id", "group")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, grouped: Callable = near_duplicate_groups) -> DataFrame:
     """One document of each group: the one with the least id (nulls last), whole and once."""
     keyed = docs.withColumns(dict(zip(KEY, row_key(F.col("doc_id"), F.col("text")), strict=True)))
-    groups = near_duplicate_groups(keyed, KEY)
+    groups = grouped(keyed, KEY)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("first")
     chosen = groups.groupBy("group").agg(first).select(*[f"first.{k}" for k in KEY])
     kept = keyed.join(chosen, KEY, "left_semi").dropDuplicates(KEY)
