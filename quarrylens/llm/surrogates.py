@@ -3,8 +3,8 @@
 Detected entities (e-mail and IPv4 addresses, phone, card and social security numbers, names
 after a form of address) are replaced by made-up ones of the same type and format: digits for
 digits, letters for letters of the same case, octets for octets, a card number that passes or
-fails its checksum as the original does, a name of the gender its form of address tells and
-of the same script. A surrogate is a keyed hash of (type, entity), so all mentions of an
+fails its checksum as the original does, each word of a name by a name of the gender its form
+of address tells (male where it tells none) and of the same script. A surrogate is a keyed hash of (type, entity), so all mentions of an
 entity get the same one in every document, and without the key nothing leads back.
 
 Distinct entities must stay distinct. All distinct entities of the corpus are checked: where
@@ -33,7 +33,17 @@ ROUNDS = 8
 
 # Patterns of the entity types, in order of precedence.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_ADDRESS = "Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа"
+_ADDRESS = (
+    "Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа"
+    "|Dr|Prof|Professor|Доктор|Профессор"
+)
+# A word of a name: letters, also after an apostrophe (not that of a possessive) or a hyphen.
+_WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:(?:['’](?!s(?!\p{L}))|-)[\p{L}\p{M}]++){0,8}+"
+# Capitals with full stops before more of the name, or a capital alone before another word.
+_INITIAL = r"(?:\p{Lu}\.){1,4}(?= ?\p{Lu})|\p{Lu}(?= \p{Lu})"
+_PARTICLE = "(?:(?:van|von|der|den|de|del|della|da|di|du|la|le|al|bin|ibn|zu|zur|ter|dos|das) ){0,3}"
+_TITLE = rf"(?:(?:{_ADDRESS})\.? )"
+_MORE = rf"(?: {_PARTICLE}|(?<=\.))(?!(?:{_ADDRESS})(?!\p{{L}}))(?:{_INITIAL}|(?=\p{{Lu}}[\p{{L}}'’-]){_WORD})"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])",
@@ -42,11 +52,11 @@ PATTERNS = {
     "phone": r"\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
     r"|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
     r"|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_ADDRESS})\.? \p{{Lu}}\p{{Ll}}+",
+    "name": rf"(?<![\p{{L}}]){_TITLE}{{1,4}}{_PARTICLE}(?:{_INITIAL}|{_WORD})(?:{_MORE}){{0,8}}+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # A cheap test that every text with an entity passes.
-HINT = rf"[0-9@]|(?:{_ADDRESS})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|{_TITLE}{_PARTICLE}\p{{Lu}}"
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)"
 # Names to draw from, by script and gender.
 NAMES = {
@@ -116,25 +126,51 @@ def _card(entity: Column, drawn: Column) -> Column:
     return F.concat(body, F.when(valid, right).otherwise(wrong).cast("string"))
 
 
-def _name(entity: Column, stream: Column) -> Column:
-    address = F.regexp_extract(entity, r"^(\p{L}+\.? )", 1)
+def _name(entity: Column, key: str) -> Column:
+    """Every word replaced by its own surrogate, so that a surname stays the same with and
+    without a first name. Only the first words of several are drawn again under a salt."""
+    address = F.regexp_extract(entity, rf"^({_TITLE}+)", 1)
+    rest = F.substring(entity, F.length(address) + 1, F.length(entity))
     cyrillic = entity.rlike(r"[\p{IsCyrillic}]$")
     female = entity.rlike(FEMALE)
 
-    def pick(script: str, gender: str) -> Column:
+    def pick(stream: Column, script: str, gender: str) -> Column:
         pool = NAMES[(script, gender)]
         first = F.element_at(F.lit(pool), _draw(stream, F.lit(1), len(pool)) + 1)
         # A made-up ending keeps distinct names distinct in a pool this small.
         letters = "abcdefghijklmnopqrstuvwxyz" if script == "latin" else "абвгдежзиклмнопрст"
         tail = [
             F.substring(F.lit(letters), _draw(stream, F.lit(k), len(letters)) + 1, 1)
-            for k in (7, 11, 13, 17)
+            for k in (7, 11, 13, 17, 19, 23)
         ]
         return F.concat(first, *tail)
 
-    latin = F.when(female, pick("latin", "f")).otherwise(pick("latin", "m"))
-    slavic = F.when(female, pick("cyrillic", "f")).otherwise(pick("cyrillic", "m"))
-    return F.concat(address, F.when(cyrillic, slavic).otherwise(latin))
+    def shown(word: Column, stream: Column) -> Column:
+        latin = F.when(female, pick(stream, "latin", "f")).otherwise(pick(stream, "latin", "m"))
+        slavic = F.when(female, pick(stream, "cyrillic", "f")).otherwise(pick(stream, "cyrillic", "m"))
+        drawn = F.when(cyrillic, slavic).otherwise(latin)
+        return F.when(F.length(word) == 1, F.substring(drawn, 1, 1)).otherwise(drawn)
+
+    words = F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0))
+    salt = F.col("salt").cast("string")
+    streams = F.transform(
+        words,
+        lambda w, i: F.sha2(
+            F.concat_ws(
+                ":",
+                F.lit(key),
+                F.lit("name"),
+                F.when((i > 0) & (i == F.size(words) - 1), "0").otherwise(salt),
+                F.lower(w),
+            ),
+            512,
+        ),
+    )
+    gaps = F.split(rest, _WORD, -1)
+    pairs = F.zip_with(
+        gaps, F.zip_with(words, streams, shown), lambda g, x: F.array(g, F.coalesce(x, F.lit("")))
+    )
+    return F.concat(address, F.array_join(F.flatten(pairs), ""))
 
 
 def draw_surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
@@ -161,7 +197,7 @@ def draw_surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
         F.when(F.col("kind") == "ipv4", octets)
         .when(F.col("kind") == "card", _card(entity, F.col("drawn")))
         .when(F.col("kind") == "email", mail)
-        .when(F.col("kind") == "name", _name(entity, stream))
+        .when(F.col("kind") == "name", _name(entity, key))
         .otherwise(F.col("drawn"))
     )
     return frame.withColumn("surrogate", surrogate).drop("stream", "drawn", "last_draw")

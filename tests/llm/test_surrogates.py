@@ -60,3 +60,42 @@ def test_long_words_and_empty_table(spark, empty, clash):
     frame = spark.createDataFrame([(1, "x" * 300_000 + " 5"), (2, "1" * 50_000)], "doc_id long, text string")
     assert [r.n_entities for r in sg.pseudonymize(frame)[0].collect()] == [0, 0]
     assert sg.pseudonymize(clash(empty))[0].count() == 0
+
+
+NAMES = [
+    ("Mr. John Smith", " said so."),
+    ("Mr. Smith", "'s dog. The end"),
+    ("Mrs. McDonald", ", I think"),
+    ("Ms. Anna-Maria Lopez", "\nnext"),
+    ("Mr O'Brien", " I know"),
+    ("Dr. Jane Roe", "; Then"),
+    ("Frau Dr. Ursula von der Leyen", "."),
+    ("Prof. J. R. R. Tolkien", ". It"),
+    ("Mr. J.R. Ewing", " left"),
+    ("Mr. T", " left"),
+    ("Mr. D’Angelo", " Mrs. Jones met"),
+    ("Госпожа Анна Иванова-Петрова", " и"),
+]
+
+
+def test_whole_names(spark):
+    frame = spark.createDataFrame([(i, n + rest) for i, (n, rest) in enumerate(NAMES)], "doc_id long, text string")
+    out, mapped = sg.pseudonymize(frame)
+    pairs = {r.entity: r.surrogate for r in mapped.collect()}
+    assert set(pairs) == {n for n, _ in NAMES} | {"Mrs. Jones"}
+    assert len(set(pairs.values())) == len(pairs)
+    rows = {r.doc_id: r.text for r in out.collect()}
+    for i, (name, rest) in enumerate(NAMES):
+        assert rows[i] == pairs[name] + rest.replace("Mrs. Jones", pairs["Mrs. Jones"])
+        title = {"Mr.", "Mrs.", "Ms.", "Mr", "Dr.", "Prof.", "Frau", "Госпожа", "von", "der"}
+        for word in re.findall(r"[^ .]{2,}\.?", name):
+            assert word in title or word not in rows[i]
+    assert pairs["Mr. John Smith"].split()[-1] == pairs["Mr. Smith"].split()[-1]
+    assert pairs["Frau Dr. Ursula von der Leyen"].startswith("Frau Dr. ")
+    assert " von der " in pairs["Frau Dr. Ursula von der Leyen"]
+
+
+def test_long_runs_of_capitalised_words(spark):
+    texts = [(1, "Mr. " + "A " * 50_000), (2, "Mr. X" + "y" * 300_000), (3, "Mr. " + "A." * 50_000)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    assert [r.n_entities for r in sg.pseudonymize(frame)[0].orderBy("doc_id").collect()] == [1, 1, 1]
