@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarrylens.llm import (
+    alignment,
     decontamination,
     mixing,
     quality_rules,
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_secret_owners": secret_scan.op8_secret_owners,
         "op9_simhash_golay": simhash.op9_simhash_golay,
         "op10_surrogates": surrogates.op10_surrogates,
+        "op11_token_alignment": alignment.op11_token_alignment,
     }
 
 
