@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarrylens.llm import (
     alignment,
     decontamination,
+    merkle,
     mixing,
     quality_rules,
     secret_scan,
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op9_simhash_golay": simhash.op9_simhash_golay,
         "op10_surrogates": surrogates.op10_surrogates,
         "op11_token_alignment": alignment.op11_token_alignment,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
     }
 
 
@@ -38,4 +40,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_rule_ledger": quality_rules.OP2_SQL,
         "op3_winnowing": decontamination.OP3_SQL,
         "op4_pareto_mix": mixing.OP4_SQL,
+        "op12_merkle_manifest": merkle.OP12_SQL,
     }

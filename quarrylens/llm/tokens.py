@@ -14,10 +14,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from itertools import islice
 
-import numpy as np
-
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 # Ids that a cache of chunks holds before it is emptied.
@@ -110,7 +109,8 @@ class ChunkCache:
 
 
 def raw_ids(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def parts_of(items: list, size: int):
