@@ -7,6 +7,7 @@ from quarrylens.llm import (
     decontamination,
     merkle,
     mixing,
+    packing,
     quality_rules,
     secret_scan,
     sharding,
@@ -32,6 +33,7 @@ def queries() -> dict:
         "op10_surrogates": surrogates.op10_surrogates,
         "op11_token_alignment": alignment.op11_token_alignment,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_best_fit_packing": packing.op13_best_fit_packing,
     }
 
 
