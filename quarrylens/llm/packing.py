@@ -5,10 +5,12 @@ bins; a bitset holds which amounts of free space occur among them, so the tighte
 fits into is the lowest set bit from the piece's length on. Where no bin fits and all are open,
 the fullest closes first: the lowest set bit of all.
 
-What a task still has open at its end is at most ``OPEN`` bins. These are packed again as single
-items, by the same rule, in rounds of ever fewer tasks, until one task has them all: no more than
-``GATHER`` times ``OPEN`` items ever meet in a task, and the whole table ends with one set of
-open bins instead of one a task. Closed bins are never touched again.
+Pieces arrive in the order of the table, longest first within blocks of about a million
+characters. What a task still has open at its end is at most ``OPEN`` bins. Their pieces are
+packed again by the same rule, longest first, in rounds of ever fewer tasks, until one task has
+them all: the pieces of no more than about ``GATHER`` times ``OPEN`` bins meet in a task, and the
+whole table ends with one set of open bins instead of one a task. Closed bins are never touched
+again.
 
 Only documents longer than a sequence are cut. The first piece takes what whole sequences leave
 over, so every other piece is a sequence of its own and never enters a bin.
@@ -37,9 +39,9 @@ GATHER = 16
 END_ID = 0
 
 _PIECES = (
-    "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, used long, open boolean"
+    "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, open boolean"
 )
-_ITEMS = "item long, bin long, place long, used long, open boolean"
+_MOVES = "own_bin long, own_place long, length long, bin long, place long, open boolean"
 
 
 class OpenBins:
@@ -110,7 +112,7 @@ def pieces(docs: DataFrame, byte_file: str, text_col: str, capacity: int) -> Dat
         end = tokens.raw_ids([END_ID])
         waiting: dict[int, list[tuple]] = {}  # open bin -> its pieces
         names = [f.split()[0] for f in _PIECES.split(", ")]
-        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.bool_()]
+        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.bool_()]
 
         def batch_of(rows):
             columns = zip(*rows, strict=True)
@@ -128,20 +130,21 @@ def pieces(docs: DataFrame, byte_file: str, text_col: str, capacity: int) -> Dat
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for block in _blocks(texts):
-                done = []
+                found, done = [], []
                 for i, raw in zip(block, encoded([texts[i] for i in block]), strict=True):
                     for number, (start, length) in enumerate(cuts(len(raw) // 4, capacity)):
                         crc = zlib.crc32(raw[4 * start : 4 * (start + length)])
-                        bin_number, place = bins.add(length)
-                        row = (ids[i], number, start, length, crc, bin_number, place)
-                        waiting.setdefault(bin_number, []).append(row)
+                        found.append((ids[i], number, start, length, crc))
+                # The pieces of a block arrive longest first.
+                for row in sorted(found, key=lambda r: -r[3]):
+                    bin_number, place = bins.add(row[3])
+                    waiting.setdefault(bin_number, []).append((*row, bin_number, place))
                 still = bins.left()
                 for number in [n for n in waiting if n not in still]:
-                    done += [(*row, 0, False) for row in waiting.pop(number)]
+                    done += [(*row, False) for row in waiting.pop(number)]
                 if done:
                     yield batch_of(done)
-        still = bins.left()
-        rest = [(*row, still[number], True) for number, rows in waiting.items() for row in rows]
+        rest = [(*row, True) for rows in waiting.values() for row in rows]
         if rest:
             yield batch_of(rest)
 
@@ -162,16 +165,13 @@ def _blocks(texts: list[str | None]):
         yield block
 
 
-def gathered(open_bins: DataFrame, capacity: int) -> DataFrame:
-    """(item, bin, place) for all open bins of the tasks: where their contents end up.
-
-    Each round packs the bins that the round before left open as items of their used size."""
-    items = saved(open_bins)
-    moves = items.select("item", F.col("item").alias("bin"), F.lit(0).cast("long").alias("place"))
-    tasks, number = None, 1
+def gathered(open_pieces: DataFrame, capacity: int) -> DataFrame:
+    """(own_bin, own_place, bin, place, ...): where the pieces (own_bin, own_place, length) that
+    the tasks left in open bins end up. Each round packs what the round before left open."""
+    waiting = saved(open_pieces.withColumn("bin", F.col("own_bin")))
+    settled, number, tasks = [], 1, 0
     while tasks != 1:
-        count = items.count()
-        tasks = max(1, -(-count // (GATHER * OPEN)))
+        tasks = max(1, -(-waiting.select("bin").distinct().count() // (GATHER * OPEN)))
 
         def run(batches, number=number):
             import pyarrow as pa
@@ -179,37 +179,34 @@ def gathered(open_bins: DataFrame, capacity: int) -> DataFrame:
             bins = OpenBins(_first_bin(number), capacity, OPEN)
             rows = []
             for batch in batches:
-                for item, used in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    rows.append((item, *bins.add(used)))
+                for own_bin, own_place, length in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                    rows.append((own_bin, own_place, length, *bins.add(length)))
             still = bins.left()
-            rows = [(*row, still.get(row[1], 0), row[1] in still) for row in rows]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [*[pa.int64()] * 4, pa.bool_()]
-            names = [f.split()[0] for f in _ITEMS.split(", ")]
+            columns = list(zip(*[(*row, row[3] in still) for row in rows], strict=True)) or [()] * 6
+            kinds = [*[pa.int64()] * 5, pa.bool_()]
+            names = [f.split()[0] for f in _MOVES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-        dealt = items.repartition(tasks, F.xxhash64("item")) if tasks > 1 else items.coalesce(1)
-        packed = saved(dealt.sortWithinPartitions("item").mapInArrow(run, _ITEMS))
-        step = packed.select(F.col("item").alias("from"), F.col("bin").alias("to"), F.col("place").alias("shift"))
-        moves = saved(
-            moves.join(step, F.col("bin") == F.col("from"), "left").select(
-                "item", F.coalesce("to", "bin").alias("bin"), (F.col("place") + F.coalesce("shift", F.lit(0))).alias("place"))
-        )
-        items = saved(packed.where("open").groupBy(F.col("bin").alias("item")).agg(F.max("used").alias("used")))
+        dealt = waiting.repartition(tasks, F.xxhash64("bin")) if tasks > 1 else waiting.coalesce(1)
+        longest_first = dealt.sortWithinPartitions(F.desc("length"), "own_bin", "own_place")
+        packed = saved(longest_first.select("own_bin", "own_place", "length").mapInArrow(run, _MOVES))
+        settled.append(packed if tasks == 1 else packed.where("not open"))
+        waiting = packed.where("open").select("own_bin", "own_place", "length", "bin")
         number += 1
-    return moves
+    return reduce(lambda a, b: a.unionByName(b), settled)
 
 
 def pack(docs: DataFrame, byte_file: str = tokens.BYTE_BPE, text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     placed = pieces(docs, byte_file, text_col, capacity)
-    open_bins = placed.where("open").groupBy(F.col("bin").alias("item")).agg(F.max("used").alias("used"))
-    moves = gathered(open_bins, capacity).select("item", F.col("bin").alias("to"), F.col("place").alias("shift"))
-    moved = placed.where("open").join(moves, F.col("bin") == F.col("item"))
+    left = placed.where("open")
+    moves = gathered(left.select(F.col("bin").alias("own_bin"), F.col("place").alias("own_place"), "length"), capacity)
+    moves = moves.select("own_bin", "own_place", F.col("bin").alias("to"), F.col("place").alias("at"))
+    moved = left.join(moves, (F.col("bin") == F.col("own_bin")) & (F.col("place") == F.col("own_place")))
     fixed = ["doc_id", "piece", "start", "length", "ids_crc32"]
     parts = [
         placed.where("not open").select(*fixed, F.col("bin").alias("sequence_id"), F.col("place").alias("offset")),
-        moved.select(*fixed, F.col("to").alias("sequence_id"), (F.col("place") + F.col("shift")).alias("offset")),
+        moved.select(*fixed, F.col("to").alias("sequence_id"), F.col("at").alias("offset")),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
