@@ -76,22 +76,14 @@ class Aligner:
     def __init__(self, byte_file: bytes, piece_file: bytes):
         self.a = tokens.ByteBpe(byte_file, specials_are_text=True)
         self.b = tokens.PieceBpe(piece_file)
-        self.a_bytes, self.b_bytes = self.a.token_bytes(), self.b.token_bytes()
-        self.a_size = np.array([len(t) for t in self.a_bytes])
-        self.b_size = np.array([len(t) for t in self.b_bytes])
-        self.cache = tokens.ChunkCache(self._encode, lambda e: (len(e[0]) + len(e[1])) // 4)
+        self.cache = tokens.ChunkCache(self._encode)
         # Decimal ids followed by what comes next in the listing of the groups.
         self.said = [f"{i}{end}".encode() for i in range(self.a.size) for end in ",|"]
         self.said += [f"{i}{end}".encode() for i in range(self.b.size) for end in ",;"]
 
     def _encode(self, found: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        spaced = [" " + c for c in found]
-        entries = []
-        for text, a, b in zip(spaced, self.a.encode(spaced), self.b.encode(found), strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
-            same = raw == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b])
-            entries.append((tokens.raw_ids(a), tokens.raw_ids(b), same))
-        return entries
+        both = zip(self.a.spaced(found), self.b.spaced(found), strict=True)
+        return [(a, b, a_same and b_same) for (a, a_same), (b, b_same) in both]
 
     def block(self, texts: list[list[str]]) -> list[tuple]:
         """Per list of chunks: (n_a, n_b, n_groups, n_links, listing of the groups, distinct
@@ -113,7 +105,7 @@ class Aligner:
         n_b = np.array([len(r) // 4 for r in b_raw])
         a = np.frombuffer(b"".join(a_raw), "<u4").astype(np.int64)
         b = np.frombuffer(b"".join(b_raw), "<u4").astype(np.int64)
-        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        ends_a, ends_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
 
         label_a, label_b = terminals(ends_a, ends_b)
         last_b = label_b == np.arange(len(b))

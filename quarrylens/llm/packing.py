@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, byte_file: str, text_col: str, capacity: int) -> Dat
         import pyarrow as pa
 
         model = tokens.ByteBpe(file.value, specials_are_text=False)
-        cache = tokens.ChunkCache(lambda found: [tokens.raw_ids(ids) for ids in model.encode(found)], lambda e: len(e) // 4)
+        cache = tokens.ChunkCache(lambda found: [raw for raw, _ in model.spaced(found)])
         bins = OpenBins(_first_bin(0), capacity, OPEN)
         end = tokens.raw_ids([END_ID])
         waiting: dict[int, list[tuple]] = {}  # open bin -> its pieces
@@ -119,13 +119,14 @@ def pieces(docs: DataFrame, byte_file: str, text_col: str, capacity: int) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         def encoded(texts):
-            """Per text the ids as bytes; chunks behind the first have their space before them."""
-            lists = [tokens.chunks(t) if t else [] for t in texts]
-            wanted = [" " + c if k else c for own in lists for k, c in enumerate(own)]
-            entries, at = cache.of(wanted), 0
-            for own in lists:
-                yield b"".join(entries[at : at + len(own)]) + end
-                at += len(own)
+            """Per text the ids as bytes; the first chunk has no space before it."""
+            lists = [tokens.chunks(t or "") for t in texts]
+            heads = model.encode([own[0] for own in lists])
+            entries, at = cache.of([c for own in lists for c in own[1:]]), 0
+            for head, own in zip(heads, lists, strict=True):
+                upto = at + len(own) - 1
+                yield b"".join([tokens.raw_ids(head), *entries[at:upto], end])
+                at = upto
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -17,10 +17,13 @@ import re
 import struct
 from itertools import islice
 
+import numpy as np
+
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
-# Ids that a cache of chunks holds before it is emptied.
-CACHED_IDS = 2_000_000
+# Chunks that a cache holds before it is emptied, and their greatest length.
+CACHED = 400_000
+LONGEST_CACHED = 100
 _CUT = re.compile(r" (?=[!-~\w])(?<=[!-~\w] )")
 
 
@@ -42,7 +45,43 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class ByteBpe:
+def _visible(char: str) -> bool:
+    return "!" <= char <= "~" or char.isalnum()
+
+
+class _Vocabulary:
+    """A tokenizer with the bytes of its tokens."""
+
+    def __init__(self, token_bytes: list[bytes]):
+        self.token_bytes = token_bytes
+        self.sizes = np.array([len(t) for t in token_bytes])
+        self.size = len(token_bytes)
+
+    def spaced(self, found: list[str]) -> list[tuple[bytes, bool]]:
+        """Per chunk the ids of a space and the chunk, and whether their bytes are these.
+
+        Chunks with visible characters at both ends are encoded as one text and cut apart by
+        the sizes of the tokens; where that does not fit, and for the rest, each on its own."""
+        clean = [c for c in found if _visible(c[0]) and _visible(c[-1])]
+        known = {}
+        if clean:
+            raws = [b" " + c.encode() for c in clean]
+            ids = self.with_space([" ".join(clean)])[0]
+            if b"".join([self.token_bytes[i] for i in ids]) == b"".join(raws):
+                wanted = np.cumsum([len(r) for r in raws])
+                ends = np.cumsum(self.sizes[np.array(ids)])
+                last = np.searchsorted(ends, wanted)
+                if np.array_equal(ends[last], wanted):
+                    packed, borders = raw_ids(ids), [0, *(4 * (last + 1)).tolist()]
+                    known = {c: (packed[i:j], True) for c, i, j in zip(clean, borders, borders[1:], strict=False)}
+        rest = [c for c in found if c not in known]
+        for chunk, ids in zip(rest, self.with_space(rest), strict=True):
+            raw = b"".join([self.token_bytes[i] for i in ids])
+            known[chunk] = (raw_ids(ids), raw == b" " + chunk.encode())
+        return [known[c] for c in found]
+
+
+class ByteBpe(_Vocabulary):
     """Byte-level tokenizer out of the contents of a ``tokenizers`` file."""
 
     def __init__(self, file: bytes, specials_are_text: bool):
@@ -51,61 +90,55 @@ class ByteBpe:
 
         self.model = Tokenizer.from_str(file.decode())
         self.model.encode_special_tokens = specials_are_text
-        self.size = self.model.get_vocab_size()
+        table = byte_level()
+        names = [self.model.id_to_token(i) or "" for i in range(self.model.get_vocab_size())]
+        super().__init__([bytes(table[c] for c in n) if all(c in table for c in n) else n.encode() for n in names])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def token_bytes(self) -> list[bytes]:
-        table = byte_level()
-        names = (self.model.id_to_token(i) or "" for i in range(self.size))
-        return [bytes(table[c] for c in name) if all(c in table for c in name) else name.encode() for name in names]
+    def with_space(self, texts: list[str]) -> list[list[int]]:
+        return self.encode([" " + t for t in texts])
 
 
-class PieceBpe:
+class PieceBpe(_Vocabulary):
     """Piece tokenizer with a space put before the text, out of the contents of its model."""
 
     def __init__(self, file: bytes):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_proto=file)
-        self.size = self.model.get_piece_size()
-        pieces = [self.model.id_to_piece(i) for i in range(self.size)]
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("A piece holds a space behind a character; chunks cannot be encoded on their own.")
-        self.pieces = pieces
+        super().__init__([
+            bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
+            for i, p in enumerate(pieces)
+        ])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
-    def token_bytes(self) -> list[bytes]:
-        return [
-            bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
-            for i, p in enumerate(self.pieces)
-        ]
+    with_space = encode
 
 
 class ChunkCache:
-    """Chunk -> whatever ``encode`` makes of it; emptied when it holds ``CACHED_IDS`` ids."""
+    """Chunk -> whatever ``encode`` makes of it; emptied when it holds ``CACHED`` chunks."""
 
-    def __init__(self, encode, weigh):
-        self.encode, self.weigh = encode, weigh
+    def __init__(self, encode):
+        self.encode = encode
         self.known: dict = {}
-        self.held = 0
 
     def of(self, wanted: list[str]) -> list:
-        known = self.known
-        missing = {c for c in wanted if c not in known}
-        if missing:
-            if self.held > CACHED_IDS:
-                known.clear()
-                self.held = 0
-                missing = set(wanted)
-            ordered = list(missing)
-            for chunk, entry in zip(ordered, self.encode(ordered), strict=True):
-                known[chunk] = entry
-                self.held += self.weigh(entry)
-        return [known[c] for c in wanted]
+        found = list(map(self.known.get, wanted))
+        missing = list({c for c, e in zip(wanted, found, strict=True) if e is None})
+        if not missing:
+            return found
+        new = dict(zip(missing, self.encode(missing), strict=True))
+        if len(self.known) > CACHED:
+            self.known.clear()
+        self.known.update((c, e) for c, e in new.items() if len(c) <= LONGEST_CACHED)
+        return [new[c] if e is None else e for c, e in zip(wanted, found, strict=True)]
 
 
 def raw_ids(ids: list[int]) -> bytes:
