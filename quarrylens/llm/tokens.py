@@ -21,9 +21,12 @@ import numpy as np
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
-# Chunks that a cache holds before it is emptied, and their greatest length.
-CACHED = 400_000
+# Chunks in a generation of a cache, and their greatest length; chunks encoded as one text.
+CACHED = 300_000
+AT_ONCE = 2_000
 LONGEST_CACHED = 100
+# A word of letters with marks behind it: the byte-level tokenizer ends a token between them.
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿЀ-ӿ]+)([!-&(-/:-@\[-`{-~]+)")
 _CUT = re.compile(r" (?=[!-~\w])(?<=[!-~\w] )")
 
 
@@ -62,18 +65,17 @@ class _Vocabulary:
 
         Chunks with visible characters at both ends are encoded as one text and cut apart by
         the sizes of the tokens; where that does not fit, and for the rest, each on its own."""
-        clean = [c for c in found if _visible(c[0]) and _visible(c[-1])]
-        known = {}
-        if clean:
+        known: dict[str, tuple[bytes, bool]] = {}
+        for clean in parts_of([c for c in found if _visible(c[0]) and _visible(c[-1])], AT_ONCE):
             raws = [b" " + c.encode() for c in clean]
-            ids = self.with_space([" ".join(clean)])[0]
+            ids = self.with_space([" ".join(clean)])[0] if clean else []
             if b"".join([self.token_bytes[i] for i in ids]) == b"".join(raws):
                 wanted = np.cumsum([len(r) for r in raws])
-                ends = np.cumsum(self.sizes[np.array(ids)])
+                ends = np.cumsum(self.sizes[np.array(ids, np.int64)])
                 last = np.searchsorted(ends, wanted)
                 if np.array_equal(ends[last], wanted):
                     packed, borders = raw_ids(ids), [0, *(4 * (last + 1)).tolist()]
-                    known = {c: (packed[i:j], True) for c, i, j in zip(clean, borders, borders[1:], strict=False)}
+                    known.update((c, (packed[i:j], True)) for c, i, j in zip(clean, borders, borders[1:], strict=False))
         rest = [c for c in found if c not in known]
         for chunk, ids in zip(rest, self.with_space(rest), strict=True):
             raw = b"".join([self.token_bytes[i] for i in ids])
@@ -93,6 +95,7 @@ class ByteBpe(_Vocabulary):
         table = byte_level()
         names = [self.model.id_to_token(i) or "" for i in range(self.model.get_vocab_size())]
         super().__init__([bytes(table[c] for c in n) if all(c in table for c in n) else n.encode() for n in names])
+        self.marks: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,6 +103,18 @@ class ByteBpe(_Vocabulary):
     def with_space(self, texts: list[str]) -> list[list[int]]:
         return self.encode([" " + t for t in texts])
 
+    def spaced(self, found: list[str]) -> list[tuple[bytes, bool]]:
+        """As of any vocabulary; the marks behind a word are encoded apart from it."""
+        split = {c: m.groups() for c, m in zip(found, map(_MARKED.fullmatch, found), strict=True) if m}
+        words = list(dict.fromkeys(split[c][0] if c in split else c for c in found))
+        known = dict(zip(words, super().spaced(words), strict=True))
+        for marks in {marks for _, marks in split.values()} - self.marks.keys():
+            self.marks[marks] = raw_ids(self.encode([marks])[0])
+        return [
+            (known[split[c][0]][0] + self.marks[split[c][1]], known[split[c][0]][1]) if c in split else known[c]
+            for c in found
+        ]
+
 
 class PieceBpe(_Vocabulary):
     """Piece tokenizer with a space put before the text, out of the contents of its model."""
@@ -123,20 +138,24 @@ class PieceBpe(_Vocabulary):
 
 
 class ChunkCache:
-    """Chunk -> whatever ``encode`` makes of it; emptied when it holds ``CACHED`` chunks."""
+    """Chunk -> whatever ``encode`` makes of it, in two generations: when the younger holds
+    ``CACHED`` chunks it becomes the older one, and what is used again moves up."""
 
     def __init__(self, encode):
         self.encode = encode
         self.known: dict = {}
+        self.older: dict = {}
 
     def of(self, wanted: list[str]) -> list:
         found = list(map(self.known.get, wanted))
         missing = list({c for c, e in zip(wanted, found, strict=True) if e is None})
         if not missing:
             return found
-        new = dict(zip(missing, self.encode(missing), strict=True))
+        new = {c: e for c, e in zip(missing, map(self.older.get, missing), strict=True) if e is not None}
+        fresh = [c for c in missing if c not in new]
+        new.update(zip(fresh, self.encode(fresh), strict=True))
         if len(self.known) > CACHED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         self.known.update((c, e) for c, e in new.items() if len(c) <= LONGEST_CACHED)
         return [new[c] if e is None else e for c, e in zip(wanted, found, strict=True)]
 
