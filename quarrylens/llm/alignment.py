@@ -15,7 +15,7 @@ are joined by a shuffle. No link is left out.
 Defined cases: texts that are null, empty or differ from the joined bytes of either stream have
 no tokens: zeros and ''. Repeated rows are documents of their own, null ids are kept, an empty
 table gives an empty result, other columns are not looked at. A long text is worked through in
-segments of ``SEGMENT`` chunks, which end where both streams do.
+segments of ``SEGMENT`` characters, which end where both streams do.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from quarrylens.llm import tokens
 from quarrylens.llm.common import saved, stored, table
 
-# Chunks worked on at once; table rows of pair counts broadcast to the tasks.
-SEGMENT = 100_000
+# Characters worked on at once; table rows of pair counts broadcast to the tasks.
+SEGMENT = 500_000
 COMMON = 1 << 17
 
 _ALIGNED = (
@@ -76,28 +76,27 @@ class Aligner:
     def __init__(self, byte_file: bytes, piece_file: bytes):
         self.a = tokens.ByteBpe(byte_file, specials_are_text=True)
         self.b = tokens.PieceBpe(piece_file)
-        self.cache = tokens.ChunkCache(self._encode)
+        self.a_bytes, self.b_bytes = self.a.token_bytes(), self.b.token_bytes()
+        self.a_size = np.array([len(t) for t in self.a_bytes])
+        self.b_size = np.array([len(t) for t in self.b_bytes])
         # Decimal ids followed by what comes next in the listing of the groups.
         self.said = [f"{i}{end}".encode() for i in range(self.a.size) for end in ",|"]
         self.said += [f"{i}{end}".encode() for i in range(self.b.size) for end in ",;"]
 
-    def _encode(self, found: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        both = zip(self.a.spaced(found), self.b.spaced(found), strict=True)
-        return [(a, b, a_same and b_same) for (a, a_same), (b, b_same) in both]
-
-    def block(self, texts: list[list[str]]) -> list[tuple]:
-        """Per list of chunks: (n_a, n_b, n_groups, n_links, listing of the groups, distinct
-        pair codes, their numbers), or None where the bytes differ."""
-        entries = self.cache.of([c for chunk_list in texts for c in chunk_list])
+    def block(self, texts: list[str | None]) -> list[tuple | None]:
+        """Per text: (n_a, n_b, n_groups, n_links, listing of the groups, distinct pair codes,
+        their numbers), or None where it is empty or the bytes differ."""
         a_raw, b_raw, taken = [], [], []
-        at = 0
-        for i, chunk_list in enumerate(texts):
-            mine = entries[at : at + len(chunk_list)]
-            at += len(chunk_list)
-            if mine and all([e[2] for e in mine]):
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            spaced = " " + text
+            a, b = self.a.encode(spaced), self.b.encode(text)
+            raw = spaced.encode()
+            if raw == b"".join([self.a_bytes[t] for t in a]) == b"".join([self.b_bytes[t] for t in b]):
                 taken.append(i)
-                a_raw.append(b"".join([e[0] for e in mine]))
-                b_raw.append(b"".join([e[1] for e in mine]))
+                a_raw.append(tokens.raw_ids(a))
+                b_raw.append(tokens.raw_ids(b))
         results: list = [None] * len(texts)
         if not taken:
             return results
@@ -105,7 +104,7 @@ class Aligner:
         n_b = np.array([len(r) // 4 for r in b_raw])
         a = np.frombuffer(b"".join(a_raw), "<u4").astype(np.int64)
         b = np.frombuffer(b"".join(b_raw), "<u4").astype(np.int64)
-        ends_a, ends_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
 
         label_a, label_b = terminals(ends_a, ends_b)
         last_b = label_b == np.arange(len(b))
@@ -138,12 +137,12 @@ class Aligner:
             at += size
         return results
 
-    def long_text(self, chunk_list: list[str]) -> tuple | None:
+    def long_text(self, text: str) -> tuple | None:
         """One text in segments: (counts, sha256 of the listing, codes, numbers)."""
         counts = np.zeros(4, np.int64)
         digest = hashlib.sha256()
         codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for k, part in enumerate(tokens.parts_of(chunk_list, SEGMENT)):
+        for k, part in enumerate(tokens.segments(text, SEGMENT)):
             found = self.block([part])[0]
             if found is None:
                 return None
@@ -154,17 +153,16 @@ class Aligner:
         return (*counts.tolist(), digest.hexdigest(), codes, times)
 
     def texts(self, found: list[str | None]):
-        """(first, results) for consecutive texts, in blocks of about ``SEGMENT`` chunks."""
+        """(first, results) for consecutive texts, in blocks of about ``SEGMENT`` characters."""
         first, block, held = 0, [], 0
         for i, text in enumerate(found):
-            own = tokens.chunks(text) if text else []
-            if len(own) > SEGMENT:
+            if text and len(text) > SEGMENT:
                 yield first, [_hashed(r) for r in self.block(block)]
-                yield i, [self.long_text(own)]
+                yield i, [self.long_text(text)]
                 first, block, held = i + 1, [], 0
                 continue
-            block.append(own)
-            held += len(own)
+            block.append(text)
+            held += len(text or "")
             if held > SEGMENT:
                 yield first, [_hashed(r) for r in self.block(block)]
                 first, block, held = i + 1, [], 0

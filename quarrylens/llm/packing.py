@@ -17,7 +17,7 @@ over, so every other piece is a sequence of its own and never enters a bin.
 
 Defined cases: a null text is empty and packs as its end token; repeated rows are documents of
 their own, null ids are kept; an empty table gives no pieces; other columns are not looked at.
-A long text is encoded chunk by chunk and held as its ids.
+A long text is encoded in segments and held as its ids.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ CAPACITY = 2048
 OPEN = 512
 GATHER = 16
 END_ID = 0
+# Characters encoded at once.
+SEGMENT = 500_000
 
 _PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, open boolean"
@@ -107,7 +109,6 @@ def pieces(docs: DataFrame, byte_file: str, text_col: str, capacity: int) -> Dat
         import pyarrow as pa
 
         model = tokens.ByteBpe(file.value, specials_are_text=False)
-        cache = tokens.ChunkCache(lambda found: [raw for raw, _ in model.spaced(found)])
         bins = OpenBins(_first_bin(0), capacity, OPEN)
         end = tokens.raw_ids([END_ID])
         waiting: dict[int, list[tuple]] = {}  # open bin -> its pieces
@@ -118,21 +119,17 @@ def pieces(docs: DataFrame, byte_file: str, text_col: str, capacity: int) -> Dat
             columns = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-        def encoded(texts):
-            """Per text the ids as bytes; the first chunk has no space before it."""
-            lists = [tokens.chunks(t or "") for t in texts]
-            heads = model.encode([own[0] for own in lists])
-            entries, at = cache.of([c for own in lists for c in own[1:]]), 0
-            for head, own in zip(heads, lists, strict=True):
-                upto = at + len(own) - 1
-                yield b"".join([tokens.raw_ids(head), *entries[at:upto], end])
-                at = upto
+        def encoded(text):
+            """The ids as bytes; segments behind the first have their space before them."""
+            parts = tokens.segments(text or "", SEGMENT)
+            return b"".join([tokens.raw_ids(model.encode(" " + p if k else p)) for k, p in enumerate(parts)]) + end
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for block in _blocks(texts):
                 found, done = [], []
-                for i, raw in zip(block, encoded([texts[i] for i in block]), strict=True):
+                for i in block:
+                    raw = encoded(texts[i])
                     for number, (start, length) in enumerate(cuts(len(raw) // 4, capacity)):
                         crc = zlib.crc32(raw[4 * start : 4 * (start + length)])
                         found.append((ids[i], number, start, length, crc))

@@ -99,7 +99,7 @@ def test_segments_of_a_long_text_give_the_same(spark, docs, monkeypatch):
     aligner = alignment.Aligner(tokens.contents(tokens.BYTE_BPE), tokens.contents(tokens.PIECE_BPE))
     monkeypatch.setattr(alignment, "SEGMENT", 37)
     for r in long.collect():
-        n_a, n_b, n_groups, n_links, digest, _, _ = aligner.long_text(tokens.chunks(r["text"]))
+        n_a, n_b, n_groups, n_links, digest, _, _ = aligner.long_text(r["text"])
         assert (n_a, n_b, n_groups, n_links, digest) in [(w[2], w[3], w[4], w[5], w[8]) for w in whole]
 
 
@@ -122,9 +122,34 @@ def test_terminals_are_common_ends(sizes, data):
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from([*"ab c'1,.\n\té▁中<>|", "<|endoftext|>", "  ", "the"]), min_size=1, max_size=60).map("".join))
-def test_chunks_encode_like_the_whole(models, text):
+def test_segments_encode_like_the_whole(models, text):
     a, b = models
-    cut = tokens.chunks(text)
+    cut = list(tokens.segments(text, 0))
     assert " ".join(cut) == text
-    assert [i for ids in a.encode([" " + c for c in cut]) for i in ids] == a.encode([" " + text])[0]
-    assert [i for ids in b.encode(cut) for i in ids] == b.encode([text])[0]
+    assert [i for c in cut for i in a.encode(" " + c)] == a.encode(" " + text)
+    assert [i for c in cut for i in b.encode(c)] == b.encode(text)
+
+
+@pytest.mark.parametrize("as_text", [True, False])
+def test_merging_gives_the_ids_of_tokenizers(as_text):
+    """Every code point between letters, blanks, digits and itself, and specials."""
+    model = tokens.ByteBpe(tokens.contents(tokens.BYTE_BPE), as_text)
+    assert model.fast
+    step = 1 if as_text else 97
+    points = [c for c in range(0, 0x110000, step) if not 0xD800 <= c < 0xE000]
+    texts = [
+        "".join(f"a{chr(c)}b {chr(c)}{chr(c)} {chr(c)}1 \n{chr(c)}\n" for c in points[i : i + 500])
+        for i in range(0, len(points), 500)
+    ]
+    texts += ["x <|endoftext|> y<|endoftext|>", "don't we'll '", " \n \n\n  a", "z" * 5000, " " * 900 + "b", " " * 200_000 + "b"]
+    for text in texts:
+        assert model.encode(text) == model.model.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_go_to_tokenizers():
+    import json
+
+    file = json.loads(tokens.contents(tokens.BYTE_BPE))
+    file["normalizer"] = {"type": "NFC"}
+    model = tokens.ByteBpe(json.dumps(file).encode(), True)
+    assert model.fast is None and model.encode("e\u0301") == model.encode("é")
