@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quarrylens.errors import require, require_columns
 from quarrylens.functions import tails as P
 from quarrylens.ids import kind, numeric_columns
+from quarrylens.operators import ranks as R
 from quarrylens.operators.aggregate import contingency_table
 from quarrylens.operators.ordered import Key, Ordered, attach_totals
 from quarrylens.operators.quantiles import (
@@ -121,35 +122,9 @@ def _pairs(columns: list[str]) -> list[tuple[str, str]]:
     return list(combinations(columns, 2))
 
 
-def _pair_rows(df: DataFrame, pairs) -> DataFrame:
-    """Long (column_a, column_b, a, b, w): complete pairs with their multiplicity."""
-    items = F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), _d(a).alias("a"), _d(b).alias("b"))
-        for a, b in pairs
-    ])
-    long = df.select(F.explode(items).alias("p")).select("p.*").filter("a is not null and b is not null")
-    return long.groupBy("column_a", "column_b", "a", "b").agg(F.count(F.lit(1)).alias("w"))
-
-
 _PAIR = ["column_a", "column_b"]
 
 
-def _mid_ranks(pairs: DataFrame, side: str) -> DataFrame:
-    counts = pairs.groupBy(*_PAIR, F.col(side).alias("value")).agg(F.sum("w").alias("count"))
-    return with_below(counts, _PAIR).select(
-        *[F.col(c).alias(f"__{c}") for c in _PAIR], F.col("value").alias("__v"),
-        (F.col("below") + (F.col("count") + 1) / 2).alias(f"rank_{side}"), F.col("count").alias(f"ties_{side}"))
-
-
-def _with_ranks(pairs: DataFrame) -> DataFrame:
-    for side in ("a", "b"):
-        r = _mid_ranks(pairs, side)
-        cond = (pairs["column_a"] == r["__column_a"]) & (pairs["column_b"] == r["__column_b"]) & (
-            pairs[side] == r["__v"])
-        pairs = pairs.join(r, cond).drop("__column_a", "__column_b", "__v")
-    return pairs
-
-
 def _column_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of ``df`` with each column's values replaced by their mid-ranks: one long table
     of cells meets one table of ranked values, however many pairs are formed of it later."""
@@ -185,59 +160,44 @@ def spearman_pairs(df: DataFrame, pairs) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _named(parts: DataFrame, named: dict) -> DataFrame:
+    """Column names in place of column numbers a and b."""
+    table = F.create_map(*[x for (a, b), names in named.items() for x in (F.lit(f"{a},{b}"), F.array(*map(F.lit, names)))])
+    names = table[F.concat_ws(",", "a", "b")]
+    return parts.withColumns({"column_a": names[0], "column_b": names[1]}).drop("a", "b")
+
+
 def _spearman_with_gaps(df: DataFrame, pairs) -> DataFrame:
-    t = attach_totals(_with_ranks(_pair_rows(df, pairs)), _PAIR, __n=F.sum("w"))
-    mid = (F.col("__n") + 1) / 2
-    x, y, w = F.col("rank_a") - mid, F.col("rank_b") - mid, F.col("w")
-    return t.groupBy(*_PAIR).agg(
-        F.sum("w").alias("n"),
-        F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y))).alias("correlation"))
+    columns, numbers, named = R.numbered_pairs(pairs)
+    places, size = R.column_places(df, columns)
+    ranks = R.complete_ranks(places, size, len(columns))
+    frames = []
+    for i in range(0, len(numbers), 60):
+        parts = []
+        for a, b in numbers[i:i + 60]:
+            x, y = F.col("ranks")[a][b], F.col("ranks")[b][a]
+            spread = F.stddev_pop(_both(x, y, x)) * F.stddev_pop(_both(x, y, y))
+            parts.append(F.struct(*[F.lit(c).alias(n) for c, n in zip(named[a, b], _PAIR)],
+                                  F.count(_both(x, y, x)).alias("n"),
+                                  F.try_divide(F.covar_pop(x, y), spread).alias("correlation")))
+        frames.append(ranks.agg(F.array(*parts).alias("s")).select(F.inline("s")))
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def kendall_pairs(df: DataFrame, pairs) -> DataFrame:
-    """Exact tau-b by counting inversions bit by bit.
-
-    With rows ordered by a, a pair is discordant when the earlier row has the larger rank
-    of b. Two ranks first differ in one bit; inside each group of equal higher bits, every
-    0-row therefore counts the 1-rows before it. That is one running sum over
-    (pair, bit, prefix): n log n rows and no pair is ever formed.
-    """
-    rows = _pair_rows(df, pairs)
-    values = rows.groupBy(*_PAIR, "b").agg(F.sum("w").alias("tb"))
-    ranked = Ordered(values, _PAIR, [Key("b")]).number("r").df.withColumn("r", F.col("r") - 1)
-    side = ranked.select(F.col("column_a").alias("__a"), F.col("column_b").alias("__b"), F.col("b").alias("__v"), "r")
-    t = rows.join(side, (F.col("column_a") == F.col("__a")) & (F.col("column_b") == F.col("__b"))
-                  & (F.col("b") == F.col("__v"))).drop("__a", "__b", "__v")
-    top = ranked.agg(F.max("r")).first()[0] or 0
-    bits = max(1, int(top).bit_length())
-    levels = t.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(bits)])))
-    levels = levels.withColumns({
-        "prefix": F.expr("shiftright(r, level + 1)"), "bit": F.expr("shiftright(r, level) & 1")})
-    w = F.col("w").cast("double")
-    run = Ordered(levels, [*_PAIR, "level", "prefix"], [Key("a"), Key("b")]).running(
-        ones=("sum", F.when(F.col("bit") == 1, w).otherwise(0.0))).df
-    discordant = run.groupBy(*_PAIR).agg(F.sum(F.when(F.col("bit") == 0, w * F.col("ones"))).alias("dis"))
-
-    def ties(columns, name):
-        g = rows.groupBy(*_PAIR, *columns).agg(F.sum("w").cast("double").alias("t"))
-        v = F.col("t")
-        return g.groupBy(*_PAIR).agg(
-            F.sum(v).alias(f"n_{name}"), F.sum(v * (v - 1) / 2).alias(f"t_{name}"),
-            F.sum(v * (v - 1) * (v - 2)).alias(f"z_{name}"), F.sum(v * (v - 1) * (2 * v + 5)).alias(f"u_{name}"))
-
-    out = discordant
-    for cols, name in ((["a"], "x"), (["b"], "y"), (["a", "b"], "xy")):
-        out = out.join(ties(cols, name), _PAIR)
-    n = F.col("n_x")
+    """Exact tau-b over the complete rows of every pair; see ``ranks`` for how pairs are counted."""
+    columns, numbers, named = R.numbered_pairs(pairs)
+    places, size = R.column_places(df, columns)
+    out = _named(R.kendall_parts(places, size, len(columns), numbers), named)
+    n = F.col("n").cast("double")
     total = n * (n - 1) / 2
     diff = total - F.col("t_x") - F.col("t_y") + F.col("t_xy") - 2 * F.col("dis")
     m = n * (n - 1)
     var = (m * (2 * n + 5) - F.col("u_x") - F.col("u_y")) / 18 + F.try_divide(
-        2 * F.col("t_x") * F.col("t_y"), m) + F.coalesce(
+        2.0 * F.col("t_x") * F.col("t_y"), m) + F.coalesce(
         F.try_divide(F.col("z_x") * F.col("z_y"), 9 * m * (n - 2)), F.lit(0.0))
     return out.select(
-        *_PAIR, n.cast("long").alias("n"),
-        F.try_divide(diff, F.sqrt(total - F.col("t_x")) * F.sqrt(total - F.col("t_y"))).alias("correlation"),
+        *_PAIR, "n", F.try_divide(diff, F.sqrt(total - F.col("t_x")) * F.sqrt(total - F.col("t_y"))).alias("correlation"),
         P.z_p(F.try_divide(diff, F.sqrt(F.when(var > 0, var)))).alias("p_value"))
 
 
