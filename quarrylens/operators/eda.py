@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from quarrylens.errors import require, require_columns
 from quarrylens.functions import tails as P
 from quarrylens.ids import data_columns, kind, numeric_columns
+from quarrylens.operators import pairwise
 from quarrylens.operators import stats as S
 from quarrylens.operators.cleaning import duplicate_metrics
 from quarrylens.operators.ordered import Key, Ordered, attach_totals
 from quarrylens.operators.quantiles import cumulative_counts, quantiles_of_counts, value_counts, with_below
+from quarrylens.session import cut_lineage
 
 
 def _d(c: str) -> Column:
@@ -305,44 +307,35 @@ def pairwise_comparisons(df: DataFrame, value_column: str, group_column: str, al
                          min_group_size: int = 2, max_groups: int | None = None) -> DataFrame:
     """Welch, Mann-Whitney and Hedges g for every pair of groups, with Holm adjustment.
 
-    The number of groups is bounded, so pairs are formed between group summaries and
-    between per-group value counts, never between rows.
+    Pairs are formed between groups, never between rows, and only on Spark; see ``pairwise``.
     """
     s = S.grouped_samples(df, value_column, group_column)
-    counts = s.groupBy("group", "value").agg(F.count(F.lit(1)).alias("count"))
-    g = S.group_moments(s).filter(F.col("n") >= min_group_size)
-    found = g.select("group") if max_groups is None else g.select("group").limit(max_groups + 1)
-    names = sorted(r["group"] for r in found.collect())
-    require(max_groups is None or len(names) <= max_groups, "TOO_MANY_GROUPS", groups=len(names))
-    require(len(names) >= 2, "INSUFFICIENT_ELIGIBLE_GROUPS")
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    table = df.sparkSession.range(1).select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("group_a"), F.lit(b).alias("group_b")) for a, b in pairs])))
-    side_a = g.select(F.col("group").alias("group_a"), F.col("n").cast("double").alias("n_a"),
-                      F.col("mean").alias("mean_a"), F.col("var").alias("var_a"))
-    side_b = g.select(F.col("group").alias("group_b"), F.col("n").cast("double").alias("n_b"),
-                      F.col("mean").alias("mean_b"), F.col("var").alias("var_b"))
-    t = table.join(side_a, "group_a").join(side_b, "group_b")
+    cells = cut_lineage(s.groupBy("group", "value").agg(F.count(F.lit(1)).alias("count")))
+    g = cut_lineage(pairwise.numbered(S.group_moments(s).filter(F.col("n") >= min_group_size)))
+    groups = g.count()
+    require(max_groups is None or groups <= max_groups, "TOO_MANY_GROUPS", groups=groups)
+    require(groups >= 2, "INSUFFICIENT_ELIGIBLE_GROUPS")
+    ids = g.select(F.col("group").alias("__g"), "gid")
+    counted = cells.join(ids, F.col("group") == F.col("__g")).select("value", "gid", "count")
+    cube = F.col("count").cast("double")
+    own = counted.groupBy(F.col("gid").alias("tid")).agg(F.sum(cube * cube * cube - cube).alias("ties"))
+    g = g.join(own, F.col("gid") == F.col("tid"))
+
+    def side(name: str) -> DataFrame:
+        return g.select(F.col("gid").alias(name), F.col("group").alias(f"group_{name}"), F.col("n").cast("double").alias(f"n_{name}"),
+                        F.col("mean").alias(f"mean_{name}"), F.col("var").alias(f"var_{name}"), F.col("ties").alias(f"ties_{name}"))
+
+    t = pairwise.pair_sums(counted, groups).join(side("a"), "a").join(side("b"), "b")
     se, deg = S._welch(t)
     diff = F.col("mean_b") - F.col("mean_a")
-    t = t.withColumns({"__t": F.try_divide(diff, se), "__df": deg})
     hedges = F.try_divide(diff, S.pooled_sd()) * (1 - 3 / (4 * (F.col("n_a") + F.col("n_b") - 2) - 1))
-    t = t.select("group_a", "group_b", "mean_a", "mean_b", diff.alias("mean_difference_b_minus_a"),
-                 P.t_two_sided(F.col("__t"), F.col("__df")).alias("welch_p_value"), hedges.alias("hedges_g"))
-    partners = F.array(*[F.struct(F.lit(a).alias("group_a"), F.lit(b).alias("group_b")) for a, b in pairs])
-    mine = F.filter(partners, lambda p: (p["group_a"] == F.col("group")) | (p["group_b"] == F.col("group")))
-    long = counts.select("group", "value", "count", F.explode(mine).alias("p")).select(
-        "p.group_a", "p.group_b", "group", "value", "count")
-    r = S.rank_counts(long, ["group_a", "group_b"])
-    first = F.col("group") == F.col("group_a")
-    u = r.groupBy("group_a", "group_b").agg(
-        F.sum(F.when(first, F.col("count"))).cast("double").alias("n_a"),
-        F.sum(F.when(~first, F.col("count"))).cast("double").alias("n_b"),
-        F.sum(F.when(first, F.col("count") * F.col("rank"))).alias("ra"), S.tie_sum().alias("ties"))
-    u = S.mann_whitney_from(u, keep=("group_a", "group_b")).select(
-        "group_a", "group_b", F.col("p_value").alias("mann_whitney_p_value"))
-    t = t.join(u, ["group_a", "group_b"])
-    out = holm_adjust(t, "welch_p_value", len(pairs), ["group_a", "group_b"])
+    t = t.withColumns({
+        "__t": F.try_divide(diff, se), "__df": deg, "mean_difference_b_minus_a": diff, "hedges_g": hedges,
+        "ra": F.col("u") + F.col("n_a") * (F.col("n_a") + 1) / 2, "ties": F.col("ties_a") + F.col("ties_b") + F.col("x")})
+    t = t.withColumn("welch_p_value", P.t_two_sided(F.col("__t"), F.col("__df")))
+    keep = ["group_a", "group_b", "mean_a", "mean_b", "mean_difference_b_minus_a", "welch_p_value", "hedges_g"]
+    t = S.mann_whitney_from(t, keep=keep).select(*keep, F.col("p_value").alias("mann_whitney_p_value"))
+    out = holm_adjust(t, "welch_p_value", groups * (groups - 1) // 2, ["group_a", "group_b"])
     return out.withColumn("significant_after_holm", F.col("holm_p_value") < alpha)
 
 
