@@ -12,6 +12,7 @@ from quarrylens.functions import tails as P
 from quarrylens.ids import data_columns, kind, numeric_columns
 from quarrylens.operators import pairwise
 from quarrylens.operators import stats as S
+from quarrylens.operators.cells import group_moments, pair_cells, rank_sums
 from quarrylens.operators.cleaning import duplicate_metrics
 from quarrylens.operators.ordered import Key, Ordered, attach_totals
 from quarrylens.operators.quantiles import cumulative_counts, quantiles_of_counts, value_counts, with_below
@@ -105,15 +106,6 @@ def top_values(df: DataFrame, columns=None, top_n: int = 10) -> DataFrame:
 
 # ---------------------------------------------------------------- two columns
 
-def _cells(df: DataFrame, pairs) -> DataFrame:
-    items = F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(a).cast("string").alias("row_value"),
-                 F.col(b).cast("string").alias("column_value")) for a, b in pairs])
-    long = df.select(F.explode(items).alias("p")).select("p.*").filter(
-        "row_value is not null and column_value is not null")
-    return long.groupBy("column_a", "column_b", "row_value", "column_value").agg(F.count(F.lit(1)).alias("count"))
-
-
 _PAIR = ["column_a", "column_b"]
 
 
@@ -121,7 +113,7 @@ def analyze_categorical_relationships(df: DataFrame, columns=None, correction: b
     """Chi-square, both Cramer V forms and expected-count diagnostics for every pair."""
     columns = require_columns(df, columns) if columns else categorical_columns(df)
     require(len(columns) >= 2, "INSUFFICIENT_COLUMNS")
-    cells = _cells(df, S._pairs(columns))
+    cells = cut_lineage(pair_cells(df, S._pairs(columns)))
     t = S.chi_square_from(cells, _PAIR, correction)
     rows = cells.groupBy(*_PAIR, "row_value").agg(F.sum("count").alias("r"))
     cols = cells.groupBy(*_PAIR, "column_value").agg(F.sum("count").alias("c"))
@@ -171,13 +163,6 @@ def analyze_numeric_relationships(df: DataFrame, columns=None, min_observations:
     return t
 
 
-def _num_cat_long(df: DataFrame, numbers, cats) -> DataFrame:
-    items = F.array(*[
-        F.struct(F.lit(n).alias("numeric"), F.lit(c).alias("categorical"), F.col(c).cast("string").alias("group"),
-                 _d(n).alias("value")) for n in numbers for c in cats])
-    return df.select(F.explode(items).alias("p")).select("p.*").filter("`group` is not null and value is not null")
-
-
 _NC = ["numeric", "categorical"]
 
 
@@ -210,11 +195,13 @@ def analyze_numeric_categorical_relationships(df: DataFrame, numeric_columns_=No
                        else "ok").alias("status")) for n in numbers for c in cats])))
     if not usable:
         return status
-    g, counts = _eligible(_num_cat_long(df, numbers, usable), min_group_size)
+    moments = cut_lineage(group_moments(df, numbers, usable))
+    g = moments.filter(F.col("n") >= min_group_size)
+    sums = rank_sums(df, numbers, usable, moments, min_group_size)
     a = S.anova_from(g, _NC).select(*_NC, F.col("total_n").alias("observations"), F.col("k").alias("group_count"),
                                     "grand_mean", "f_statistic", F.col("p_value").alias("anova_p_value"), "eta_squared")
-    k = S.kruskal_from(counts, _NC, counted=True).select(*_NC, F.col("statistic").alias("kruskal_h"),
-                                                         F.col("p_value").alias("kruskal_p_value"))
+    k = S.kruskal_of_sums(sums, _NC).select(*_NC, F.col("statistic").alias("kruskal_h"),
+                                            F.col("p_value").alias("kruskal_p_value"))
     ends = g.groupBy(*_NC).agg(
         F.max_by("group", F.struct("mean", "group")).alias("highest_mean_group"),
         F.min_by("group", F.struct("mean", "group")).alias("lowest_mean_group"),
@@ -440,13 +427,13 @@ def detect_findings(df: DataFrame, high_missing_threshold: float = 0.2, strong_c
     levels = level_counts(df, cats) if cats else {}
     few = [x for x in cats if levels[x] >= 2]
     if len(few) >= 2:
-        v = S.chi_square_from(_cells(df, S._pairs(few)), _PAIR)
+        v = S.chi_square_from(cut_lineage(pair_cells(df, S._pairs(few))), _PAIR)
         out.append(add(v.filter((F.col("row_levels") >= 2) & (F.col("column_levels") >= 2) & (F.col("n") >= 4)
                                 & (F.col("cramers_v") >= strong_categorical_threshold)),
                        "STRONG_CATEGORICAL_RELATIONSHIP", "medium", "relationship", both, F.col("cramers_v"),
                        50 + 40 * F.col("cramers_v")))
     if numbers and few:
-        g = S.group_moments(_num_cat_long(df, numbers, few), _NC).filter("n >= 2")
+        g = group_moments(df, numbers, few).filter("n >= 2")
         e = S.anova_from(g, _NC).filter("k >= 2 and eta_squared >= 0.14")
         out.append(add(e, "LARGE_GROUP_EFFECT", "medium", "relationship", F.concat_ws(",", *_NC), F.col("eta_squared"),
                        55 + 50 * F.col("eta_squared")))

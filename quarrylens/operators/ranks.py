@@ -36,17 +36,25 @@ def column_places(df: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
     below, plus one where the value fills a range of its own; null cells stay null."""
     cells = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])
     numbered = cut_lineage(df.select(F.monotonically_increasing_id().alias("row"), cells.alias("cells")))
-    size = max(RANGE, -(-numbered.count() // RANGES))
+    size = range_size(numbered)
     long = numbered.select("row", F.inline("cells")).filter("value is not null")
-    counts = long.groupBy("k", "value").agg(F.count(F.lit(1)).alias("count"))
-    place = F.col("below") * 2 + F.when(F.col("count") >= size, 1).otherwise(0)
-    placed = with_below(counts, ["k"]).select(F.col("k").alias("__k"), F.col("value").alias("__v"), place.alias("place"))
+    placed = placed_values(long.groupBy("k", "value").agg(F.count(F.lit(1)).alias("count")), size)
     met = long.join(placed, (F.col("k") == F.col("__k")) & (F.col("value") == F.col("__v")))
     wide = met.groupBy("row").agg(F.array(*[
         F.max(F.when(F.col("k") == i, F.col("place"))) for i in range(len(columns))]).alias("places"))
     return cut_lineage(wide), size
 
 
+def range_size(rows: DataFrame) -> int:
+    return max(RANGE, -(-rows.count() // RANGES))
+
+
+def placed_values(counts: DataFrame, size: int) -> DataFrame:
+    """(__k, __v, place) of the value counts (k, value, count)."""
+    place = F.col("below") * 2 + F.when(F.col("count") >= size, 1).otherwise(0)
+    return with_below(counts, ["k"]).select(F.col("k").alias("__k"), F.col("value").alias("__v"), place.alias("place"))
+
+
 def _range(place, size: int):
     """Number of the range of a place: even, or odd for a value alone. Columns and arrays."""
     if isinstance(place, Column):

@@ -449,7 +449,7 @@ def anova_from(groups: DataFrame, keys=()) -> DataFrame:
     dfb, dfw = (F.col("k") - 1).cast("double"), (F.col("total_n") - F.col("k")).cast("double")
     ssb, ssw = F.col("ss_between"), F.col("ss_within")
     msw = F.try_divide(ssw, F.when(dfw > 0, dfw))
-    f = F.try_divide(ssb / dfb, msw)
+    f = F.try_divide(F.try_divide(ssb, dfb), msw)
     return t.select(
         *keys, "k", "total_n", "grand_mean", "ss_between", "ss_within", dfb.alias("df_between"),
         dfw.alias("df_within"), f.alias("f_statistic"), P.f_sf(f, dfb, dfw).alias("p_value"),
@@ -852,11 +852,17 @@ def kruskal_from(samples: DataFrame, keys=(), counted: bool = False) -> DataFram
     r = rank_counts(samples, keys) if counted else ranked_counts(samples, keys)
     g = r.groupBy(*keys, "group").agg(F.sum("count").cast("double").alias("n"),
                                       F.sum(F.col("count") * F.col("rank")).alias("rs"), tie_sum().alias("ties"))
+    return kruskal_of_sums(g, keys)
+
+
+def kruskal_of_sums(g: DataFrame, keys=()) -> DataFrame:
+    """Out of (keys, group, n, rs, ties): rows, rank sums and tie terms of the groups."""
+    keys = list(keys)
     t = _agg(g, keys, F.sum("n").alias("total_n"), F.count(F.lit(1)).cast("double").alias("k"),
              F.sum(F.col("rs") ** 2 / F.col("n")).alias("h"), F.sum("ties").alias("ties"))
     n, k = F.col("total_n"), F.col("k")
     raw = 12 / (n * (n + 1)) * F.col("h") - 3 * (n + 1)
-    h = F.try_divide(raw, 1 - F.col("ties") / (n * n * n - n))
+    h = F.when(k > 1, F.try_divide(raw, 1 - F.try_divide(F.col("ties"), n * n * n - n)))
     return t.select(*keys, h.alias("statistic"), P.chi2_sf(h, k - 1).alias("p_value"), k.cast("long").alias("groups"),
                     n.cast("long").alias("total_n"),
                     F.greatest(F.lit(0.0), F.try_divide(h - k + 1, n - k)).alias("epsilon_squared"))
