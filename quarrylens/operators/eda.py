@@ -321,7 +321,8 @@ def pairwise_comparisons(df: DataFrame, value_column: str, group_column: str, al
         "ra": F.col("u") + F.col("n_a") * (F.col("n_a") + 1) / 2, "ties": F.col("ties_a") + F.col("ties_b") + F.col("x")})
     t = t.withColumn("welch_p_value", P.t_two_sided(F.col("__t"), F.col("__df")))
     keep = ["group_a", "group_b", "mean_a", "mean_b", "mean_difference_b_minus_a", "welch_p_value", "hedges_g"]
-    t = S.mann_whitney_from(t, keep=keep).select(*keep, F.col("p_value").alias("mann_whitney_p_value"))
+    t = S.mann_whitney_from(t, keep=keep).select(
+        *keep, F.col("statistic").alias("mann_whitney_u"), F.col("p_value").alias("mann_whitney_p_value"))
     out = holm_adjust(t, "welch_p_value", groups * (groups - 1) // 2, ["group_a", "group_b"])
     return out.withColumn("significant_after_holm", F.col("holm_p_value") < alpha)
 

@@ -509,6 +509,109 @@ def _(t):
     return rounded(out.withColumn("minimum_expected_count", F.round("minimum_expected_count", 4)))
 
 
+_EFFECTS = """
+WITH v AS (SELECT {n} AS v, {c} AS g FROM lineitem),
+m AS (SELECT g, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS w FROM v GROUP BY g),
+s AS (SELECT sum(n * m) / sum(n) AS mm, sum(n) AS nn, count(*) AS k, sum(w) AS ww, arg_max(g, m) AS hi, arg_min(g, m) AS lo,
+             max(m) - min(m) AS spread FROM m),
+a AS (SELECT sum(n * (m - mm) * (m - mm)) AS b, any_value(k) AS k, any_value(nn) AS nn, any_value(ww) AS ww,
+             any_value(hi) AS hi, any_value(lo) AS lo, any_value(spread) AS spread FROM m, s),
+r AS (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS k FROM v),
+t AS (SELECT sum(n * n * n - n) AS ties FROM (SELECT count(*)::DOUBLE AS n FROM v GROUP BY v)),
+h AS (SELECT sum(rs * rs / n) AS q FROM (SELECT sum(k) AS rs, count(*)::DOUBLE AS n FROM r GROUP BY g))
+SELECT '{n}' AS numeric, '{c}' AS categorical, nn::BIGINT AS observations, k::BIGINT AS group_count,
+       round(b / (k - 1) / (ww / (nn - k)), 4) AS f_statistic, round(b / (b + ww), 6) AS eta_squared,
+       round((12.0 / (nn::DOUBLE * (nn + 1)) * q - 3 * (nn + 1)) / (1 - ties / (nn::DOUBLE * nn * nn - nn)), 3) AS kruskal_h,
+       hi AS highest_mean_group, lo AS lowest_mean_group, round(spread, 4) AS mean_spread
+FROM a, t, h"""
+
+
+@query(
+    "e4_group_effects",
+    " UNION ALL ".join(
+        f"SELECT * FROM ({_EFFECTS.format(n=n, c=c)})" for n in _NUM for c in ("l_returnflag", "l_linestatus")
+    ),
+)
+def _(t):
+    out = eda.analyze_numeric_categorical_relationships(_lines(t))
+    out = out.select(
+        "numeric", "categorical", "observations", "group_count", F.round("f_statistic", 4).alias("f_statistic"), "eta_squared",
+        F.round("kruskal_h", 3).alias("kruskal_h"), "highest_mean_group", "lowest_mean_group",
+        F.round("mean_spread", 4).alias("mean_spread"),
+    )
+    return rounded(out)
+
+
+# Three columns of few values, two with gaps: counts per pair of values are enough for every pair of rows.
+_GAPS = "(SELECT l_quantity AS q, nullif(l_discount, 0.05) AS d, CASE WHEN l_linenumber <> 3 THEN l_tax END AS t FROM lineitem)"
+
+
+def _gaps(t):
+    return t("lineitem").select(
+        F.col("l_quantity").alias("q"),
+        F.nullif("l_discount", F.lit(0.05)).alias("d"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("t"),
+    )
+
+
+_KENDALL = (
+    "SELECT '{a}' AS column_a, '{b}' AS column_b, {m}round(s / sqrt(tx) / sqrt(ty), 6) AS correlation, n::BIGINT AS pairwise_count "
+    "FROM (WITH c AS (SELECT {a} AS x, {b} AS y, count(*)::DOUBLE AS w FROM {v} WHERE {a} IS NOT NULL AND {b} IS NOT NULL "
+    "GROUP BY ALL) SELECT sum(p.w * r.w * sign(p.x - r.x) * sign(p.y - r.y)) AS s, sum(p.w * r.w * abs(sign(p.x - r.x))) AS tx, "
+    "sum(p.w * r.w * abs(sign(p.y - r.y))) AS ty, (SELECT sum(w) FROM c) AS n FROM c p, c r)"
+)
+_SPEARMAN = (
+    "SELECT '{a}' AS column_a, '{b}' AS column_b, {m}round(corr(x, y), 6) AS correlation, count(*)::BIGINT AS pairwise_count FROM ("
+    "SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS x, "
+    "rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS y FROM {v} "
+    "WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+)
+
+
+def _three(sql, method=""):
+    return " UNION ALL ".join(sql.format(a=a, b=b, v=_GAPS, m=method) for a, b in (("q", "d"), ("q", "t"), ("d", "t")))
+
+
+@query("t3_kendall_gaps", _three(_KENDALL))
+def _(t):
+    return rounded(sx.analyze_correlations(_gaps(t), method="kendall").drop("absolute_correlation"))
+
+
+@query("t3_spearman_gaps", _three(_SPEARMAN))
+def _(t):
+    return rounded(sx.analyze_correlations(_gaps(t), method="spearman").drop("absolute_correlation"))
+
+
+@query("e6_rank_explorer", _three(_KENDALL, "'kendall' AS method, ") + " UNION ALL " + _three(_SPEARMAN, "'spearman' AS method, "))
+def _(t):
+    out = eda.explore_correlations(_gaps(t), methods=("spearman", "kendall"))
+    return rounded(out.select("method", "column_a", "column_b", "correlation", "pairwise_count"))
+
+
+_BY_GROUP = "(SELECT o_orderpriority || (o_custkey % 7) AS g, round(o_totalprice / 1000) AS v FROM orders)"
+
+
+@query(
+    "e8_pairwise_u",
+    f"""WITH c AS (SELECT g, v, count(*)::DOUBLE AS w FROM {_BY_GROUP} GROUP BY ALL),
+    n AS (SELECT g, count(*)::DOUBLE AS n, avg(v) AS m, var_samp(v) AS s FROM {_BY_GROUP} GROUP BY g),
+    u AS (SELECT a.g AS group_a, b.g AS group_b, sum(a.w * b.w * (CASE WHEN a.v > b.v THEN 1 WHEN a.v = b.v THEN 0.5 ELSE 0 END)) AS u
+          FROM c a JOIN c b ON a.g < b.g GROUP BY ALL)
+    SELECT group_a, group_b, round(u, 2) AS mann_whitney_u, round(y.m - x.m, 4) AS mean_difference_b_minus_a,
+           round((y.m - x.m) / sqrt(((x.n - 1) * x.s + (y.n - 1) * y.s) / (x.n + y.n - 2))
+                 * (1 - 3 / (4 * (x.n + y.n - 2) - 1)), 6) AS hedges_g
+    FROM u JOIN n x ON x.g = group_a JOIN n y ON y.g = group_b""",
+)
+def _(t):
+    group = F.concat("o_orderpriority", (F.col("o_custkey") % 7).cast("string"))
+    frame = t("orders").select(group.alias("g"), F.round(F.col("o_totalprice") / 1000).alias("v"))
+    out = eda.pairwise_comparisons(frame, "v", "g")
+    return rounded(out.select(
+        "group_a", "group_b", F.round("mann_whitney_u", 2).alias("mann_whitney_u"),
+        F.round("mean_difference_b_minus_a", 4).alias("mean_difference_b_minus_a"), "hedges_g",
+    ))
+
+
 @query("e6_explore_correlations")
 def _(t):
     return rounded(eda.explore_correlations(_lines(t)))
