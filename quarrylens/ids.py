@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from quarrylens.errors import require_columns
 
 ROW_ID = "__row_id"
+# A row's values before a measured step; travels with the row, belongs to no table.
+CARRIED = "__carried"
 
 
 def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
@@ -34,7 +36,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def data_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c != ROW_ID]
+    return [c for c in df.columns if c not in (ROW_ID, CARRIED)]
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarrylens.errors import EngineError, require
 from quarrylens.functions.text import changed, strip
 from quarrylens.functions.dates import parse_timestamp
-from quarrylens.ids import ROW_ID, data_columns, kind
+from quarrylens.ids import CARRIED, ROW_ID, data_columns, kind
 from quarrylens.operators import cleaning as C
 from quarrylens.operators.quantiles import quantile_row
 
@@ -80,16 +80,36 @@ def execute_recipe(df: DataFrame, steps: list[dict]) -> DataFrame:
 
 
 def recipe_metrics(df: DataFrame, steps: list[dict]) -> DataFrame:
-    """Per step: rows and columns before and after, and changed cells by row id."""
+    """Per step: rows and columns before and after, and changed cells by row id.
+
+    The counts are observed on the rows as they pass each step; a row carries its values from
+    before the step along. All steps together cost one job, whatever their number."""
     validate_recipe_steps(steps)
-    out, current = None, df
+    current, last = watched(df)
+    seen = []
     for i, s in enumerate(steps):
+        names = data_columns(current)
+        carry = names if ROW_ID in df.columns else []
+        if carry:
+            current = current.withColumn(CARRIED, F.struct(*names))
         following = apply_step(current, s["type"], s.get("params", {}))
-        row = step_difference(current, following).select(
-            F.lit(i).alias("step_index"), F.lit(s["type"]).alias("step_type"), "*")
-        out = row if out is None else out.unionByName(row)
-        current = following
-    return out
+        hits = [changed(F.col(CARRIED)[c], F.col(c)).cast("long") for c in carry if c in following.columns]
+        following, now = watched(following, sum(hits, F.lit(0).cast("long")))
+        current = following.drop(CARRIED)
+        seen.append((i, s["type"], last, now, len(names), len(data_columns(current))))
+        last = now
+    current.write.format("noop").mode("overwrite").save()
+    rows = [(i, kind_, a.get["rows"], b.get["rows"], m, n, b.get["cells"]) for i, kind_, a, b, m, n in seen]
+    return df.sparkSession.createDataFrame(
+        rows, "step_index int, step_type string, rows_before long, rows_after long, columns_before int, columns_after int, "
+        "changed_cells long")
+
+
+def watched(df: DataFrame, cells=None) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation of its rows (and changed cells) once it has been read."""
+    seen = Observation()
+    cells = F.lit(0).cast("long") if cells is None else cells
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(cells), F.lit(0)).alias("cells")), seen
 
 
 def step_difference(before: DataFrame, after: DataFrame) -> DataFrame:

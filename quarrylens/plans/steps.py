@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quarrylens.errors import EngineError, require
 from quarrylens.ids import data_columns
@@ -13,6 +12,7 @@ from quarrylens.operators import filters as R
 from quarrylens.operators import joins as J
 from quarrylens.operators import matching as M
 from quarrylens.operators import windows as W
+from quarrylens.plans.recipe import watched
 
 # Tool names and numbers.
 TOOLS = {
@@ -54,15 +54,19 @@ def apply_tool(df: DataFrame, tool: str, parameters: dict, frames: dict, index:
     return {"join": J.apply_join, "fuzzy_match": M.fuzzy_match, "record_linkage": M.link_records}[tool](df, right, **p), None
 
 
-def execute_steps(df: DataFrame, steps: list[dict], external_frames: dict[str, DataFrame] | None = None) -> dict:
+def execute_steps(df: DataFrame, steps: list[dict], external_frames: dict[str, DataFrame] | None = None,
+                  measured: bool = False) -> dict:
     """Final frame, the frame after each step, and what analysis-only steps found.
 
     Names and parameters are checked against schemas while the plan is built, so a bad
-    step fails before any data is read.
+    step fails before any data is read. With ``measured`` every frame counts its rows as they
+    pass; ``step_metrics`` reads the counts.
     """
     require(bool(steps), "STEPS_REQUIRED")
     frames = external_frames or {}
     history, analyses = [], []
+    given = df
+    df, last = watched(df) if measured else (df, None)
     for i, s in enumerate(steps):
         tool = s.get("tool")
         require(tool in TOOLS, "UNKNOWN_TOOL", step_index=i, tool=tool)
@@ -76,20 +80,24 @@ def execute_steps(df: DataFrame, steps: list[dict], external_frames: dict[str, D
             raise EngineError("STEP_FAILED", details={"step_index": i, "tool": tool, "reason": str(exc)}) from exc
         if found is not None:
             analyses.append({"step_index": i, "tool": tool, "result": found})
+        following, now = watched(following) if measured and found is None else (following, last)
         history.append({"step_index": i, "tool": tool, "tool_number": TOOLS[tool], "before": df, "after": following,
-                        "mutated": found is None})
-        df = following
-    return {"dataframe": df, "steps": history, "analyses": analyses}
+                        "mutated": found is None, "rows": (last, now)})
+        df, last = following, now
+    return {"dataframe": df, "steps": history, "analyses": analyses, "inputs": (given, steps, external_frames)}
 
 
 def step_metrics(result: dict) -> DataFrame:
-    """Rows and columns before and after every step, one count per frame."""
-    out = None
-    for s in result["steps"]:
-        row = s["before"].agg(F.count(F.lit(1)).alias("rows_before")).withColumns({
-            "rows_after": s["after"].agg(F.count(F.lit(1)).alias("n")).scalar(),
-            "step_index": F.lit(s["step_index"]), "tool": F.lit(s["tool"]), "tool_number": F.lit(s["tool_number"]),
-            "columns_before": F.lit(len(data_columns(s["before"]))),
-            "columns_after": F.lit(len(data_columns(s["after"]))), "mutated": F.lit(s["mutated"])})
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Rows and columns before and after every step: one job that reads the last frame, whose rows
+    are counted on their way through the steps."""
+    if result["steps"][0]["rows"][0] is None:
+        result = execute_steps(*result["inputs"], measured=True)
+    df = result["dataframe"]
+    df.write.format("noop").mode("overwrite").save()
+    rows = [
+        (s["rows"][0].get["rows"], s["rows"][1].get["rows"], s["step_index"], s["tool"], s["tool_number"],
+         len(data_columns(s["before"])), len(data_columns(s["after"])), s["mutated"]) for s in result["steps"]
+    ]
+    return df.sparkSession.createDataFrame(
+        rows, "rows_before long, rows_after long, step_index int, tool string, tool_number int, columns_before int, "
+        "columns_after int, mutated boolean")

@@ -321,6 +321,47 @@ def _(t):
     return rounded(st.execute_steps(t("orders"), steps)["dataframe"], 2)
 
 
+@query(
+    "c14_recipe_metrics",
+    f"SELECT 0::BIGINT AS step_index, 'string_cleaning' AS step_type, count(*)::BIGINT AS rows_before, count(*)::BIGINT AS rows_after, "
+    f"count(*) FILTER (WHERE event_type <> upper(event_type))::BIGINT AS changed_cells FROM {GAPS} "
+    f"UNION ALL SELECT 1, 'missing_values', count(*), count(value), 0 FROM {GAPS} "
+    f"UNION ALL SELECT 2, 'outlier_treatment', count(value), count(value), "
+    f"(SELECT count(*) FROM {GAPS}, (SELECT quantile_cont(value, 0.05) AS a, quantile_cont(value, 0.95) AS b FROM {GAPS}) "
+    f"WHERE value < a OR value > b) FROM {GAPS}",
+)
+def _(t):
+    steps = [
+        {"type": "string_cleaning", "params": {"columns": ["event_type"], "operations": ["uppercase"]}},
+        {"type": "missing_values", "params": {"operation": "drop_rows_selected", "columns": ["value"]}},
+        {
+            "type": "outlier_treatment",
+            "params": {"method": "percentile", "columns": ["value"], "action": "cap", "lower_percentile": 5.0, "upper_percentile": 95.0},
+        },
+    ]
+    out = re_.recipe_metrics(with_row_id(gaps(t), "event_id"), steps)
+    return rounded(out.select("step_index", "step_type", "rows_before", "rows_after", "changed_cells"))
+
+
+@query(
+    "b12_step_metrics",
+    "SELECT 0::BIGINT AS step_index, 'row_filter' AS tool, count(*)::BIGINT AS rows_before, "
+    "count(*) FILTER (WHERE o_totalprice > 50000)::BIGINT AS rows_after, 5::BIGINT AS columns_after FROM orders UNION ALL "
+    "SELECT 1, 'aggregation', count(*), count(DISTINCT o_orderstatus), 2 FROM orders WHERE o_totalprice > 50000",
+)
+def _(t):
+    frame = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    steps = [
+        {"tool": "row_filter", "parameters": {"conditions": [{"column": "o_totalprice", "operator": "gt", "value": 50000}]}},
+        {
+            "tool": "aggregation",
+            "parameters": {"group_by": ["o_orderstatus"], "aggregations": [{"function": "count", "alias": "n"}]},
+        },
+    ]
+    out = st.step_metrics(st.execute_steps(frame, steps))
+    return rounded(out.select("step_index", "tool", "rows_before", "rows_after", "columns_after"))
+
+
 # ---- sampling -------------------------------------------------------------------------
 
 
