@@ -51,7 +51,7 @@ def test_tool_metrics(spark):
     frame = frame_of(spark)
     plan = [
         {"tool": "row_filter", "parameters": {"conditions": [{"column": "v", "operator": "gt", "value": 0}]}},
-        {"tool": "merge_compatibility", "parameters": {"right_ref": "other", "keys": ["name"]}},
+        {"tool": "merge_compatibility", "parameters": {"right_ref": "other", "keys": [{"left": "name", "right": "name"}]}},
         {"tool": "aggregation", "parameters": {"group_by": ["name"], "aggregations": [{"function": "count", "alias": "n"}]}},
     ]
     result = steps.execute_steps(frame, plan, {"other": frame})
