@@ -43,14 +43,28 @@ def uniform(*parts: Column) -> Column:
 
 
 def row_key(*columns: Column) -> list[Column]:
-    """Two hashes over the same values: equal rows agree, different ones practically never."""
+    """Two hashes over the same values: equal rows agree, different ones practically never. A
+    null has no hash of its own, so where the nulls are is hashed too."""
+    nulls = F.array(*[c.isNull() for c in columns])
     return [
-        F.xxhash64(F.lit("a"), *columns).alias("__key_a"),
-        F.xxhash64(F.lit("b"), *columns).alias("__key_b"),
+        F.xxhash64(F.lit("a"), nulls, *columns).alias("__key_a"),
+        F.xxhash64(F.lit("b"), nulls, *columns).alias("__key_b"),
     ]
 
 
 KEY = ["__key_a", "__key_b"]
+ROW = "__row"
+
+
+def boxed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns an operator works on, and the whole row in one column beside them: whatever
+    other columns a table has, none of them can clash with an inner name."""
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+
+
+def unboxed(names: list[str]) -> list[Column]:
+    """The row's own columns again."""
+    return [F.col(ROW).getField(c).alias(c) for c in names]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

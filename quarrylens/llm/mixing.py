@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylens.llm.common import KEY, row_key, saved, table, uniform, word_count
+from quarrylens.llm.common import KEY, boxed, row_key, saved, table, unboxed, uniform, word_count
 
 BUCKETS = 4096
 CEILING = 3
@@ -135,9 +135,8 @@ def pareto_mix(
 def mixed_documents(docs: DataFrame, ceiling: int = CEILING, seed: str = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken. Documents stay whole, so the one
     at the boundary of a source is in if at least half of its words are due."""
-    keyed = docs.withColumns(
-        dict(zip(KEY, row_key(*[F.col(f"`{c}`") for c in docs.columns]), strict=True))
-    )
+    keyed = boxed(docs, "doc_id", "source", "text")
+    keyed = keyed.withColumns(dict(zip(KEY, row_key(*unboxed(docs.columns)), strict=True)))
     # Documents without words add nothing to any target and are left out.
     drawn = F.when(2 * F.col("part") >= F.col("size"), 1).otherwise(0)
     whole = F.when(F.col("size") > 0, F.col("copies") + drawn).otherwise(0)
@@ -145,7 +144,7 @@ def mixed_documents(docs: DataFrame, ceiling: int = CEILING, seed: str = SEED) -
     times = pareto_mix(keyed, ceiling, seed, KEY).groupBy(*KEY).agg(F.sum(whole).alias("__times"))
     taken = keyed.dropDuplicates(KEY).join(times.where("__times > 0"), KEY)
     copies = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-    return copies.select([f"`{c}`" for c in docs.columns])
+    return copies.select(unboxed(docs.columns))
 
 
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

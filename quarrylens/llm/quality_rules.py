@@ -94,7 +94,7 @@ def mask(policy: str) -> int:
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the measurements and ``failed`` (bit i set: rule i failed)."""
-    kept = [f for f in docs.schema.fields if f.name not in {*MEASURES, "failed"}]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {*MEASURES, "failed"}]
     schema = T.StructType([*kept, *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
     def run(batches):
@@ -117,10 +117,10 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def accepted(docs: DataFrame, policy: str) -> DataFrame:
     """The documents that the policy keeps, with their own columns only."""
-    taken = {*MEASURES, "failed"}
-    aside = docs.select([F.col(f"`{c}`").alias(f"__own_{c}" if c in taken else c) for c in docs.columns])
+    # Columns are moved by number, so that no name of theirs can clash with a measurement.
+    aside = docs.select([F.col(f"`{c}`").alias("text" if c == "text" else f"own {i}") for i, c in enumerate(docs.columns)])
     kept = ledger(aside).where(~rejected(policy))
-    return kept.select([F.col(f"`__own_{c}`" if c in taken else f"`{c}`").alias(c) for c in docs.columns])
+    return kept.select([F.col("text" if c == "text" else f"`own {i}`").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def rejected(policy: str) -> Column:

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import KEY, LOWER_ASCII, row_key, saved, table
+from quarrylens.llm.common import KEY, LOWER_ASCII, boxed, row_key, saved, table, unboxed
 from quarrylens.llm.components import components
 
 SHINGLE = 3
@@ -255,12 +255,13 @@ def named_groups(prints: DataFrame, links: Callable, keep: list[str] = ()) -> Da
 
 def representatives(docs: DataFrame, grouped: Callable = near_duplicate_groups) -> DataFrame:
     """One document of each group: the one with the least id (nulls last), whole and once."""
-    keyed = docs.withColumns(dict(zip(KEY, row_key(F.col("doc_id"), F.col("text")), strict=True)))
+    keyed = boxed(docs, "doc_id", "text")
+    keyed = keyed.withColumns(dict(zip(KEY, row_key(F.col("doc_id"), F.col("text")), strict=True)))
     groups = grouped(keyed, KEY)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("first")
     chosen = groups.groupBy("group").agg(first).select(*[f"first.{k}" for k in KEY])
     kept = keyed.join(chosen, KEY, "left_semi").dropDuplicates(KEY)
-    return kept.select([f"`{c}`" for c in docs.columns])
+    return kept.select(unboxed(docs.columns))
 
 
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

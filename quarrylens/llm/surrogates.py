@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylens.llm.common import saved, table
+from quarrylens.llm.common import ROW, boxed, saved, table, unboxed
 
 KEY = "surrogate-key-1"
 ROUNDS = 8
@@ -235,14 +235,21 @@ def surrogate_map(distinct: DataFrame, key: str = KEY) -> DataFrame:
     return settled.unionByName(last)
 
 
+def _text_key():
+    """A text is named by its length and two hashes."""
+    text = F.col("text")
+    return F.struct(F.length(text).alias("size"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("b"), text).alias("b"))
+
+
 def pseudonymize(docs: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
     """(documents with ``text`` replaced and ``n_entities``, the surrogate map)."""
+    names, docs = docs.columns, boxed(docs, "text")
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     # Only texts that may hold an entity are moved; all others pass as they are.
-    tagged = docs.where(hinted).withColumn("__text_key", F.xxhash64("text"))
+    tagged = docs.where(hinted).withColumn("own_key", _text_key())
     with_entities = docs.select("text").where(hinted)
     texts = saved(
-        with_entities.select(F.xxhash64("text").alias("text_key"), entities(F.col("text")).alias("found"))
+        with_entities.select(_text_key().alias("text_key"), entities(F.col("text")).alias("found"))
         .where(F.size("found") > 0)
         .groupBy("text_key")
         .agg(F.first("found").alias("found"))
@@ -256,22 +263,21 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]
         mentions.join(mapped.select("entity", "surrogate"), "entity")
         .groupBy("text_key")
         .agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("found"))
-        .select("text_key", F.col("found.surrogate").alias("__surrogates"))
+        .select("text_key", F.col("found.surrogate").alias("surrogates"))
     )
-    joined = tagged.join(by_text, tagged["__text_key"] == by_text["text_key"], "left")
+    joined = tagged.join(by_text, F.col("own_key") == F.col("text_key"), "left")
     gaps = F.split("text", ANY, -1)
-    pairs = F.zip_with(gaps, "__surrogates", lambda g, x: F.array(g, F.coalesce(x, F.lit(""))))
+    pairs = F.zip_with(gaps, "surrogates", lambda g, x: F.array(g, F.coalesce(x, F.lit(""))))
     merged = F.array_join(F.flatten(pairs), "")
-    changed = joined.withColumns(
-        {
-            "text": F.when(F.col("__surrogates").isNotNull(), merged).otherwise(F.col("text")),
-            "n_entities": F.coalesce(F.size("__surrogates"), F.lit(0)).cast("long"),
-        }
+    changed = joined.select(
+        F.when(F.col("surrogates").isNotNull(), merged).otherwise(F.col("text")).alias("text"),
+        ROW,
+        F.coalesce(F.size("surrogates"), F.lit(0)).cast("long").alias("n_entities"),
     )
-    same = docs.where(~hinted).withColumn("n_entities", F.lit(0).cast("long"))
-    kept = [c for c in docs.columns if c != "n_entities"]
-    names = [*[F.col(f"`{c}`") for c in kept], F.col("n_entities")]
-    return same.select(*names).union(changed.select(*names)), mapped
+    same = docs.where(~hinted).select("text", ROW, F.lit(0).cast("long").alias("n_entities"))
+    kept = [c for c in names if c.lower() != "n_entities"]
+    own = [F.col("text").alias(c) if c == "text" else column for c, column in zip(kept, unboxed(kept), strict=True)]
+    return same.union(changed).select(*own, "n_entities"), mapped
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,9 +122,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) ->
     keyed = labels.select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
     keyed = keyed.where(F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
     order = [F.xxhash64("l_id", F.lit("toxicity")), F.col("l_id")]
+    texts = docs.select(F.col("doc_id").alias("d_id"), "text")
     chosen = [keyed.where(F.col("toxic") == c).orderBy(*order).limit(bound) for c in (0, 1)]
     picked = chosen[0].union(chosen[1])
-    return docs.join(F.broadcast(picked), docs["doc_id"] == picked["l_id"]).select("toxic", "text")
+    return texts.join(F.broadcast(picked), F.col("d_id") == F.col("l_id")).select("toxic", "text")
 
 
 def held_out(doc_id):

@@ -57,6 +57,8 @@ def clash():
 
         names = ("slot", "shard", "size", "u", "fp", "ph", "doc", "start", "a", "b", "words", "row", "value", "spans")
         names += ("n_words", "failed", "group", "least", "target", "odds", "found", "text_hash", "hit")
+        names += ("toxic", "l_id", "d_id", "entry", "surrogates", "__surrogates", "__text_key", "own_key", "text_key", "n_entities")
+        names += ("__times", "__copy", "copies", "part", "__key_a", "__key_b", "__row", "none", "first", "bucket", "keys", "grams")
         return frame.withColumns({n: F.lit(f"own {n}") for n in names})
 
     return add

@@ -57,3 +57,10 @@ def test_mixed_documents(docs, empty, clash):
     assert mixed.columns == wide.columns
     assert mixed.where("text IS NULL OR trim(text) = ''").count() == 0
     assert mx.mixed_documents(empty).count() == 0 and mx.pareto_mix(empty).count() == 0
+
+
+def test_rows_that_differ_in_where_nulls_are(spark):
+    rows = [(1, "one two three", None, "a"), (1, "one two three", "a", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed = mx.mixed_documents(frame)
+    assert {(r["lang"], r["source"]) for r in mixed.collect()} == {(None, "a"), ("a", None)}

@@ -61,7 +61,7 @@ def test_run_and_registration(spark, docs, write):
     found = entry.queries()["pipeline"](spark, folder)
     assert found.columns == [*docs.columns, "shard"] and found.count() > 0
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_empty(spark, empty, write):

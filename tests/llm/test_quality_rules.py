@@ -39,6 +39,16 @@ def test_query_policies_and_ablations(spark, docs, write):
     assert found["few_words"].only_this == sum(r.failed == 1 for r in rows)
 
 
+def test_names_of_measurements_in_any_case(docs):
+    from pyspark.sql import functions as F
+
+    wide = docs.withColumns({"N_WORDS": F.lit("own"), "Failed": F.lit("own")})
+    assert qr.ledger(wide).count() == docs.count()
+    kept = qr.accepted(wide, "v1")
+    assert kept.columns == wide.columns
+    assert {(r["N_WORDS"], r["Failed"]) for r in kept.collect()} == {("own", "own")}
+
+
 def test_accepted_keeps_own_columns(docs, empty, clash):
     wide = clash(docs)
     kept = qr.accepted(wide, "v1")

@@ -56,6 +56,15 @@ def test_clashes_are_drawn_again(spark):
         assert not {r.surrogate for r in mapped} & {r.entity for r in mapped}
 
 
+def test_other_columns_stay_whatever_their_names(docs, clash):
+    wide = clash(docs)
+    changed, _ = sg.pseudonymize(wide)
+    assert changed.columns == [c for c in wide.columns if c != "n_entities"] + ["n_entities"]
+    rows = changed.collect()
+    assert len(rows) == docs.count()
+    assert {r["__surrogates"] for r in rows} == {"own __surrogates"} and {r["toxic"] for r in rows} == {"own toxic"}
+
+
 def test_long_words_and_empty_table(spark, empty, clash):
     frame = spark.createDataFrame([(1, "x" * 300_000 + " 5"), (2, "1" * 50_000)], "doc_id long, text string")
     assert [r.n_entities for r in sg.pseudonymize(frame)[0].collect()] == [0, 0]

@@ -48,6 +48,7 @@ def test_learns_and_scores(spark, write):
 def test_no_labels_or_rows(spark, docs, empty, clash):
     none = spark.createDataFrame([], LABELS)
     lexicon = tx.learn(docs, none)
+    assert tx.labelled_sample(clash(docs), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")).count() >= 1
     scored = tx.score_documents(clash(docs), lexicon)
     assert scored.count() == docs.count() and scored.where("score >= 0.5").count() == 0
     assert tx.score_documents(empty, lexicon).count() == 0
