@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.ids import with_row_id
+from quarrylens.operators import filters
 from quarrylens.queries.registry import query, rounded
 from quarrylens.session import shared_folder
-from quarrylens.sources import readers, versions
+from quarrylens.sources import readers, sqlite, versions
 
 
 def _path(df: DataFrame, name: str) -> str:
@@ -110,3 +111,43 @@ def _(t):
 )
 def _(t):
     return rounded(_store(t).catalog().select("dataset", "versions", "row_count", "health_score"))
+
+
+@query(
+    "s5_sqlite_table",
+    "SELECT s_suppkey::BIGINT AS s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal FROM supplier WHERE s_acctbal > 1000",
+)
+def _(t):
+    df = t("supplier").select("s_suppkey", "s_name", "s_acctbal")
+    path = _path(df, "tables") + ".db"
+    sqlite.write_sqlite(t("region"), path, "region")
+    sqlite.write_sqlite(df, path, "supplier")
+    read = readers.read_any(df.sparkSession, path)
+    return rounded(read.where("s_acctbal > 1000"), 2)
+
+
+@query("s7_preview", "SELECT o_orderkey::BIGINT AS o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def _(t):
+    rows = with_row_id(t("orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return filters.preview(rows, 100, 50).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_totalprice")
+
+
+@query(
+    "s6_signatures",
+    "SELECT 'parquet' AS file_type, CAST(NULL AS VARCHAR) AS problem, count(*) > 0 AS some FROM part UNION ALL "
+    "SELECT 'csv', 'PARQUET_UNDER_OTHER_NAME', count(*) > 0 FROM part UNION ALL "
+    "SELECT 'parquet', 'NOT_PARQUET', count(*) > 0 FROM part",
+)
+def _(t):
+    df = _part(t)
+    spark, path = df.sparkSession, _path(df, "routed")
+    df.write.parquet(f"{path}/right")
+    df.write.csv(f"{path}/text")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, old, new in (("right", "parquet", "csv"), ("text", "csv", "parquet")):
+        first = next(str(f.getPath()) for f in store.listStatus(hadoop.Path(f"{path}/{name}")) if str(f.getPath()).endswith(old))
+        target = hadoop.Path(f"{path}/renamed-{name}.{new}")
+        hadoop.FileUtil.copy(store, hadoop.Path(first), store, target, False, spark._jsc.hadoopConfiguration())
+    found = readers.detect_file_types(spark, path).where("NOT contains(path, '/text/')")
+    return found.groupBy("file_type", "problem").agg((F.count(F.lit(1)) > 0).alias("some"))

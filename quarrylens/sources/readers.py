@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quarrylens.errors import EngineError, require
 from quarrylens.ids import nan_to_null
+from quarrylens.sources.sqlite import read_sqlite
 
 # Candidate delimiters and how many lines are looked at.
 DELIMITERS = {",": ",", ";": ";", "tab": "\t", "pipe": "|"}
@@ -157,26 +158,71 @@ def largest_table(spark: SparkSession, url: str, tables: list[str], **properties
 # ---------------------------------------------------------------- routing
 
 EXTENSIONS = {"csv": "csv", "tsv": "csv", "txt": "csv", "json": "json", "jsonl": "json", "ndjson": "json",
-              "parquet": "parquet"}
+              "parquet": "parquet", "sqlite": "sqlite", "sqlite3": "sqlite", "db": "sqlite"}
+# What files of a kind begin with, and Parquet's end.
+SIGNATURES = {"parquet": b"PAR1", "sqlite": b"SQLite format 3\x00"}
+
+
+def _ends(batches):
+    """The first sixteen and last four bytes of each file; nulls where its store cannot be opened
+    from here."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        rows = []
+        for path in batch.column(0).to_pylist():
+            try:
+                store, inner = fs.FileSystem.from_uri(path)
+                with store.open_input_file(inner) as file:
+                    size = file.size()
+                    rows.append((path, file.read_at(min(16, size), 0), file.read_at(min(4, size), max(0, size - 4))))
+            except (pa.ArrowInvalid, OSError):
+                rows.append((path, None, None))
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())],
+            names=["path", "head", "tail"])
 
 
 def detect_file_types(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file_type) by extension for every file below a path. Only the listing is read, no
-    file body; a file that is not what its name says is refused by the reader it is routed to."""
+    """(path, file_type, problem) for every file below a path, by its name and its signature. The
+    listing and twenty bytes of each file are read, spread over the tasks, no file body.
+
+    A Parquet or SQLite signature under a name of another kind, and a name ``.parquet`` without
+    the signature at both ends, are problems. A SQLite signature counts under a name that says
+    nothing. In a store that only Spark's own readers can open names decide alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     by_name = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])
-    named = F.try_element_at(by_name, ext)
-    return files.select("path", named.alias("file_type"))
+    seen = files.mapInArrow(_ends, "path string, head binary, tail binary").withColumn("named", F.try_element_at(by_name, ext))
+
+    def begins(kind_: str):
+        mark = SIGNATURES[kind_]
+        return F.substring("head", 1, len(mark)) == F.lit(mark)
+
+    known, parquet, sqlite = F.col("head").isNotNull(), begins("parquet"), begins("sqlite")
+    whole = parquet & (F.col("tail") == F.lit(SIGNATURES["parquet"]))
+    problem = (
+        F.when(known & parquet & ~F.col("named").eqNullSafe(F.lit("parquet")), "PARQUET_UNDER_OTHER_NAME")
+        .when(known & (F.col("named") == "parquet") & ~whole, "NOT_PARQUET")
+        .when(known & sqlite & F.col("named").isin("csv", "json", "parquet"), "SQLITE_UNDER_OTHER_NAME"))
+    kind_ = F.coalesce("named", F.when(sqlite, "sqlite"))
+    return seen.select("path", kind_.alias("file_type"), problem.alias("problem"))
 
 
 def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Route one path to its reader by the names of its files."""
-    kinds = detect_file_types(spark, path).where("file_type IS NOT NULL").select("file_type").distinct().collect()
-    found = sorted(r["file_type"] for r in kinds)
+    """Route one path to its reader by the names and signatures of its files; a file that is not
+    what its name says is refused before any reader starts."""
+    kinds = detect_file_types(spark, path).where("file_type IS NOT NULL OR problem IS NOT NULL")
+    rows = kinds.groupBy("file_type", "problem").agg(F.min("path").alias("example")).collect()
+    wrong = [r for r in rows if r["problem"]]
+    require(not wrong, "FILE_TYPE_MISMATCH", path=wrong[0]["example"] if wrong else path,
+            reason=wrong[0]["problem"] if wrong else None)
+    found = sorted(r["file_type"] for r in rows)
     require(bool(found), "UNSUPPORTED_FILE_TYPE", path=path)
     require(len(found) == 1, "MIXED_FILE_TYPES", types=found)
-    reader = {"csv": read_delimited, "json": read_json, "parquet": read_parquet}[found[0]]
+    reader = {"csv": read_delimited, "json": read_json, "parquet": read_parquet, "sqlite": read_sqlite}[found[0]]
     try:
         return reader(spark, path, **options)
     except EngineError:
