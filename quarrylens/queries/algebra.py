@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylens.errors import EngineError
 from quarrylens.functions.formulas import compile_formula
 from quarrylens.ids import with_row_id
 from quarrylens.operators import aggregate as ag
 from quarrylens.operators import columns as co
 from quarrylens.operators import filters as fi
 from quarrylens.operators import joins as jo
+from quarrylens.operators import kpi as kp
 from quarrylens.operators import windows as wi
 from quarrylens.queries.registry import query, rounded
 
@@ -207,9 +209,87 @@ def _(t):
     return sums.select("l_returnflag", F.round(value, 4).alias("value"))
 
 
+def _one(op, value, **more):
+    return {"op": op, "value": value, **more}
+
+
+@query(
+    "p7_tests_and_texts",
+    "SELECT event_id, coalesce(user_id = 3, false) AS eq, NOT coalesce(user_id = 3, false) AS ne, coalesce(value > 50, false) AS gt, "
+    "coalesce(value <= 50, false) AS lte, coalesce(value > 50, false) OR coalesce(user_id = 3, false) AS either, "
+    "NOT coalesce(value > 50, false) AS no, value IS NULL AS missing, value IS NOT NULL AS there, "
+    "lower(event_type) AS small, trim('  ' || event_type || ' ') AS bare, round_even(value, 1) AS near "
+    "FROM (SELECT event_id, user_id, CASE WHEN event_id % 4 <> 0 THEN value END AS value, event_type FROM events)",
+)
+def _(t):
+    value = F.when(F.col("event_id") % 4 != 0, F.col("value"))
+    df = t("events").select("event_id", "user_id", value.alias("value"), "event_type")
+    big, three = _two("gt", _col("value"), _lit(50)), _two("eq", _col("user_id"), _lit(3))
+    padded = {"op": "concat", "args": [_lit("  "), _col("event_type"), _lit(" ")]}
+    calc = {
+        "eq": three, "ne": _two("ne", _col("user_id"), _lit(3)), "gt": big, "lte": _two("lte", _col("value"), _lit(50)),
+        "either": _two("or", big, three), "no": _one("not", big), "missing": _one("is_null", _col("value")),
+        "there": _one("not_null", _col("value")), "small": _one("lower", _col("event_type")), "bare": _one("trim", padded),
+        "near": _one("round", _col("value"), digits=1),
+    }
+    out = co.apply_calculated_columns(df, [{"name": n, "expression": e} for n, e in calc.items()])
+    return rounded(out.select("event_id", *calc))
+
+
+@query(
+    "p10_built_in_ratios",
+    "SELECT o_orderstatus, round((r - c) / r * 100, 6) AS gross_margin_pct, round(r / n, 4) AS average_order_value FROM ("
+    "SELECT o_orderstatus, sum(o_totalprice) AS r, sum(o_totalprice * 0.6) AS c, count(*) AS n FROM orders GROUP BY 1)",
+)
+def _(t):
+    sums = t("orders").groupBy("o_orderstatus").agg(
+        F.sum("o_totalprice").alias("revenue"), F.sum(F.col("o_totalprice") * 0.6).alias("cost"),
+        F.count(F.lit(1)).alias("orders"))
+    out = kp.built_in_ratios(sums)
+    return rounded(out.select("o_orderstatus", "gross_margin_pct", F.round("average_order_value", 4).alias("average_order_value")))
+
+
 # ---- filters --------------------------------------------------------------------------
 
 
+@query(
+    "f1_nulls_and_endings",
+    "SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS value, "
+    "CASE WHEN event_id % 3 <> 0 THEN event_type END AS event_type FROM events) WHERE (value IS NULL AND event_type IS NOT NULL "
+    "AND NOT contains(event_type, 'ick')) OR (value IS NOT NULL AND ends_with(event_type, 'e'))",
+)
+def _(t):
+    value = F.when(F.col("event_id") % 4 != 0, F.col("value"))
+    kind = F.when(F.col("event_id") % 3 != 0, F.col("event_type"))
+    df = t("events").select("event_id", value.alias("value"), kind.alias("event_type"))
+    empty = fi.apply_row_filter(df, [
+        {"column": "value", "operator": "is_null"}, {"column": "event_type", "operator": "not_null"},
+        {"column": "event_type", "operator": "not_contains", "value": "ick"}])
+    filled = fi.apply_row_filter(df, [
+        {"column": "value", "operator": "not_null"}, {"column": "event_type", "operator": "ends_with", "value": "e"}])
+    return empty.unionByName(filled).select("event_id")
+
+
+@query(
+    "j4_cardinality",
+    "SELECT v AS validate, CASE v WHEN 'one_to_one' THEN o AND c WHEN 'one_to_many' THEN o ELSE c END AS holds FROM "
+    "(SELECT count(*) = count(DISTINCT o_custkey) AS o FROM orders), (SELECT count(*) = count(DISTINCT c_custkey) AS c FROM customer), "
+    "(SELECT unnest(['one_to_one', 'one_to_many', 'many_to_one']) AS v)",
+)
+def _(t):
+    orders, customers = t("orders"), t("customer")
+    found = []
+    for rule in ("one_to_one", "one_to_many", "many_to_one"):
+        try:
+            jo.check_cardinality(orders, customers, [{"left": "o_custkey", "right": "c_custkey"}], rule)
+            found.append((rule, True))
+        except EngineError as exc:
+            if exc.code != "CARDINALITY_VIOLATION":
+                raise
+            found.append((rule, False))
+    return orders.sparkSession.createDataFrame(found, "validate string, holds boolean")
+
+
 @query(
     "f1_row_filter",
     "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 200000 "

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quarrylens.ids import with_row_id
@@ -9,7 +12,9 @@ from quarrylens.operators import eda
 from quarrylens.operators import matching as ma
 from quarrylens.operators import quality as qu
 from quarrylens.operators import stats as sx
+from quarrylens.plans import full_run
 from quarrylens.queries.registry import query, rounded
+from quarrylens.session import shared_folder
 from quarrylens.sources import readers, versions
 
 _NUM = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_discount": "l_discount"}
@@ -165,6 +170,31 @@ def _(t):
     return rounded(out.select("rule_index", "column", "rule", "invalid_count", "status"))
 
 
+@query(
+    "d8_default_rules",
+    """WITH c AS (SELECT CASE WHEN c_custkey % 50 <> 0 THEN c_custkey // 2 END AS customer_id, c_acctbal / 50 AS age,
+               CASE WHEN c_custkey % 7 = 0 THEN 'none' ELSE 'c' || c_custkey || '@example.org' END AS email, c_acctbal AS revenue,
+               CASE WHEN c_custkey % 3 = 0 THEN '1997-13-01' ELSE '1997-01-31' END AS signup_date,
+               CASE WHEN c_nationkey < 9 THEN 'Active' WHEN c_nationkey < 20 THEN 'Inactive' ELSE 'Gone' END AS status FROM customer)
+    SELECT 'customer_id' AS "column", 'required' AS rule, count(*) FILTER (WHERE customer_id IS NULL)::BIGINT AS invalid_count FROM c
+    UNION ALL SELECT 'customer_id', 'unique', coalesce(sum(n), 0)::BIGINT FROM
+      (SELECT count(*) AS n FROM c WHERE customer_id IS NOT NULL GROUP BY customer_id HAVING count(*) > 1)
+    UNION ALL SELECT 'age', 'range', count(*) FILTER (WHERE age < 0 OR age > 120) FROM c
+    UNION ALL SELECT 'email', 'email', count(*) FILTER (WHERE email = 'none') FROM c
+    UNION ALL SELECT 'revenue', 'min', count(*) FILTER (WHERE revenue < 0) FROM c
+    UNION ALL SELECT 'signup_date', 'date', count(*) FILTER (WHERE signup_date = '1997-13-01') FROM c
+    UNION ALL SELECT 'status', 'allowed_values', count(*) FILTER (WHERE status = 'Gone') FROM c""",
+)
+def _(t):
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    df = t("customer").select(
+        F.when(key % 50 != 0, F.floor(key / 2)).alias("customer_id"), (F.col("c_acctbal") / 50).alias("age"),
+        F.when(key % 7 == 0, "none").otherwise(F.concat(F.lit("c"), key.cast("string"), F.lit("@example.org"))).alias("email"),
+        F.col("c_acctbal").alias("revenue"), F.when(key % 3 == 0, "1997-13-01").otherwise("1997-01-31").alias("signup_date"),
+        F.when(nation < 9, "Active").when(nation < 20, "Inactive").otherwise("Gone").alias("status"))
+    return rounded(qu.validate_dataset(df, qu.DEFAULT_RULES).select("column", "rule", "invalid_count"))
+
+
 @query("d9_health_score")
 def _(t):
     return qu.health_score(t("orders"))
@@ -612,6 +642,35 @@ def _(t):
     ))
 
 
+@query("e10_eda_report")
+def _(t):
+    """The rows of every written section of the report."""
+    orders = t("orders").select("o_totalprice", "o_orderstatus", "o_orderpriority")
+    return _written(orders, eda.generate_eda_report(orders))
+
+
+def _written(df, sections):
+    path = f"{shared_folder(df.sparkSession)}/report-{uuid.uuid4().hex}"
+    for name, section in sections.items():
+        section.write.parquet(f"{path}/{name}")
+    parts = [df.sparkSession.read.parquet(f"{path}/{n}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("section"), "rows")
+             for n in sections]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("b13_full_run")
+def _(t):
+    """Sections written by the full analysis of the orders, their rows, and the health before and after."""
+    orders = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    folder = f"{shared_folder(orders.sparkSession)}/run-{uuid.uuid4().hex}"
+    store = versions.VersionStore(orders.sparkSession, f"{folder}/versions")
+    run = full_run.run_full_analysis(store, orders, "orders", f"{folder}/sections")
+    parts = [orders.sparkSession.read.parquet(p).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("section"), "rows")
+             for n, p in run["sections"].items()]
+    scores = [F.lit(run[k]["score"]).cast("long").alias(k) for k in ("health_before", "health_after")]
+    return reduce(lambda a, b: a.unionByName(b), parts).select("*", *scores)
+
+
 @query("e6_explore_correlations")
 def _(t):
     return rounded(eda.explore_correlations(_lines(t)))

@@ -91,7 +91,7 @@ class VersionStore:
         digest, now = content_hash(stored), datetime.now(timezone.utc).replace(tzinfo=None)
         parent_number = parent["version_number"] if parent else None
         self._append("versions", VERSIONS, (dataset, number, parent_number, path, rows, columns, digest,
-                                            health_score, now))
+                                            None if health_score is None else float(health_score), now))
         before = {"row_count": parent["row_count"], "column_count": parent["column_count"]} if parent else {}
         self._append("lineage", LINEAGE, (
             dataset, step, parent_number, number, json.dumps(parameters or {}, default=str),
