@@ -11,7 +11,7 @@ from quarrylens.errors import require, require_columns
 from quarrylens.functions.conditions import combine, condition
 from quarrylens.functions.text import strip, to_number
 from quarrylens.ids import ROW_ID, numeric_columns
-from quarrylens.operators.ordered import order_keys
+from quarrylens.operators.ordered import Key, Ordered, order_keys
 
 VALUE_TYPES = {"string", "number", "integer", "boolean", "date", "datetime"}
 STATE_OPERATORS = {
@@ -148,6 +148,17 @@ def apply_sort(df: DataFrame, sort_by: list, nulls: str = "last") -> DataFrame:
     return df.orderBy(*[k.expr() for k in keys], *tie)
 
 
+def sort_summary(df: DataFrame, sort_by: list, nulls: str = "last") -> DataFrame:
+    """One row: rows, and how many of them the sort moves to another position."""
+    require(bool(sort_by), "SORT_KEYS_REQUIRED")
+    keys = order_keys(sort_by, nulls)
+    require_columns(df, [ROW_ID, *[k.column for k in keys]])
+    rows = df.select(ROW_ID, *[k.column for k in keys if k.column != ROW_ID])
+    was = Ordered(rows, [], [Key(ROW_ID)]).number("__was").df
+    both = Ordered(was, [], keys).number("__is").df
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("__was") != F.col("__is")).alias("moved_rows"))
+
+
 def preview(df: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
     """A page of rows in row order; at most 500 of them."""
     require(offset >= 0 and 1 <= limit <= 500, "INVALID_PAGE")

@@ -444,7 +444,8 @@ def failing_rows(df: DataFrame, rules: list[dict], row_id: str = ROW_ID) -> Data
         value = F.col(spec["column"]).cast("string") if spec.get("column") in df.columns else F.lit(None).cast("string")
         if bad is None:
             repeated = _unique_failures(df, spec).select(F.col("value").alias("__dup"))
-            hit = df.join(repeated, F.col(spec["column"]).eqNullSafe(F.col("__dup")), "left_semi")
+            hit = df.withColumn("__checked", value).join(
+                repeated.select(F.col("__dup").cast("string").alias("__dup")), F.col("__checked").eqNullSafe(F.col("__dup")), "left_semi")
             frames.append(hit.select(*head, F.col(row_id).alias("row_id"), value.alias("value")))
         else:
             marks.append(F.when(bad, F.struct(*head, value.alias("value"))))
@@ -454,6 +455,20 @@ def failing_rows(df: DataFrame, rules: list[dict], row_id: str = ROW_ID) -> Data
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def validation_examples(df: DataFrame, rules: list[dict], size: int = 5, row_id: str = ROW_ID) -> DataFrame:
+    """(rule_index, column, rule, examples): the values of the first ``size`` failing rows of every
+    rule that fails, by row id."""
+    def first(i: int, spec: dict) -> DataFrame:
+        rows = failing_rows(df, [spec], row_id).orderBy("row_id").limit(size)
+        return rows.withColumn("rule_index", F.lit(i))
+
+    found = reduce(lambda a, b: a.unionByName(b), [first(i, spec) for i, spec in enumerate(rules)])
+    # At most ``size`` rows per rule are gathered.
+    lists = found.groupBy("rule_index", "column", "rule").agg(
+        F.array_sort(F.collect_list(F.struct("row_id", "value"))).alias("found"))
+    return lists.select("rule_index", "column", "rule", F.col("found.value").alias("examples"))
+
+
 def validation_summary(results: DataFrame) -> DataFrame:
     bad = F.col("invalid_count") > 0
     warn = F.col("severity") == "warning"

@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.errors import require, require_columns
+from quarrylens.errors import EngineError, require, require_columns
 from quarrylens.functions import tails as P
 from quarrylens.ids import kind, numeric_columns
 from quarrylens.operators import ranks as R
@@ -1036,39 +1036,58 @@ def segment_power(df: DataFrame, segments, variant_column: str, control_value, t
 
 # ---------------------------------------------------------------- report
 
-def generate_statistics_report(df: DataFrame, columns=None, alpha: float = 0.05) -> dict[str, DataFrame]:
-    """T1-T6 sections plus findings drawn from them; sections stay lazy."""
+# Sections of the report and bounds of its findings.
+SECTIONS = ["descriptive", "percentiles", "correlation", "covariance", "distribution", "normality"]
+MISSING_PCT, VARIABILITY, STRONG_R, STRONG_PAIRS = 20, 1, 0.7, 5
+
+
+def generate_statistics_report(df: DataFrame, columns=None, alpha: float = 0.05, sections=None) -> dict[str, DataFrame]:
+    """The sections asked for plus findings drawn from them and warnings (section, code, message)
+    of those that could not be made; sections stay lazy."""
     columns = _numeric(df, columns)
-    out = {
-        "descriptive": analyze_descriptive_statistics(df, columns),
-        "percentiles": analyze_percentiles(df, columns),
-        "distribution": analyze_distributions(df, columns),
-        "normality": analyze_normality(df, columns, alpha),
+    wanted = list(SECTIONS if sections is None else sections)
+    require(set(wanted) <= set(SECTIONS), "INVALID_SECTION", sections=sorted(set(wanted) - set(SECTIONS)))
+    makers = {
+        "descriptive": lambda: analyze_descriptive_statistics(df, columns),
+        "percentiles": lambda: analyze_percentiles(df, columns),
+        "correlation": lambda: analyze_correlations(df, columns),
+        "covariance": lambda: analyze_covariance(df, columns),
+        "distribution": lambda: analyze_distributions(df, columns),
+        "normality": lambda: analyze_normality(df, columns, alpha),
     }
-    if len(columns) >= 2:
-        out["correlation"] = analyze_correlations(df, columns)
-        out["covariance"] = analyze_covariance(df, columns)
+    out, warnings = {}, []
+    for name in wanted:
+        try:
+            require(len(columns) >= 2 or name not in ("correlation", "covariance"), "INSUFFICIENT_COLUMNS")
+            out[name] = makers[name]()
+        except EngineError as exc:
+            warnings.append((name, exc.code, exc.message))
     out["findings"] = statistics_findings(out)
+    out["warnings"] = df.sparkSession.createDataFrame(warnings, "section string, code string, message string")
     return out
 
 
 def statistics_findings(report: dict[str, DataFrame]) -> DataFrame:
-    d = report["distribution"]
-    skew = d.filter(F.abs("skewness") >= 1).select(
-        F.lit("STRONG_SKEW").alias("code"), F.col("column").alias("columns"), F.col("skewness").alias("value"))
-    rate = F.try_divide(F.col("iqr_outlier_count").cast("double"), F.col("count"))
-    out = d.filter(rate >= 0.05).select(F.lit("OUTLIERS").alias("code"), F.col("column").alias("columns"), rate.alias("value"))
-    normal = report["normality"].filter(F.col("consensus") == "evidence_against_normality").select(
-        F.lit("NOT_NORMAL").alias("code"), F.col("column").alias("columns"),
-        F.col("jarque_bera_p_value").alias("value"))
-    frames = [skew, out, normal]
-    if "correlation" in report:
-        frames.append(report["correlation"].filter(F.col("absolute_correlation") >= 0.8).select(
-            F.lit("STRONG_CORRELATION").alias("code"), F.concat_ws(" / ", "column_a", "column_b").alias("columns"),
-            F.col("correlation").alias("value")))
-    res = frames[0]
-    for f in frames[1:]:
-        res = res.unionByName(f)
-    return res
-
+    """(severity, code, columns, value) of the sections that the report has."""
+    frames = []
 
+    def add(section: str, code: str, found, value: Column, severity: str = "info") -> None:
+        if section in report:
+            rows = found(report[section])
+            names = F.concat_ws(" / ", "column_a", "column_b") if "column_a" in rows.columns else F.col("column")
+            frames.append(rows.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), names.alias("columns"),
+                                      value.cast("double").alias("value")))
+
+    add("descriptive", "HIGH_MISSINGNESS", lambda t: t.filter(F.col("null_rate_pct") >= MISSING_PCT), F.col("null_rate_pct"), "warning")
+    cv = F.col("coefficient_of_variation")
+    add("descriptive", "HIGH_RELATIVE_VARIABILITY", lambda t: t.filter(F.abs(cv) >= VARIABILITY), cv)
+    add("distribution", "IQR_OUTLIERS", lambda t: t.filter("iqr_outlier_count > 0"), F.col("iqr_outlier_count"))
+    add("distribution", "SKEWED_DISTRIBUTION",
+        lambda t: t.filter(F.col("shape").isNotNull() & ~F.col("shape").isin("unknown", "approximately_symmetric")), F.col("skewness"))
+    add("correlation", "STRONG_CORRELATION",
+        lambda t: strongest_pairs(t, STRONG_PAIRS).filter(F.col("absolute_correlation") >= STRONG_R), F.col("correlation"))
+    add("normality", "NON_NORMAL_EVIDENCE", lambda t: t.filter(F.col("consensus") == "evidence_against_normality"),
+        F.col("jarque_bera_p_value"))
+    if not frames:
+        raise EngineError("NO_SECTIONS")
+    return reduce(lambda a, b: a.unionByName(b), frames)

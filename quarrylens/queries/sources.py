@@ -126,6 +126,16 @@ def _(t):
     return rounded(read.where("s_acctbal > 1000"), 2)
 
 
+@query(
+    "o1_sort_summary",
+    "SELECT count(*)::BIGINT AS rows, count(*) FILTER (WHERE a <> b)::BIGINT AS moved_rows FROM (SELECT row_number() OVER "
+    "(ORDER BY o_orderkey) AS a, row_number() OVER (ORDER BY o_orderstatus DESC, o_totalprice, o_orderkey) AS b FROM orders)",
+)
+def _(t):
+    rows = with_row_id(t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderkey")
+    return filters.sort_summary(rows, [{"column": "o_orderstatus", "direction": "desc"}, "o_totalprice"])
+
+
 @query("s7_preview", "SELECT o_orderkey::BIGINT AS o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def _(t):
     rows = with_row_id(t("orders").select("o_orderkey", "o_totalprice"), "o_orderkey")

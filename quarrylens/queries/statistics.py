@@ -170,6 +170,25 @@ def _(t):
     return rounded(out.select("rule_index", "column", "rule", "invalid_count", "status"))
 
 
+@query(
+    "d7_examples",
+    "SELECT 0::BIGINT AS rule_index, 'c_acctbal' AS \"column\", array_to_string(list(v ORDER BY c_custkey), ',') AS examples FROM ("
+    "SELECT c_custkey, round(c_acctbal)::BIGINT::VARCHAR AS v FROM customer WHERE NOT (round(c_acctbal) BETWEEN 0 AND 5000) "
+    "ORDER BY c_custkey LIMIT 5) UNION ALL SELECT 1, 'c_nationkey', array_to_string(list(v ORDER BY c_custkey), ',') FROM ("
+    "SELECT c_custkey, c_nationkey::VARCHAR AS v FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 "
+    "HAVING count(*) > 1) ORDER BY c_custkey LIMIT 5)",
+)
+def _(t):
+    df = with_row_id(t("customer").withColumn("c_acctbal", F.round("c_acctbal").cast("long")), "c_custkey")
+    rules = [
+        {"column": "c_acctbal", "rule": "range", "min": 0, "max": 5000},
+        {"column": "c_nationkey", "rule": "unique"},
+        {"column": "absent", "rule": "unique"},
+    ]
+    out = qu.validation_examples(df, rules)
+    return rounded(out.select("rule_index", "column", F.array_join("examples", ",").alias("examples")))
+
+
 @query(
     "d8_default_rules",
     """WITH c AS (SELECT CASE WHEN c_custkey % 50 <> 0 THEN c_custkey // 2 END AS customer_id, c_acctbal / 50 AS age,
@@ -474,6 +493,19 @@ def _(t):
     return rounded(sx.segment_power(_lines(t), ["l_returnflag"], "l_linestatus", "F", "O", "l_extendedprice"))
 
 
+@query(
+    "t22_findings_of_counts",
+    "SELECT 'HIGH_MISSINGNESS' AS code, 'value' AS columns, round(100.0 * (count(*) - count(value)) / count(*), 6) AS value "
+    "FROM (SELECT CASE WHEN event_id % 3 <> 0 THEN value END AS value FROM events) UNION ALL "
+    "SELECT 'STRONG_CORRELATION', 'value / twice', round(corr(value, 2 * value + event_id % 2), 6) FROM events WHERE event_id % 3 <> 0",
+)
+def _(t):
+    value = F.when(F.col("event_id") % 3 != 0, F.col("value"))
+    df = t("events").select(value.alias("value"), (2 * F.col("value") + F.col("event_id") % 2).alias("twice"))
+    out = sx.generate_statistics_report(df, sections=["descriptive", "correlation"])["findings"]
+    return rounded(out.where("code IN ('HIGH_MISSINGNESS', 'STRONG_CORRELATION')").select("code", "columns", "value"))
+
+
 @query("t22_statistics_findings")
 def _(t):
     return sx.statistics_findings(sx.generate_statistics_report(_lines(t)))
