@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     made only where the setting is missing and the master is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
         folder = tempfile.mkdtemp(prefix="quarrylens-")
     return folder
