@@ -3,8 +3,9 @@
 A map-only scan finds the spans of the base patterns (they always stay) and further
 candidates: bare tokens that look like generated keys. Every candidate value is hashed, and
 the hashes are counted over the whole corpus by distinct repositories and distinct owners.
-A bare token that few owners hold looks like a live credential and becomes a span of kind
-``owned``; one that many owners hold is a widely copied example and does not. The census
+A bare token that few owners hold in few repositories looks like a live credential and becomes a
+span of kind ``owned``; one that many owners hold, or that fills many repositories of one owner, is
+a widely copied example and does not. The census
 (one row per value: documents, repositories, owners, verdict) is an output of its own.
 
 Counting goes by (value, owner) first, so a value that a third of all documents share is
@@ -34,6 +35,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _BARE = re.compile(r"[A-Za-z0-9_-]{20,}", re.ASCII)
 KINDS = ["assign", "access", "hex", "owned"]
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 20
 
 SCAN_SCHEMA = (
     "doc_id {id}, repo string, owner string, "
@@ -114,7 +116,9 @@ def scan(docs: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
     return source.mapInArrow(run, SCAN_SCHEMA.format(id=id_type))
 
 
-def ownership_census(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def ownership_census(
+    scanned: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES
+) -> DataFrame:
     """One row per candidate value: occurrences, distinct repositories and owners, verdict."""
     none = F.lit("\u0000null")
     seen = scanned.select(
@@ -130,20 +134,23 @@ def ownership_census(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFr
     )
     owners = by_place.groupBy("value", "owner").agg(F.first("value").alias("same"))
     owners = owners.groupBy("value").agg(F.count("same").alias("owners"))
-    return repos.join(owners, "value").withColumn(
-        "verdict", F.when(F.col("owners") <= max_owners, "live").otherwise("example")
-    )
+    few = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    return repos.join(owners, "value").withColumn("verdict", F.when(few, "live").otherwise("example"))
 
 
 def secret_spans(
-    docs: DataFrame, repo_col: str, owner_col: str, max_owners: int = MAX_OWNERS
+    docs: DataFrame,
+    repo_col: str,
+    owner_col: str,
+    max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """One row per document: base spans, all spans (sorted by start, then kind) and the
     number of its candidate values that look live."""
     scanned = saved(scan(docs, repo_col, owner_col)).withColumn(
         "row", F.monotonically_increasing_id()
     )
-    census = ownership_census(scanned, max_owners).where("verdict = 'live'").select("value")
+    census = ownership_census(scanned, max_owners, max_repositories).where("verdict = 'live'").select("value")
     held = scanned.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c"))
     live = (
         held.withColumn("value", F.col("c.value"))

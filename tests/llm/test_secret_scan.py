@@ -43,6 +43,17 @@ def test_base_spans_and_ownership(spark, docs, write):
     assert (census[copied].owners, census[copied].repositories, census[copied].verdict) == (6, 6, "example")
 
 
+def test_many_repositories_of_one_owner_make_an_example(spark, docs):
+    """A hot source: the value has one owner, yet it is copied into many documents."""
+    few = ss.MAX_REPOSITORIES
+    rows = [(100 + i, f"guide {EVERYWHERE} end", "en", "hot", 1) for i in range(few + 1)]
+    rows += [(900 + i, f"note {OWN} end", "en", "hot", 1) for i in range(few)]
+    found = ss.secret_spans(spark.createDataFrame(rows, docs.schema), "doc_id", "source").collect()
+    owned = {r["doc_id"]: [s["rank"] for s in r["all_spans"]] for r in found}
+    assert all(owned[100 + i] == [] for i in range(few + 1))
+    assert all(owned[900 + i] == [3] for i in range(few))
+
+
 def test_empty_and_clashing(docs, empty, clash):
     assert ss.secret_spans(empty, "doc_id", "source").count() == 0
     assert ss.secret_spans(clash(docs), "doc_id", "source").count() == docs.count()
