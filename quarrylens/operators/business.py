@@ -164,13 +164,13 @@ def forecast_baseline(df: DataFrame, date: str, sales: str, order_column: str =
         window - 1, 0, forecast_baseline=lambda frame, w: F.avg(v).over(frame)).df
 
 
-def inventory_metrics(df: DataFrame, closing: str, cost: str | None = None, sold: str | None = None,
+def inventory_metrics(df: DataFrame, closing: str | None = None, cost: str | None = None, sold: str | None = None,
                       opening: str | None = None, reorder: str | None = None) -> DataFrame:
     """Stock value with ABC class by cumulative share, stock-out flag, sell-through."""
-    if cost:
+    if closing and cost:
         df = df.withColumn("inventory_value", _number(df, closing) * _number(df, cost))
         df = abc_classes(df, "inventory_value")
-    if reorder:
+    if closing and reorder:
         df = df.withColumn("stockout_risk", F.when(_number(df, closing) <= _number(df, reorder), 100).otherwise(0))
     if sold and opening:
         s = _number(df, sold)
@@ -211,42 +211,50 @@ def _spec(fields: dict, *charts) -> dict:
 PROJECTS = {
     "personal_expense_tracker": _spec(
         {"date": ["date", "transaction_date"], "category": ["category", "expense_category"],
-         "amount": ["amount", "spend", "value"]},
+         "amount": ["amount", "spend", "value"], "merchant": ["merchant", "payee"],
+         "payment_method": ["payment_method", "method"]},
         ("bar", "category", "amount"), ("line", "date", "amount")),
     "superstore_sales_dashboard": _spec(
         {"date": ["date", "order_date"], "region": ["region", "country", "market"],
          "category": ["category", "product_category", "segment"], "sales": ["sales", "revenue", "sales_amount"],
-         "profit": ["profit", "gross_profit"]},
+         "profit": ["profit", "gross_profit"], "quantity": ["quantity", "units", "units_sold"]},
         ("line", "date", "sales"), ("bar", "region", "sales"), ("bar", "category", "profit")),
     "movie_ratings_exploration": _spec(
-        {"genre": ["genre", "genres", "category"], "rating": ["rating", "score", "imdb_rating"],
+        {"title": ["title", "movie", "name"], "genre": ["genre", "genres", "category"],
+         "rating": ["rating", "score", "imdb_rating"], "runtime": ["runtime", "runtime_minutes", "duration"],
          "year": ["release_year", "year", "release_date"]},
         ("bar", "genre", "rating"), ("line", "year", "rating")),
     "public_health_trend_analysis": _spec(
         {"date": ["date", "report_date"], "region": ["region", "state", "location"], "cases": ["cases", "case_count"],
-         "deaths": ["deaths", "fatalities"]},
+         "deaths": ["deaths", "fatalities"], "vaccination": ["vaccination_rate", "vaccinated_pct", "coverage"]},
         ("line", "date", "cases"), ("bar", "region", "deaths")),
     "weather_pattern_analysis": _spec(
         {"date": ["date", "observation_date"], "city": ["city", "location"],
          "temperature": ["temperature_c", "temperature", "temp"],
-         "rainfall": ["rainfall_mm", "rainfall", "precipitation"]},
+         "rainfall": ["rainfall_mm", "rainfall", "precipitation"], "humidity": ["humidity", "humidity_pct"]},
         ("line", "date", "temperature"), ("bar", "city", "rainfall")),
     "media_catalog_analysis": _spec(
-        {"genre": ["genre", "genres", "category"], "release_year": ["release_year", "year"],
-         "rating": ["rating", "score"], "duration": ["duration", "runtime", "minutes"]},
+        {"title": ["title", "name", "track"], "content_type": ["type", "content_type", "media_type"],
+         "genre": ["genre", "genres", "category"], "country": ["country", "market"],
+         "release_year": ["release_year", "year"], "rating": ["rating", "score"],
+         "duration": ["duration", "runtime", "minutes"]},
         ("bar", "genre", "rating"), ("line", "release_year", "duration")),
     "student_performance": _spec(
-        {"study_hours": ["study_hours", "study_time"], "math_score": ["math_score", "math"],
-         "passed": ["passed", "pass", "outcome"],
+        {"student_id": ["student_id", "id"], "study_hours": ["study_hours", "study_time"],
+         "math_score": ["math_score", "math"], "reading_score": ["reading_score", "reading"],
+         "writing_score": ["writing_score", "writing"], "passed": ["passed", "pass", "outcome"],
          "parent_education": ["parent_education", "parental_level_of_education"]},
         ("bar", "parent_education", "math_score"), ("bar", "passed", "study_hours")),
     "ecommerce_funnel": _spec(
         {"date": ["date", "event_date"], "channel": ["channel", "source", "marketing_channel"],
-         "visitors": ["visitors", "sessions"], "purchases": ["purchases", "orders"]},
+         "visitors": ["visitors", "sessions"], "product_views": ["product_views", "views"],
+         "add_to_cart": ["add_to_cart", "carts"], "checkout_started": ["checkout_started", "checkouts"],
+         "purchases": ["purchases", "orders"], "revenue": ["revenue", "sales"]},
         ("line", "date", "visitors"), ("bar", "channel", "purchases")),
     "hr_attrition": _spec(
-        {"department": ["department", "team"], "overtime": ["overtime", "over_time"],
-         "monthly_income": ["monthly_income", "income", "salary"],
+        {"employee_id": ["employee_id", "id"], "department": ["department", "team"],
+         "overtime": ["overtime", "over_time"], "monthly_income": ["monthly_income", "income", "salary"],
+         "tenure": ["years_at_company", "tenure", "tenure_years"],
          "attrition": ["attrition", "churned", "left_company"]},
         ("bar", "department", "attrition"), ("bar", "overtime", "monthly_income")),
     "customer_rfm_segmentation": _spec(
@@ -254,54 +262,71 @@ PROJECTS = {
          "amount": ["amount", "revenue", "sales"], "order_id": ["order_id", "transaction_id"]},
         ("bar", "rfm_segment", "monetary_value"), ("bar", "rfm_segment", "customer_count")),
     "ab_test_analysis": _spec(
-        {"experiment_group": ["group", "variant", "experiment_group"],
+        {"visitor_id": ["visitor_id", "user_id"], "experiment_group": ["group", "variant", "experiment_group"],
          "converted": ["converted", "conversion", "is_converted"], "revenue": ["revenue", "value", "sales"]},
         ("bar", "experiment_group", "converted"), ("bar", "experiment_group", "revenue")),
     "website_traffic_dashboard": _spec(
         {"date": ["date", "event_date"], "source": ["source", "channel", "traffic_source"],
-         "sessions": ["sessions", "visitors"], "conversions": ["conversions", "purchases"]},
+         "sessions": ["sessions", "visitors"], "bounce_rate": ["bounce_rate", "bounce_pct"],
+         "conversions": ["conversions", "purchases"], "pageviews": ["pageviews", "views"]},
         ("line", "date", "sessions"), ("bar", "source", "conversions")),
     "loan_default_risk": _spec(
-        {"loan_amount": ["loan_amount", "amount"], "credit_score": ["credit_score", "score"],
-         "defaulted": ["defaulted", "default", "loan_default"], "purpose": ["purpose", "loan_purpose"]},
+        {"loan_id": ["loan_id", "id"], "income": ["income", "annual_income"], "loan_amount": ["loan_amount", "amount"],
+         "credit_score": ["credit_score", "score"], "defaulted": ["defaulted", "default", "loan_default"],
+         "purpose": ["purpose", "loan_purpose"]},
         ("bar", "purpose", "defaulted"), ("bar", "credit_band", "loan_amount")),
     "sales_forecasting": _spec(
         {"date": ["date", "month", "order_date"], "region": ["region", "market"],
          "sales": ["sales", "revenue", "amount"]},
         ("line", "date", "sales"), ("bar", "region", "sales")),
     "customer_churn_prediction": _spec(
-        {"tenure": ["tenure_months", "tenure"], "monthly_charges": ["monthly_charges", "charges"],
+        {"customer_id": ["customer_id", "id"], "tenure": ["tenure_months", "tenure"],
+         "monthly_charges": ["monthly_charges", "charges"], "support_tickets": ["support_tickets", "tickets"],
          "contract": ["contract", "plan"], "churned": ["churned", "churn", "attrition"]},
         ("bar", "contract", "churned"), ("bar", "tenure_band", "monthly_charges")),
     "fraud_detection": _spec(
-        {"date": ["date", "transaction_date"], "merchant_category": ["merchant_category", "category"],
-         "amount": ["amount", "transaction_amount"], "is_fraud": ["is_fraud", "fraud", "label"]},
+        {"transaction_id": ["transaction_id", "id"], "date": ["date", "transaction_date"],
+         "merchant_category": ["merchant_category", "category"], "amount": ["amount", "transaction_amount"],
+         "country": ["country", "region"], "is_fraud": ["is_fraud", "fraud", "label"]},
         ("bar", "merchant_category", "is_fraud"), ("line", "date", "amount")),
     "supply_chain_inventory": _spec(
-        {"category": ["category", "product_category"], "warehouse": ["warehouse", "location"],
-         "opening_stock": ["opening_stock", "opening"], "units_sold": ["units_sold", "sold"],
-         "closing_stock": ["closing_stock", "closing"], "unit_cost": ["unit_cost", "cost"],
-         "reorder_level": ["reorder_level", "reorder_point"]},
+        {"date": ["date", "snapshot_date"], "sku": ["sku", "sku_id", "product_id"],
+         "product_name": ["product_name", "product"], "category": ["category", "product_category"],
+         "warehouse": ["warehouse", "location"], "opening_stock": ["opening_stock", "opening"],
+         "purchases": ["purchases", "receipts"], "units_sold": ["units_sold", "quantity_sold"],
+         "closing_stock": ["closing_stock", "ending_stock"], "unit_cost": ["unit_cost", "cost"],
+         "unit_price": ["unit_price", "price"], "reorder_level": ["reorder_level", "reorder_point"]},
         ("bar", "category", "inventory_value"), ("bar", "warehouse", "stockout_risk"),
         ("bar", "abc_class", "inventory_value")),
     "stock_market_volatility": _spec(
-        {"date": ["date", "trade_date"], "ticker": ["ticker", "symbol"], "close": ["close", "close_price", "price"]},
+        {"date": ["date", "trade_date"], "ticker": ["ticker", "symbol"], "close": ["close", "close_price", "price"],
+         "volume": ["volume", "trade_volume"]},
         ("line", "date", "close"), ("bar", "ticker", "volatility")),
     "healthcare_outcomes": _spec(
-        {"age": ["age", "patient_age"], "glucose": ["glucose", "blood_glucose"], "bmi": ["bmi", "body_mass_index"],
+        {"patient_id": ["patient_id", "id"], "age": ["age", "patient_age"], "glucose": ["glucose", "blood_glucose"],
+         "bmi": ["bmi", "body_mass_index"], "blood_pressure": ["blood_pressure", "bp"],
          "outcome": ["outcome", "diagnosis", "diabetes"]},
         ("bar", "outcome", "glucose"), ("bar", "age_band", "bmi")),
     "end_to_end_capstone": _spec(
         {"date": ["date", "event_date"], "region": ["region", "market"], "channel": ["channel", "source"],
          "revenue": ["revenue", "sales"], "marketing_spend": ["marketing_spend", "spend", "ad_spend"],
-         "nps": ["nps", "satisfaction", "score"]},
+         "orders": ["orders", "order_count"], "nps": ["nps", "satisfaction", "score"],
+         "customer_id": ["customer_id", "customer"]},
         ("line", "date", "revenue"), ("bar", "channel", "revenue"), ("bar", "region", "nps")),
 }
 
+# Measures that bars average (all others are summed), and the order in which a
+# domain's fields are tried as its main measure.
+AVERAGED = ("rating", "temperature", "humidity", "bounce_rate", "nps", "volatility")
+MAIN_MEASURES = ("revenue", "sales", "profit", "amount", "monetary_value", "cases", "purchases", "conversions",
+                 "sessions", "visitors", "loan_amount", "monthly_income", "close", "rating", "temperature", "glucose",
+                 "bmi", "inventory_value", "nps")
+
 
 def prepare_project(df: DataFrame, project: str) -> tuple[DataFrame, dict[str, str]]:
     """The table with the domain's derived columns, and its resolved fields."""
     require(project in PROJECTS, "UNKNOWN_PROJECT", project=project)
+    given = df.columns
     f = resolve_fields(df, PROJECTS[project]["fields"])
 
     def have(*names):
@@ -323,14 +348,14 @@ def prepare_project(df: DataFrame, project: str) -> tuple[DataFrame, dict[str, s
         df = add_band(df, f["age"], "age_band")
     elif project == "sales_forecasting" and have("date", "sales"):
         df = forecast_baseline(df, f["date"], f["sales"])
-    elif project == "supply_chain_inventory" and have("closing_stock"):
-        df = inventory_metrics(df, f["closing_stock"], f.get("unit_cost"), f.get("units_sold"), f.get("opening_stock"),
-                               f.get("reorder_level"))
-    elif project == "stock_market_volatility" and have("ticker", "close"):
+    elif project == "supply_chain_inventory":
+        df = inventory_metrics(df, f.get("closing_stock"), f.get("unit_cost"), f.get("units_sold"),
+                               f.get("opening_stock"), f.get("reorder_level"))
+    elif project == "stock_market_volatility" and have("date", "ticker", "close"):
         df = returns_and_volatility(df, f["ticker"], f["close"])
     elif project == "end_to_end_capstone" and have("revenue", "marketing_spend"):
         df = marketing_roi(df, f["revenue"], f["marketing_spend"])
-    derived = {c: c for c in df.columns if c not in f.values() and c != ROW_ID}
+    derived = {c: c for c in df.columns if c not in given and c != ROW_ID}
     return df, {**derived, **f}
 
 
@@ -341,33 +366,76 @@ def detail_table(df: DataFrame, dimension: str, measure: str, n: int = 12) -> Da
         F.desc("sum"), dimension).limit(n)
 
 
+def main_measure(df: DataFrame, fields: dict[str, str]) -> str:
+    """The first field of ``MAIN_MEASURES`` with a number in it, else the first number column.
+    One pass counts the numbers of all candidates."""
+    tried = [fields[m] for m in MAIN_MEASURES if m in fields]
+    if tried:
+        counts = df.agg(*[F.count(_number(df, c)).alias(f"n{i}") for i, c in enumerate(tried)]).first()
+        hit = next((c for i, c in enumerate(tried) if counts[i]), None)
+        if hit:
+            return hit
+    first = next(iter(numeric_columns(df)), None)
+    require(first is not None, "NO_MEASURE")
+    return first
+
+
+def driver_chart(df: DataFrame, dimension: str, measure: str, n: int = 24) -> DataFrame:
+    """Sums of a measure over the first ``n`` values of a dimension."""
+    v = _number(df, measure)
+    work = df.select(F.col(dimension), v.alias("__v")).dropna()
+    return work.groupBy(dimension).agg(F.sum("__v").alias("value")).orderBy(dimension).limit(n)
+
+
+def trend_chart(df: DataFrame, dimension: str, measure: str) -> DataFrame:
+    """Sums by month, months without rows being 0. A dimension of plain numbers (a year) keeps
+    its numbers as points; a text column without a date in it is summed by its own values."""
+    work = df.withColumn(measure, _number(df, measure))
+    what = kind(work, dimension)
+    if what == "numeric":
+        return build_line_chart(work, dimension, measure)
+    if what != "datetime" and work.filter(_date(work, dimension).isNotNull() & F.col(measure).isNotNull()).isEmpty():
+        return driver_chart(work, dimension, measure)
+    return build_line_chart(work, dimension, measure, parse_datetime=True, frequency="MS", fill_missing_intervals=True)
+
+
 def build_project(df: DataFrame, project: str) -> dict[str, DataFrame]:
-    """KPIs, chart rows and detail tables of one domain."""
-    spec = PROJECTS[project]
+    """KPIs, chart rows and detail tables of one domain.
+
+    Bars sum their measure over the twelve largest categories, or average it where it is one of
+    ``AVERAGED``; lines sum by month with gaps filled. A domain of which fewer than two charts
+    can be made gets ``chart_driver``, the first number column by the first field that is none.
+    Without any detail table, ``detail_sample`` holds twenty values of the main measure.
+    """
     frame, f = prepare_project(df, project)
-    charts = [c for c in spec["charts"] if c["dimension"] in f and c["measure"] in f]
-    first = next((f[c["measure"]] for c in charts), None) or next(iter(numeric_columns(frame)), None)
-    require(first is not None, "NO_MEASURE")
-    v = _number(frame, first)
+    spec = PROJECTS[project]
+    measure = main_measure(frame, f)
+    v = _number(frame, measure)
     kpi = [F.count(F.lit(1)).alias("rows"), F.sum(v).alias("total"), F.avg(v).alias("average")]
-    if "conversion_rate" in frame.columns:
+    if "conversion_rate" in f:
         kpi.append(F.avg("conversion_rate").alias("conversion_rate"))
-    if "rfm_segment" in frame.columns:
+    if "rfm_segment" in f:
         kpi.append(F.count_distinct("rfm_segment").alias("customer_segments"))
     out = {"kpis": frame.agg(*kpi)}
     if project == "ab_test_analysis" and "experiment_group" in f and "converted" in f:
         out["lift"] = ab_lift(frame, f["experiment_group"], f["converted"])
-    averaged = {"rating", "temperature", "nps", "volatility", "stockout_risk", "glucose", "bmi", "math_score",
-                "study_hours", "attrition", "converted", "defaulted", "churned", "is_fraud", "monthly_income"}
-    for i, c in enumerate(charts, 1):
+    charts = [(i, c) for i, c in enumerate(spec["charts"], 1) if c["dimension"] in f and c["measure"] in f]
+    for i, c in charts:
         d, m = f[c["dimension"]], f[c["measure"]]
-        how = "mean" if c["measure"] in averaged else "sum"
-        if c["kind"] == "bar":
-            out[f"chart_{i}"] = build_bar_chart(frame, d, m, aggregation=how, top_n=12)
+        if c["kind"] == "line":
+            out[f"chart_{i}"] = trend_chart(frame, d, m)
         else:
-            out[f"chart_{i}"] = build_line_chart(frame, d, m, aggregation=how)
-        if i <= 2:
-            out[f"detail_{i}"] = detail_table(frame, d, m)
+            how = "mean" if c["measure"] in AVERAGED else "sum"
+            out[f"chart_{i}"] = build_bar_chart(frame.withColumn(m, _number(frame, m)), d, m, aggregation=how, top_n=12)
+    shown = [(f[c["dimension"]], f[c["measure"]]) for _, c in charts]
+    if len(charts) < 2:
+        named = next((c for c in f.values() if kind(frame, c) != "numeric"), None)
+        number = next(iter(numeric_columns(frame)), None)
+        if named and number:
+            out["chart_driver"] = driver_chart(frame, named, number)
+            shown.append((named, number))
+    for k, (d, m) in enumerate(shown[:2], 1):
+        out[f"detail_{k}"] = detail_table(frame, d, m)
+    if not shown:
+        out["detail_sample"] = frame.select(v.alias(measure)).dropna().limit(20)
     return out
-
-

@@ -390,6 +390,68 @@ def _(t):
     return rounded(frames["kpis"], 2)
 
 
+@query(
+    "b3_project_trend",
+    "WITH m AS (SELECT date_trunc('month', o_orderdate) AS d, sum(o_totalprice) AS v FROM orders GROUP BY 1), "
+    "s AS (SELECT unnest(generate_series((SELECT min(d) FROM m), (SELECT max(d) FROM m), INTERVAL 1 MONTH)) AS d) "
+    "SELECT strftime(s.d, '%Y-%m') AS month, round(coalesce(m.v, 0), 2) AS value FROM s LEFT JOIN m ON m.d = s.d",
+)
+def _(t):
+    frame = bu.build_project(with_row_id(_sales(t), "order_id"), "superstore_sales_dashboard")["chart_1"]
+    return rounded(frame.select(F.date_format("date", "yyyy-MM").alias("month"), "value"), 2)
+
+
+@query(
+    "b3_project_averages",
+    "SELECT p_brand AS genre, round(avg(p_size), 6) AS value FROM part GROUP BY 1 ORDER BY avg(p_size) DESC, 1 LIMIT 12",
+)
+def _(t):
+    films = t("part").select("p_partkey", F.col("p_brand").alias("genre"), F.col("p_size").alias("rating"))
+    return rounded(bu.build_project(with_row_id(films, "p_partkey"), "movie_ratings_exploration")["chart_1"].select("genre", "value"))
+
+
+@query(
+    "b3_project_sums",
+    "SELECT c_mktsegment AS department, sum((c_acctbal < 0)::INT)::DOUBLE AS value FROM customer GROUP BY 1",
+)
+def _(t):
+    staff = t("customer").select(
+        F.col("c_custkey").alias("employee_id"), F.col("c_mktsegment").alias("department"),
+        (F.col("c_acctbal") < 0).cast("int").alias("left_company"), F.col("c_acctbal").alias("salary"))
+    return rounded(bu.build_project(with_row_id(staff, "employee_id"), "hr_attrition")["chart_1"].select("department", "value"))
+
+
+@query(
+    "b3_project_funnel",
+    "SELECT count(*)::BIGINT AS rows, round(sum(l_extendedprice), 2) AS total, round(avg(l_extendedprice), 2) AS average, "
+    "round(avg(coalesce(l_linenumber * 100.0 / nullif(l_quantity, 0), 0)), 2) AS conversion_rate FROM lineitem",
+)
+def _(t):
+    visits = t("lineitem").select(
+        F.col("l_shipdate").alias("event_date"), F.col("l_returnflag").alias("channel"), F.col("l_quantity").alias("visitors"),
+        F.col("l_linenumber").alias("purchases"), F.col("l_extendedprice").alias("revenue"))
+    return rounded(bu.build_project(visits, "ecommerce_funnel")["kpis"], 2)
+
+
+@query(
+    "b3_project_driver",
+    "SELECT o_orderpriority AS merchant_category, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1 ORDER BY 1 LIMIT 24",
+)
+def _(t):
+    paid = t("orders").select(F.col("o_totalprice").alias("amount"), F.col("o_orderpriority").alias("merchant_category"))
+    return rounded(bu.build_project(paid, "fraud_detection")["chart_driver"], 2)
+
+
+@query(
+    "b3_project_detail",
+    "SELECT o_orderpriority AS region, count(*)::BIGINT AS count, round(sum(o_totalprice), 2) AS sum, round(avg(o_totalprice), 2) AS mean "
+    "FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 12",
+)
+def _(t):
+    sold = _sales(t).withColumnRenamed("category", "region")
+    return rounded(bu.build_project(with_row_id(sold, "order_id"), "superstore_sales_dashboard")["detail_2"], 2)
+
+
 @query(
     "b4_rfm",
     "WITH g AS (SELECT o_custkey AS customer_id, max(o_orderdate) AS d, count(DISTINCT o_orderkey)::BIGINT AS frequency, sum(o_totalprice) AS m "
