@@ -9,12 +9,18 @@ share their anchor but differ) is fetched from the texts for a closer look.
 
 Copies inside one batch of documents are settled before the shuffle, so an anchor that a third
 of all documents share arrives as one row per batch.
+
+A short passage that very many documents hold in different surroundings is the anchor of as many
+different pieces. Where these come to more than ``most`` tokens, the pieces are cut again by longer
+runs (halfway to the window each time), which reach into the surroundings and so part them. The
+last length is the window itself: pieces of one anchor are then equal, and nothing is left to
+compare. So no closer look ever gets more than ``most`` tokens of one anchor.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,7 +29,8 @@ from pyspark.sql.window import Window
 
 from quarrylens.llm.common import saved
 
-GONE, PIECE = 0, 1
+GONE, PIECE, HOT = 0, 1, 2
+# Places of a text are packed beside its hashes; longer texts are cut into parts of this many bits.
 PLACE_BITS = 27
 ROW = "fp long, ph long, doc long, start int, n int, kind int"
 FETCHED = "fp long, doc long, start int, n int, content binary"
@@ -32,13 +39,16 @@ SPANS = "doc long, a int, b int"
 
 @dataclass(frozen=True)
 class Rule:
-    """Tokens of a text, the window and anchor lengths, and whether a string that is repeated
-    inside one document counts (else only documents with smaller numbers do)."""
+    """Tokens of a text and of a piece's content, the window and anchor lengths, whether a string
+    that is repeated inside one document counts (else only documents with smaller numbers do), and
+    the most tokens of one anchor that are looked at together."""
 
     tokens: Callable
+    read: Callable
     window: int
     gram: int
     inside: bool
+    most: int
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -66,7 +76,17 @@ def gram_hashes(tokens: np.ndarray, gram: int) -> np.ndarray:
 
 
 def anchors(tokens: np.ndarray, window: int, gram: int):
-    """(hash, first window, number of windows) of every piece of a text."""
+    """(hash, first window, number of windows) of every piece of a text. A text of 2^27 tokens
+    or more is worked through in parts that share all but one token of a window, so that every
+    window lies in one part and has the anchor it has anywhere."""
+    part = 1 << PLACE_BITS
+    if len(tokens) > part:
+        step = part - window + 1
+        found = []
+        for at in range(0, len(tokens) - window + 1, step):
+            fp, first, count = anchors(tokens[at : at + part], window, gram)
+            found.append((fp, first + at, count))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(tokens) < window:
         return empty
@@ -89,23 +109,29 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def piece_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """All pieces of ``docs`` (doc, text); in-batch copies are already marked as gone."""
+def piece_rows(source: DataFrame, rule: Rule) -> DataFrame:
+    """All pieces of texts (doc, text), or of pieces (doc, start, content) cut before; in-batch
+    copies are already marked as gone."""
+    again = "content" in source.columns
 
     def run(batches: Iterator):
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             numbers = batch.column("doc").to_pylist()
+            texts = batch.column("content" if again else "text").to_pylist()
+            bases = batch.column("start").to_pylist() if again else [0] * len(numbers)
             parts = []
-            for doc, text in zip(numbers, batch.column("text").to_pylist(), strict=True):
-                tokens, content, size = rule.tokens(text)
+            for doc, base, text in zip(numbers, bases, texts, strict=True):
+                tokens, content, size = rule.read(text) if again else rule.tokens(text)
                 fp, first, count = anchors(tokens, rule.window, rule.gram)
                 stops = first + count + rule.window - 1
                 spans = zip((first * size).tolist(), (stops * size).tolist(), strict=True)
                 ph = [xxhash.xxh64_intdigest(content[a:b]) for a, b in spans]
-                parts.append((fp, np.array(ph, np.uint64), np.full(len(fp), doc), first, count))
+                parts.append((fp, np.array(ph, np.uint64), np.full(len(fp), doc), first + base, count))
             fp, ph, doc, first, count = (np.concatenate(x) for x in zip(*parts, strict=True))
             fp, ph = _signed(fp), _signed(ph)
             order = np.lexsort((first, doc, ph, fp))
@@ -129,12 +155,14 @@ def piece_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                 names=["fp", "ph", "doc", "start", "n", "kind"],
             )
 
-    return docs.select("doc", "text").mapInArrow(run, ROW)
+    columns = ["doc", "start", "content"] if again else ["doc", "text"]
+    return source.select(*columns).mapInArrow(run, ROW)
 
 
 def settled(rows: DataFrame, rule: Rule) -> DataFrame:
     """(fp, doc, start, n, kind): pieces that equal an earlier one (GONE), and those that
-    share their anchor with a different piece (PIECE)."""
+    share their anchor with a different piece (PIECE, or HOT where these come to more than
+    ``rule.most`` tokens)."""
     copies = Window.partitionBy("kind", "fp", "ph").orderBy("doc", "start")
     anchor = Window.partitionBy("kind", "fp")
     later = F.col("doc") > F.first("doc").over(copies)
@@ -143,9 +171,11 @@ def settled(rows: DataFrame, rule: Rule) -> DataFrame:
     # One shuffle and one sort serve both windows; their buffers spill.
     marked = rows.repartition("fp").withColumn("later", later | (F.col("kind") == GONE))
     marked = marked.withColumn("differ", F.min("ph").over(anchor) != F.max("ph").over(anchor))
-    return marked.where("later OR differ").select(
-        "fp", "doc", "start", "n", F.when(F.col("later"), GONE).otherwise(PIECE).alias("kind")
-    )
+    left = F.when(~F.col("later"), F.col("n") + F.lit(rule.window - 1))
+    marked = marked.withColumn("size", F.sum(left).over(anchor))
+    hot = (F.col("size") > rule.most) & F.lit(rule.gram < rule.window)
+    kind = F.when(F.col("later"), GONE).when(hot, HOT).otherwise(PIECE)
+    return marked.where("later OR differ").select("fp", "doc", "start", "n", kind.alias("kind"))
 
 
 def fetched(found: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -186,18 +216,31 @@ def repeated_spans(docs: DataFrame, rule: Rule, engine: Callable) -> DataFrame:
     """Spans (doc, a, b) of tokens that lie in windows with an earlier occurrence. ``docs``
     has (doc, doc_id, text); ``engine`` gets the fetched pieces of whole anchors, sorted by anchor and
     document, and yields spans."""
-    found = saved(settled(piece_rows(docs, rule), rule))
+    return compared(saved(settled(piece_rows(docs, rule), rule)), docs, rule, engine)
+
+
+def compared(found: DataFrame, docs: DataFrame, rule: Rule, engine: Callable) -> DataFrame:
+    """The spans of settled pieces; hot anchors are cut again by longer runs, two or more times
+    until the run is the window."""
     window = rule.window
     gone = found.where(F.col("kind") == GONE).select(
         "doc", F.col("start").alias("a"), (F.col("start") + F.col("n") + (window - 1)).alias("b")
     )
     pieces = fetched(found.where(F.col("kind") == PIECE), docs, rule)
     dealt = pieces.repartition("fp").sortWithinPartitions("fp", "doc", "start")
-    return gone.union(dealt.mapInArrow(engine, SPANS))
+    spans = gone.union(dealt.mapInArrow(engine, SPANS))
+    hot = found.where(F.col("kind") == HOT)
+    if rule.gram == window or hot.isEmpty():
+        return spans
+    longer = (rule.gram + window) // 2
+    finer = replace(rule, gram=longer if longer - rule.gram > window // 4 else window)
+    again = saved(settled(piece_rows(fetched(hot, docs, rule), finer), finer))
+    return spans.union(compared(again, docs, finer, engine))
 
 
 def whole_groups(batches: Iterator, bound: int) -> Iterator[list[tuple]]:
-    """Lists of (fp, doc, start, content) rows: whole anchors, gathered up to ``bound`` bytes."""
+    """Lists of (fp, doc, start, content) rows: whole anchors, gathered until they come to
+    ``bound`` bytes or more."""
     rows: list[tuple] = []
     size = 0
     for batch in batches:

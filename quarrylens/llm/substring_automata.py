@@ -10,7 +10,8 @@ texts are cut into anchored pieces (see ``anchors``), all pieces that can share
 one shard, and instead of the automata going to all documents, the few pieces of a document go
 to the shards that hold their anchors. Within a shard, pieces stream in the order of their
 documents through the automaton of the earlier ones and then join it. An automaton holds at
-most ``SHARD_WORDS`` words; a larger group of references is split over several, one at a time.
+most ``SHARD_WORDS`` words; pieces of an anchor that come to more are cut again by longer runs,
+so that no task ever holds more of one anchor.
 
 Defined cases: a null text has no words; texts shorter than the window lose nothing; windows
 repeated inside one document only are kept; repeated rows (equal id and text) are one document
@@ -51,6 +52,10 @@ def word_tokens(text: str | None):
     return ids, ids.tobytes(), 8
 
 
+def piece_tokens(content: bytes):
+    return np.frombuffer(content, np.uint64), content, 8
+
+
 class SuffixAutomaton:
     """All substrings of the sequences added so far."""
 
@@ -158,9 +163,11 @@ def automaton_engine(window: int, shard_words: int = SHARD_WORDS):
     return run
 
 
-def repeated_word_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_word_spans(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = SHARD_WORDS
+) -> DataFrame:
     """Spans of words (doc, a, b) of ``docs`` (doc, doc_id, text) whose windows occur earlier."""
-    rule = Rule(word_tokens, window, gram, inside=False)
+    rule = Rule(word_tokens, piece_tokens, window, gram, inside=False, most=most)
     return repeated_spans(docs, rule, automaton_engine(window))
 
 

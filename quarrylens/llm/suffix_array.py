@@ -10,8 +10,9 @@ length, and runs of equal prefixes are the repeated strings.
 A collection of 100 TB cannot pass through one such index, and a round per symbol of the
 longest text would never end. So texts are first cut into anchored pieces (see ``anchors``):
 equal 100-byte strings always meet in one block, a piece is at most ``2 * WINDOW - GRAM``
-bytes, which bounds the rounds, and a block is bounded in bytes, so its columns stay in a
-task's memory and no files of their own are needed.
+bytes, which bounds the rounds, and a block is bounded in bytes (pieces of an anchor above
+``MOST_BYTES`` are cut again by longer runs), so its columns stay in a task's memory and no
+files of their own are needed.
 
 Defined cases: a null text is empty; texts shorter than the window lose nothing; spans never
 cross documents; repeated rows (equal id and text) are one document answered twice; of
@@ -41,6 +42,7 @@ WINDOW = 100
 GRAM = 24
 # Columns of a block this size stay in a core's own cache.
 BLOCK_BYTES = 100_000
+MOST_BYTES = 400_000
 
 
 def byte_tokens(text: str | None):
@@ -48,6 +50,10 @@ def byte_tokens(text: str | None):
     return np.frombuffer(raw, np.uint8).astype(np.uint64), raw, 1
 
 
+def piece_tokens(content: bytes):
+    return np.frombuffer(content, np.uint8).astype(np.uint64), content, 1
+
+
 def suffix_order(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Places (in ``data``) of all suffixes of the strings data[start : start + length], in
     suffix order, built column by column. Strings are given longest first."""
@@ -128,9 +134,11 @@ def block_engine(window: int, block_bytes: int = BLOCK_BYTES):
     return run
 
 
-def repeated_byte_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_byte_spans(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST_BYTES
+) -> DataFrame:
     """Spans of bytes (doc, a, b) of ``docs`` (doc, doc_id, text) that begin earlier somewhere."""
-    rule = Rule(byte_tokens, window, gram, inside=True)
+    rule = Rule(byte_tokens, piece_tokens, window, gram, inside=True, most=most)
     return repeated_spans(docs, rule, block_engine(window))
 
 

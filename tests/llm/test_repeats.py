@@ -4,7 +4,7 @@ import numpy as np
 
 from quarrylens.llm import suffix_array as sa
 from quarrylens.llm import substring_automata as su
-from quarrylens.llm.anchors import anchors, gram_hashes
+from quarrylens.llm.anchors import Rule, anchors, gram_hashes, numbered, piece_rows, settled
 from tests.llm.conftest import prose
 
 
@@ -142,3 +142,57 @@ def test_empty(spark, empty, write):
     folder = write(documents=empty)
     assert sa.op6_suffix_columns(spark, folder).count() == 0
     assert su.op7_suffix_automata(spark, folder).count() == 0
+
+
+def around(spark, docs, middle, n=60):
+    """Documents that hold one short passage each in surroundings of their own, some copied."""
+    rows = [
+        (100 + i, prose(90, 300 + i) + " " + middle + " " + prose(90, 500 + i % 50), "en", "a", 1)
+        for i in range(n)
+    ]
+    return docs.union(spark.createDataFrame(rows, docs.schema))
+
+
+def spans_of(frame):
+    return cover([tuple(r) for r in frame.collect()])
+
+
+def test_hot_anchors_are_cut_again(spark, docs):
+    frame = around(spark, extra(spark, docs), "the same short words here again and so on")
+    rows = numbered(frame)
+    want = spans_of(sa.repeated_byte_spans(rows))
+    tight = Rule(sa.byte_tokens, sa.piece_tokens, 100, 24, True, 900)
+    found = settled(piece_rows(rows, tight), tight)
+    assert found.where("kind = 2").count() > 0
+    assert spans_of(sa.repeated_byte_spans(rows, most=900)) == want
+    assert spans_of(sa.repeated_byte_spans(rows, most=0)) == want and want
+
+
+def test_hot_anchors_of_words_are_cut_again(spark, docs):
+    frame = around(spark, extra(spark, docs), prose(30, 9))
+    rows = numbered(frame)
+    want = spans_of(su.repeated_word_spans(rows))
+    assert spans_of(su.repeated_word_spans(rows, most=300)) == want
+    assert spans_of(su.repeated_word_spans(rows, most=0)) == want and want
+
+
+def test_texts_longer_than_the_place_bits(monkeypatch):
+    rng = np.random.default_rng(8)
+    text = rng.integers(0, 20, 3000).astype(np.uint64)
+    shifted = np.concatenate((rng.integers(0, 20, 77).astype(np.uint64), text))
+
+    def by_window(tokens):
+        hashes, first, count = anchors(tokens, 60, 24)
+        out = {}
+        for h, a, n in zip(hashes.tolist(), first.tolist(), count.tolist(), strict=True):
+            for s in range(a, a + n):
+                assert s not in out
+                out[s] = h
+        return out
+
+    whole = by_window(text)
+    assert sorted(whole) == list(range(2941))
+    monkeypatch.setattr("quarrylens.llm.anchors.PLACE_BITS", 10)
+    parted, later = by_window(text), by_window(shifted)
+    assert sorted(parted) == list(range(2941)) and sorted(later) == list(range(3018))
+    assert all(parted[s] == later[s + 77] for s in parted)
