@@ -3,10 +3,13 @@
 Sources share all words of the corpus by weight; no source may be asked for more than
 ``ceiling`` times its own words, and what such sources cannot take is shared again among the
 others. A source that needs more words than it has gets certain whole copies of every
-document first. The rest, a fraction p of the source, is drawn without replacement: each
-document gets a random number u from its id, documents are ranked by the ratio of odds
-(u / (1 - u)) / (p / (1 - p)), and the first ones in that order are taken until the words
-still due are met exactly. The document at the boundary gives only the words that are due.
+document first. The rest, fewer words than the source has, is drawn without replacement and
+with unequal probabilities: a document's inclusion probability is p = c * size, where c makes
+the expected words of the sample equal to the words due. Documents whose p would reach 1 are
+certain; they are taken whole and c is found for the others. Each document gets a random number
+u from its id, documents are ranked by the ratio of odds (u / (1 - u)) / (p / (1 - p)), and the
+first ones in that order are taken until the words still due are met exactly: the fixed size of
+the sample is its words. The document at the boundary gives only the words that are due.
 
 The order inside a source is cut into narrow buckets of the ranking number. Words are summed
 per (source, bucket), so only the rows of the one bucket where a source's quota ends are ever
@@ -29,6 +32,8 @@ from quarrylens.llm.common import KEY, boxed, row_key, saved, table, unboxed, un
 BUCKETS = 4096
 CEILING = 3
 SEED = "mix-1"
+# The largest double below 1: a rounded product must not make a drawn document certain.
+BELOW_ONE = 1 - 2.0**-53
 
 
 def source_targets(sized: DataFrame, ceiling: int = CEILING) -> DataFrame:
@@ -64,6 +69,36 @@ def source_targets(sized: DataFrame, ceiling: int = CEILING) -> DataFrame:
     return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def inclusion(sized: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(i_source, scale, largest): per source with words due, documents of up to ``largest`` words
+    have the inclusion probability scale * size, larger ones are certain.
+
+    With all sizes above t certain, scale is (due - their words) / (sum of squares up to t); t is
+    the largest size that keeps scale * t below 1. Documents are counted per (source, size)
+    first, so the window sees the sizes that occur, never a document.
+    """
+    counted = sized.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.join(
+        quotas.where("rest > 0").select("q_source", "source_size", "rest"),
+        counted["source"].eqNullSafe(F.col("q_source")),
+    )
+    exact = "decimal(38,0)"
+    up_to = Window.partitionBy("q_source").orderBy("size")
+    square = F.col("size").cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)")
+    cells = counted.select(
+        "q_source",
+        "size",
+        (F.col("rest") - F.col("source_size") + F.sum(F.col("n") * F.col("size")).over(up_to))
+        .cast("double")
+        .alias("left"),
+        F.sum((square * F.col("n")).cast(exact)).over(up_to).cast("double").alias("squares"),
+    ).where(F.col("left") * F.col("size") < F.col("squares"))
+    return cells.groupBy(F.col("q_source").alias("i_source")).agg(
+        F.max_by(F.col("left") / F.col("squares"), "size").alias("scale"),
+        F.max("size").alias("largest"),
+    )
+
+
 def pareto_mix(
     docs: DataFrame, ceiling: int = CEILING, seed: str = SEED, keep: list[str] = ()
 ) -> DataFrame:
@@ -88,8 +123,11 @@ def pareto_mix(
         .cast("long")
         .alias("rest"),
     )
-    p = F.col("rest") / F.col("source_size")
-    odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
+    odds_of = inclusion(sized, quotas)
+    quotas = quotas.join(odds_of, quotas["q_source"].eqNullSafe(odds_of["i_source"]), "left")
+    p = F.least(F.col("scale") * F.col("size"), F.lit(BELOW_ONE))
+    drawn = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
+    odds = F.when(F.col("size") > F.col("largest"), 0.0).when(F.col("size") > 0, drawn)
     ranked = sized.join(quotas, sized["source"].eqNullSafe(quotas["q_source"])).withColumn(
         "odds", F.when(F.col("rest") > 0, odds)
     )
@@ -97,7 +135,7 @@ def pareto_mix(
         "bucket", F.floor(F.col("odds") / (1 + F.col("odds")) * F.lit(BUCKETS)).cast("int")
     )
     cells = (
-        ranked.where("rest > 0")
+        ranked.where("odds IS NOT NULL")
         .groupBy("q_source", "bucket")
         .agg(F.sum("size").alias("words"), F.first("rest").alias("due"))
     )
@@ -189,12 +227,29 @@ quotas AS (
   SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS copies,
          CASE WHEN source_size > 0 THEN round(target)::BIGINT % source_size ELSE 0 END AS rest
   FROM targets),
+counted AS (
+  SELECT s.source, s.size, any_value(q.rest) AS rest, any_value(q.source_size) AS source_size,
+         count(*) AS n
+  FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source
+  WHERE s.size > 0 AND q.rest > 0 GROUP BY 1, 2),
+cells AS (
+  SELECT source, size,
+         (rest - source_size + sum(n * size) OVER up_to)::DOUBLE AS due_left,
+         (sum(n::HUGEINT * size * size) OVER up_to)::DOUBLE AS squares
+  FROM counted WINDOW up_to AS (PARTITION BY source ORDER BY size)),
+inclusion AS (
+  SELECT source, max_by(due_left / squares, size) AS scale, max(size) AS largest
+  FROM cells WHERE due_left * size < squares GROUP BY source),
 ranked AS (
   SELECT s.doc_id, s.size, q.*,
-         (u / (1 - u)) / ((rest::DOUBLE / source_size) / (1 - rest::DOUBLE / source_size)) AS odds
-  FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source),
+         CASE WHEN s.size > i.largest THEN 0.0
+              WHEN s.size > 0 THEN (u / (1 - u)) / (least(i.scale * s.size, 1 - pow(2.0, -53))
+                                                    / (1 - least(i.scale * s.size, 1 - pow(2.0, -53))))
+         END AS odds
+  FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source
+  LEFT JOIN inclusion i ON s.source IS NOT DISTINCT FROM i.source),
 summed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id NULLS LAST, size
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds NULLS LAST, doc_id NULLS LAST, size
                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
   FROM ranked)
 SELECT doc_id, size, source_size, target,

@@ -64,3 +64,36 @@ def test_rows_that_differ_in_where_nulls_are(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     mixed = mx.mixed_documents(frame)
     assert {(r["lang"], r["source"]) for r in mixed.collect()} == {(None, "a"), ("a", None)}
+
+
+def scale_by_hand(sizes, due):
+    """Certain documents by trial: the largest one goes as long as its probability reaches 1."""
+    rest, certain = sorted((s for s in sizes if s), reverse=True), []
+    while True:
+        scale = (due - sum(certain)) / sum(s * s for s in rest)
+        if scale * rest[0] < 1:
+            return scale, certain
+        certain.append(rest.pop(0))
+
+
+def test_inclusion_grows_with_size_and_large_documents_are_certain(spark):
+    # The longest documents are certain in source a, which gives two thirds of its words, and
+    # not in source b, which gives a third on top of a whole copy.
+    frame = spark.range(24000).selectExpr(
+        "id AS doc_id", "if(id % 2 = 0, 'a', 'b') AS source",
+        "repeat('w ', cast(if(id % 40 < 2, 400, id % 40) AS int)) AS text",
+    )
+    rows = mx.pareto_mix(frame).collect()
+    for source in "ab":
+        mine = [r for r in rows if r.source == source]
+        sizes = [r["size"] for r in mine]
+        due = round(mine[0].target) - mine[0].copies * mine[0].source_size
+        assert 0 < due < sum(sizes)
+        scale, certain = scale_by_hand(sizes, due)
+        assert set(certain) == ({400} if source == "a" else set())
+        assert all(r.part == r["size"] for r in mine if r["size"] in certain)
+        for size in sorted(set(sizes) - {0, *certain}):
+            group = [r.part == size for r in mine if r["size"] == size]
+            p = scale * size
+            assert abs(sum(group) / len(group) - p) < 5 * (p * (1 - p) / len(group)) ** 0.5 + 0.01
+        assert sum(r.part for r in mine) == due
