@@ -124,7 +124,8 @@ def pareto_mix(
         .alias("rest"),
     )
     odds_of = inclusion(sized, quotas)
-    quotas = quotas.join(odds_of, quotas["q_source"].eqNullSafe(odds_of["i_source"]), "left")
+    # One row per source, written so that the join below knows its size.
+    quotas = saved(quotas.join(odds_of, quotas["q_source"].eqNullSafe(odds_of["i_source"]), "left"))
     p = F.least(F.col("scale") * F.col("size"), F.lit(BELOW_ONE))
     drawn = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
     odds = F.when(F.col("size") > F.col("largest"), 0.0).when(F.col("size") > 0, drawn)
