@@ -42,7 +42,7 @@ WINDOW = 100
 GRAM = 24
 # Columns of a block this size stay in a core's own cache.
 BLOCK_BYTES = 100_000
-MOST_BYTES = 400_000
+MOST_BYTES = 4_000_000
 
 
 def byte_tokens(text: str | None):
