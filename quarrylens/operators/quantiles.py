@@ -36,6 +36,36 @@ def with_below(counts: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("below", F.col("__cum") - F.col("count")).drop("__cum")
 
 
+# Cells that one task gathers into rows.
+TASK_CELLS = 2_000_000
+# A value of more than this share of a column's cells goes to the cells, not they to it.
+FREQUENT = 1_000
+
+
+def rows_of_cells(cells: DataFrame, values: DataFrame, rows: int, columns: int, found: str) -> DataFrame:
+    """(row, f0, f1, ...) of the cells (row, k, value), none null: column k's value is replaced by the
+    column ``found`` out of ``values`` (k, value, count, found).
+
+    Cells of one value would meet it in one task, which grows with the table where a column has few
+    values. Values of more than a ``FREQUENT``-th of the rows (and of ``TASK_CELLS`` / 10) are at most
+    that many a column; they are looked up where the cells lie, whose keys then spread them."""
+    often = F.col("count") > max(rows // FREQUENT, TASK_CELLS // 10)
+    names = [F.col("k").alias("__k"), F.col("value").alias("__v")]
+    frequent = values.filter(often).select(*names, F.col(found).alias("__often"))
+    seldom = values.filter(~often).select(*names, F.col(found).alias("__seldom"))
+    tasks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows * columns // TASK_CELLS))
+    known = cells.join(F.broadcast(frequent), (F.col("k") == F.col("__k")) & (F.col("value") == F.col("__v")), "left").drop("__k", "__v")
+    done = F.col("__often").isNotNull()
+    known = known.withColumns({
+        "__m": F.when(done, -1 - F.col("k")).otherwise(F.col("k")),
+        "__n": F.when(done, F.col("row").cast("double")).otherwise(F.col("value"))})
+    met = known.join(seldom, (F.col("__m") == F.col("__k")) & (F.col("__n") == F.col("__v")), "left").select(
+        "row", "k", F.coalesce("__often", "__seldom").alias(found))
+    # Rows are dealt first: counted per task before that, they would only be held twice.
+    return met.repartition(tasks, "row").groupBy("row").agg(
+        *[F.max(F.when(F.col("k") == i, F.col(found))).alias(f"f{i}") for i in range(columns)])
+
+
 def quantiles_of_counts(cum: DataFrame, keys: list[str], probabilities, interpolation: str = "linear") -> DataFrame:
     """(keys, n, q) from value counts with ``below``: find the values at the two ranks
     around each position. Every step is a map-side combined aggregate."""

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylens.operators.quantiles import with_below
+from quarrylens.operators.quantiles import rows_of_cells, with_below
 from quarrylens.session import cut_lineage
 
 RANGE = 50_000
@@ -36,23 +36,26 @@ def column_places(df: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
     below, plus one where the value fills a range of its own; null cells stay null."""
     cells = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])
     numbered = cut_lineage(df.select(F.monotonically_increasing_id().alias("row"), cells.alias("cells")))
-    size = range_size(numbered)
+    rows = numbered.count()
+    size = max(RANGE, -(-rows // RANGES))
     long = numbered.select("row", F.inline("cells")).filter("value is not null")
-    placed = placed_values(long.groupBy("k", "value").agg(F.count(F.lit(1)).alias("count")), size)
-    met = long.join(placed, (F.col("k") == F.col("__k")) & (F.col("value") == F.col("__v")))
-    wide = met.groupBy("row").agg(F.array(*[
-        F.max(F.when(F.col("k") == i, F.col("place"))) for i in range(len(columns))]).alias("places"))
-    return cut_lineage(wide), size
+    placed = _value_places(long.groupBy("k", "value").agg(F.count(F.lit(1)).alias("count")), size)
+    wide = rows_of_cells(long, placed, rows, len(columns), "place")
+    return cut_lineage(wide.select("row", F.array(*[f"f{i}" for i in range(len(columns))]).alias("places"))), size
 
 
 def range_size(rows: DataFrame) -> int:
     return max(RANGE, -(-rows.count() // RANGES))
 
 
+def _value_places(counts: DataFrame, size: int) -> DataFrame:
+    place = F.col("below") * 2 + F.when(F.col("count") >= size, 1).otherwise(0)
+    return with_below(counts, ["k"]).withColumn("place", place)
+
+
 def placed_values(counts: DataFrame, size: int) -> DataFrame:
     """(__k, __v, place) of the value counts (k, value, count)."""
-    place = F.col("below") * 2 + F.when(F.col("count") >= size, 1).otherwise(0)
-    return with_below(counts, ["k"]).select(F.col("k").alias("__k"), F.col("value").alias("__v"), place.alias("place"))
+    return _value_places(counts, size).select(F.col("k").alias("__k"), F.col("value").alias("__v"), "place")
 
 
 def _range(place, size: int):

@@ -21,7 +21,7 @@ from quarrylens.operators import ranks as R
 from quarrylens.operators.aggregate import contingency_table
 from quarrylens.operators.ordered import Key, Ordered, attach_totals
 from quarrylens.operators.quantiles import (
-    INTERPOLATIONS, cumulative_counts, exact_quantiles, linspace, quantile_row, quantiles_of_counts, with_below,
+    INTERPOLATIONS, cumulative_counts, exact_quantiles, linspace, quantile_row, quantiles_of_counts, rows_of_cells, with_below,
 )
 
 
@@ -125,7 +125,7 @@ def _pairs(columns: list[str]) -> list[tuple[str, str]]:
 _PAIR = ["column_a", "column_b"]
 
 
-def _column_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+def _column_ranks(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
     """The rows of ``df`` with each column's values replaced by their mid-ranks: one long table
     of cells meets one table of ranked values, however many pairs are formed of it later."""
     cells = F.array(*[F.struct(F.lit(i).alias("k"), _d(c).alias("value")) for i, c in enumerate(columns)])
@@ -133,16 +133,16 @@ def _column_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     numbered = df.select(F.monotonically_increasing_id().alias("row"), cells.alias("cells"))
     long = numbered.select("row", F.inline("cells"))
     counts = long.groupBy("k", "value").agg(F.count(F.lit(1)).alias("count"))
-    ranks = with_below(counts, ["k"]).select("k", "value", (F.col("below") + (F.col("count") + 1) / 2).alias("rank"))
-    pick = [F.max(F.when(F.col("k") == i, F.col("rank"))).alias(c) for i, c in enumerate(columns)]
-    return long.join(ranks, ["k", "value"]).groupBy("row").agg(*pick).drop("row")
+    ranks = with_below(counts, ["k"]).withColumn("rank", F.col("below") + (F.col("count") + 1) / 2)
+    wide = rows_of_cells(long, ranks, rows, len(columns), "rank")
+    return wide.select(*[F.col(f"f{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def spearman_pairs(df: DataFrame, pairs) -> DataFrame:
     """Pearson correlation of mid-ranks. Columns without nulls are ranked once for all their
     pairs; a pair with a null somewhere is ranked anew after its incomplete rows are dropped."""
     columns = list(dict.fromkeys(c for pair in pairs for c in pair))
-    gaps = df.agg(*[F.count_if(_d(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    gaps = df.agg(*[F.count_if(_d(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)], F.count(F.lit(1)).alias("rows")).first()
     full = {c for i, c in enumerate(columns) if not gaps[i]}
     whole = [p for p in pairs if set(p) <= full]
     rest = [p for p in pairs if not set(p) <= full]
@@ -154,7 +154,7 @@ def spearman_pairs(df: DataFrame, pairs) -> DataFrame:
             spread = F.stddev_pop(a) * F.stddev_pop(b)
             return [F.count(a).alias("n"), F.try_divide(F.covar_pop(a, b), spread).alias("correlation")]
 
-        frames.append(_pair_aggregate(_column_ranks(df, used), whole, build))
+        frames.append(_pair_aggregate(_column_ranks(df, used, gaps["rows"]), whole, build))
     if rest:
         frames.append(_spearman_with_gaps(df, rest))
     return reduce(lambda a, b: a.unionByName(b), frames)

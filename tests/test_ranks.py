@@ -8,7 +8,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarrylens.operators import ranks
+from pyspark.sql import functions as F
+
+from quarrylens.operators import quantiles, ranks
 from quarrylens.operators import stats as sx
 
 
@@ -78,3 +80,25 @@ def test_cells_are_moved_once_per_column(spark, monkeypatch):
     places, size = ranks.column_places(frame, list("abcd"))
     assert ranks._sent(places, size, 4).count() == 500 * 4
     assert ranks.range_counts(places, size, list(combinations(range(4), 2))).count() == 6  # one range a column
+
+
+def test_frequent_values_do_not_meet_in_one_task(spark, monkeypatch):
+    """Cells of a frequent value are looked up where they lie; rare ones, zeros of both signs and NaN meet as before."""
+    monkeypatch.setattr(quantiles, "TASK_CELLS", 100)
+    rows = [(float(i % 3), float(i), [0.0, -0.0, float("nan"), 7.5][i % 4]) for i in range(900)]
+    long = spark.createDataFrame([(i, k, v) for i, r in enumerate(rows) for k, v in enumerate(r)], "row long, k int, value double")
+    counts = long.groupBy("k", "value").agg(F.count(F.lit(1)).alias("count"))
+    values = quantiles.with_below(counts, ["k"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = quantiles.rows_of_cells(long.repartition(4), values, 900, 3, "below")
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        found = {r["row"]: tuple(r[1:]) for r in wide.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    below = [{0.0: 0, 1.0: 300, 2.0: 600}, {float(i): i for i in range(900)}, None]
+    for i, (a, b, c) in enumerate(rows):
+        assert found[i] == (below[0][a], below[1][b], {0: 0, 1: 0, 2: 675, 3: 450}[i % 4])
