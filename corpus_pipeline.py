@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 0.8 of their five-word shingles or more, the one
-    with the least id stays."""
+    """Of each group of documents whose SimHash fingerprints link by Golay keys, or that share 0.8 of
+    their five-word shingles or more, the one with the least id stays."""
     return similar_texts.representatives(docs)
 
 

@@ -1,7 +1,8 @@
 """Near copies by the similarity of their shingle sets.
 
-Two texts link when the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
-A 64-bit fingerprint is too coarse for that (such pairs differ in ten bits and more), so
+Two texts link when their SimHash fingerprints link by the Golay keys of ``simhash``, or when the
+Jaccard similarity of their sets of five-word shingles is 0.8 or more. A 64-bit fingerprint is too
+coarse for all of the latter (such pairs differ in ten bits and more), so further
 candidates come from min-wise hashes: ``BANDS`` keys of ``ROWS`` least hashes each. A pair at
 similarity s shares a key with probability 1 - (1 - s^6)^40, which is 1 - 5e-6 at 0.8 and more
 above. What shares a key is compared by its whole shingle sets, so no link is wrong.
@@ -26,6 +27,7 @@ from pyspark.sql.window import Window
 from quarrylens.llm import simhash
 from quarrylens.llm.anchors import gram_hashes
 from quarrylens.llm.common import KEY, LOWER_ASCII, saved
+from quarrylens.llm.components import components
 
 SHINGLE = 5
 # Links have 5 * |common| >= 4 * |either|.
@@ -67,7 +69,8 @@ def band_keys(grams: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> list
 
 
 def set_prints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, ``fp`` (a hash of the shingle set) and ``keys``."""
+    """The columns ``keep``, ``fp`` (a hash of the shingle set), ``print`` (the SimHash fingerprint)
+    and ``keys``."""
     source = docs.select(*keep, "text")
     kept = [f"{c} {source.schema[c].dataType.simpleString()}" for c in keep]
 
@@ -77,21 +80,23 @@ def set_prints(docs: DataFrame, keep: list[str]) -> DataFrame:
 
         drawn = draws()
         for batch in batches:
-            fps, keys = [], []
+            fps, prints, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 grams = shingles(text)
                 fps.append(xxhash.xxh64_intdigest(grams.tobytes()))
+                prints.append(simhash.fingerprint(text))
                 keys.append(band_keys(grams, *drawn))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in keep),
                     pa.array(np.array(fps, np.uint64).view(np.int64)),
+                    pa.array(np.array(prints, np.uint64).view(np.int64)),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=[*keep, "fp", "keys"],
+                names=[*keep, "fp", "print", "keys"],
             )
 
-    return source.mapInArrow(run, ", ".join([*kept, "fp long", "keys array<bigint>"]))
+    return source.mapInArrow(run, ", ".join([*kept, "fp long", "print long", "keys array<bigint>"]))
 
 
 def spanning_links(fps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -182,11 +187,26 @@ def similar_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     return dealt.select("bucket", "fp", "grams").mapInArrow(linked, "u long, v long")
 
 
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """Links (u, v) of ``fp`` that connect the sets whose fingerprints (``print``) are equal or reach
+    each other by Golay links."""
+    pairs = saved(prints.select("fp", "print").distinct())
+    roots = saved(components(simhash.golay_links(pairs.select(F.col("print").alias("fp")).distinct())))
+    rooted = pairs.join(roots, F.col("print") == F.col("node"), "left").select(
+        "fp", F.coalesce("root", "print").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("fp").alias("u"))
+    return rooted.join(least, "root").select("u", F.col("fp").alias("v")).where("u <> v").distinct()
+
+
 def similar_groups(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     """As ``simhash.near_duplicate_groups``, with the rule of this module; ``docs`` has the row
     key."""
     prints = saved(set_prints(docs, list(dict.fromkeys(["doc_id", *KEY, *keep]))))
-    return simhash.named_groups(prints.drop("keys"), lambda _: similar_links(docs, prints), keep)
+    return simhash.named_groups(
+        prints.drop("keys", "print"),
+        lambda _: fingerprint_links(prints).unionByName(similar_links(docs, prints.drop("print"))),
+        keep,
+    )
 
 
 def representatives(docs: DataFrame) -> DataFrame:

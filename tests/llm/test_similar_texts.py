@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as cp
+from quarrylens.llm import simhash
 from quarrylens.llm import similar_texts as st
 
 
@@ -57,3 +58,16 @@ def test_awkward_rows(docs, empty, clash):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 3, 5, 6, 7, 8] and ids.count(None) == 1
     assert st.representatives(empty).count() == 0
+
+
+def test_stage_joins_by_fingerprints_too(spark, docs):
+    """Texts of nearly one fingerprint that share less than 0.8 of their shingles go as one."""
+    rng = random.Random(1)
+    words = [f"word{i}" for i in range(3000)]
+    body = " ".join(" ".join(rng.choice(words) for _ in range(60)).split() * 200)
+    tail = lambda: " " + " ".join(rng.choice(words) for _ in range(30))
+    texts = [body + tail(), body + tail(), tail() * 3]
+    a, b, c = (simhash.fingerprint(t) for t in texts)
+    assert (a ^ b).bit_count() <= 3 < (a ^ c).bit_count() and similarity(*texts[:2]) < 0.8
+    frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], docs.schema)
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, frame, None).collect()) == [0, 2]
