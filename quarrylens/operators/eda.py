@@ -66,7 +66,7 @@ def analyze_categorical_eda(df: DataFrame, columns=None, rare_threshold: float =
                             high_cardinality_threshold: int = 50) -> DataFrame:
     columns = require_columns(df, columns) if columns else eda_categories(df)
     require(bool(columns), "NO_CATEGORICAL_COLUMNS")
-    counts = attach_totals(value_counts(df, columns, as_type="string"), ["column"], __n=F.sum("count"))
+    counts = attach_totals(value_counts(df, columns, as_type="string"), ["column"], few=True, __n=F.sum("count"))
     share = F.col("count") / F.col("__n")
     top = F.struct(F.col("count"), F.col("value"))
     t = counts.groupBy("column").agg(
@@ -98,7 +98,7 @@ def analyze_categorical_eda(df: DataFrame, columns=None, rare_threshold: float =
 def top_values(df: DataFrame, columns=None, top_n: int = 10) -> DataFrame:
     """Most frequent values per column with shares; ranked on value counts, not on rows."""
     columns = require_columns(df, columns) if columns else categorical_columns(df)
-    counts = attach_totals(value_counts(df, columns, as_type="string"), ["column"], __n=F.sum("count"))
+    counts = attach_totals(value_counts(df, columns, as_type="string"), ["column"], few=True, __n=F.sum("count"))
     ranked = Ordered(counts, ["column"], [Key("count", ascending=False), Key("value")]).number("rank").df
     return ranked.filter(F.col("rank") <= top_n).select(
         "column", "rank", "value", "count", (F.col("count") / F.col("__n")).alias("share"))
@@ -231,7 +231,7 @@ def explore_distributions(df: DataFrame, columns=None) -> DataFrame:
     base = S.analyze_distributions(df, columns, [0.01, 0.05, 0.1, 0.9, 0.95, 0.99])
     cum = cumulative_counts(df, columns)
     mid = base.select(F.col("column").alias("mc"), F.col("median").alias("mid"), F.col("count").alias("n"))
-    near = cum.join(mid, F.col("column") == F.col("mc"))
+    near = cum.join(F.broadcast(mid), F.col("column") == F.col("mc"))
     away = near.groupBy("column", F.abs(F.col("value") - F.col("mid")).alias("value")).agg(F.sum("count").alias("count"))
     mad = quantiles_of_counts(with_below(away, ["column"]), ["column"], [0.5]).select(
         F.col("column").alias("dc"), F.col("q")[0].alias("mad"))
@@ -265,7 +265,7 @@ def ecdf_points(df: DataFrame, columns=None, points: int = 100) -> DataFrame:
     """(column, x, p) at evenly spaced ranks. Each value finds the point numbers that fall
     into its own run of ranks, so no rank is looked up by a range join."""
     require(5 <= points <= 1000, "INVALID_ECDF_POINTS")
-    cum = attach_totals(cumulative_counts(df, S._numeric(df, columns)), ["column"], __n=F.sum("count"))
+    cum = attach_totals(cumulative_counts(df, S._numeric(df, columns)), ["column"], few=True, __n=F.sum("count"))
     n = F.col("__n")
     m = F.least(F.lit(points), n)
     step = (n - 1) / F.greatest(m - 1, F.lit(1))
@@ -374,7 +374,7 @@ def detect_findings(df: DataFrame, high_missing_threshold: float = 0.2, strong_c
     out.append(add(dup.filter("redundant_rows > 0"), "DUPLICATE_ROWS", F.when(rate >= 0.1, "high").otherwise("medium"),
                    "quality", F.lit(""), rate, 75 + 100 * rate))
 
-    counts = attach_totals(value_counts(df, names, as_type="string"), ["column"], __n=F.sum("count"))
+    counts = attach_totals(value_counts(df, names, as_type="string"), ["column"], few=True, __n=F.sum("count"))
     share = F.col("count") / F.col("__n")
     facts = counts.groupBy("column").agg(F.max("__n").alias("valid"), F.count(F.lit(1)).alias("uniq"),
                                          F.max(share).alias("top"), F.count_if(share < 0.01).alias("rare"))

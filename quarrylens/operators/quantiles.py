@@ -70,7 +70,7 @@ def quantiles_of_counts(cum: DataFrame, keys: list[str], probabilities, interpol
     """(keys, n, q) from value counts with ``below``: find the values at the two ranks
     around each position. Every step is a map-side combined aggregate."""
     qs = [float(q) for q in probabilities]
-    rows = attach_totals(cum, keys, __n=F.sum("count"))
+    rows = attach_totals(cum, keys, few=keys == ["column"], __n=F.sum("count"))
     picks = []
     for i, q in enumerate(qs):
         pos = (F.col("__n") - 1) * F.lit(q)

@@ -329,7 +329,7 @@ def analyze_distributions(df: DataFrame, columns=None, quantiles=None) -> DataFr
     iqr = q[2] - q[0]
     low, high = q[0] - 1.5 * iqr, q[2] + 1.5 * iqr
     side = facts.select(F.col("vc").alias("oc"), low.alias("lo"), high.alias("hi"))
-    outliers = cum.join(side, F.col("column") == F.col("oc")).groupBy("oc").agg(
+    outliers = cum.join(F.broadcast(side), F.col("column") == F.col("oc")).groupBy("oc").agg(
         F.coalesce(F.sum(F.when((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")), F.col("count"))),
                    F.lit(0)).alias("iqr_outlier_count"))
     t = moments(df, columns).join(facts, F.col("column") == F.col("vc"), "left").join(
@@ -378,7 +378,7 @@ def analyze_normality(df: DataFrame, columns=None, alpha: float = 0.05) -> DataF
     m = moments(df, columns)
     stats = m.select(F.col("column").alias("mc"), "mean", F.sqrt("variance").alias("sd"))
     cum = cumulative_counts(df, columns).join(stats, F.col("column") == F.col("mc"))
-    cum = attach_totals(cum, ["column"], __n=F.sum("count"))
+    cum = attach_totals(cum, ["column"], few=True, __n=F.sum("count"))
     z = (F.col("value") - F.col("mean")) / F.col("sd")
     lo, hi, n = F.col("below").cast("double"), (F.col("below") + F.col("count")).cast("double"), F.col("__n")
     # Sum of (2i-1) over a run of equal values is a difference of squares, from either end.

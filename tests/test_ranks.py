@@ -102,3 +102,19 @@ def test_frequent_values_do_not_meet_in_one_task(spark, monkeypatch):
     below = [{0.0: 0, 1.0: 300, 2.0: 600}, {float(i): i for i in range(900)}, None]
     for i, (a, b, c) in enumerate(rows):
         assert found[i] == (below[0][a], below[1][b], {0: 0, 1: 0, 2: 675, 3: 450}[i % 4])
+
+
+def test_values_do_not_meet_by_column_name(spark):
+    """Facts of a column go to its values; met by name, all values of a column would lie in one task."""
+    df = spark.createDataFrame([(float(i * 7 % 50), float(i)) for i in range(200)], "a double, b double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cum = quantiles.cumulative_counts(df, ["a", "b"])
+        found = quantiles.quantiles_of_counts(cum, ["column"], [0.5])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {r["column"]: r["q"][0] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and got == {"a": 24.5, "b": 99.5}
