@@ -15,12 +15,18 @@ different pieces. Where these come to more than ``most`` tokens, the pieces are
 runs (halfway to the window each time), which reach into the surroundings and so part them. The
 last length is the window itself: pieces of one anchor are then equal, and nothing is left to
 compare. So no closer look ever gets more than ``most`` tokens of one anchor.
+
+Cutting again reads the texts once more where they lie and moves hashes only; the pieces of all
+lengths are fetched together, in the one shuffle of the texts that the answer needs anyway. The
+hot anchors go along as cells, a fixed number of remainders of their hashes. A piece that shares
+a cell with a hot anchor by chance is cut again too, which repeats spans and loses none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,6 +38,8 @@ from quarrylens.llm.common import saved
 GONE, PIECE, HOT = 0, 1, 2
 # Places of a text are packed beside its hashes; longer texts are cut into parts of this many bits.
 PLACE_BITS = 27
+# Remainders that name hot anchors: 8 MB of them at the most.
+CELLS = 1 << 20
 ROW = "fp long, ph long, doc long, start int, n int, kind int"
 FETCHED = "fp long, doc long, start int, n int, content binary"
 SPANS = "doc long, a int, b int"
@@ -109,29 +117,43 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def piece_rows(source: DataFrame, rule: Rule) -> DataFrame:
-    """All pieces of texts (doc, text), or of pieces (doc, start, content) cut before; in-batch
-    copies are already marked as gone."""
-    again = "content" in source.columns
+def pieces(text: tuple, rule: Rule, levels: list[tuple]):
+    """(hash, hash of the content, first window, number of windows) of the pieces of a text (tokens,
+    bytes, bytes per token). ``levels`` are pairs of a run length and the cells of its hot anchors:
+    only their pieces are cut by the next length, the last one being the rule's."""
+    tokens, content, size = text
+    fp, first, count = anchors(tokens, rule.window, levels[0][0] if levels else rule.gram)
+    if levels:
+        hot = np.isin(fp & np.uint64(CELLS - 1), levels[0][1])
+        fp, first, count = fp[hot], first[hot], count[hot]
+    stops = first + count + rule.window - 1
+    parts = [content[a:b] for a, b in zip((first * size).tolist(), (stops * size).tolist(), strict=True)]
+    if not levels:
+        import xxhash
+
+        return fp, np.array([xxhash.xxh64_intdigest(p) for p in parts], np.uint64), first, count
+    whole, places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = [(whole, whole, places, places)]
+    for base, part in zip(first, parts, strict=True):
+        fp, ph, start, n = pieces(rule.read(part), rule, levels[1:])
+        found.append((fp, ph, start + base, n))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def piece_rows(docs: DataFrame, rule: Rule, levels: list[tuple] = ()) -> DataFrame:
+    """All pieces of texts (doc, text), or of their hot pieces (see ``pieces``); in-batch copies are
+    already marked as gone."""
 
     def run(batches: Iterator):
         import pyarrow as pa
-        import xxhash
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            numbers = batch.column("doc").to_pylist()
-            texts = batch.column("content" if again else "text").to_pylist()
-            bases = batch.column("start").to_pylist() if again else [0] * len(numbers)
             parts = []
-            for doc, base, text in zip(numbers, bases, texts, strict=True):
-                tokens, content, size = rule.read(text) if again else rule.tokens(text)
-                fp, first, count = anchors(tokens, rule.window, rule.gram)
-                stops = first + count + rule.window - 1
-                spans = zip((first * size).tolist(), (stops * size).tolist(), strict=True)
-                ph = [xxhash.xxh64_intdigest(content[a:b]) for a, b in spans]
-                parts.append((fp, np.array(ph, np.uint64), np.full(len(fp), doc), first + base, count))
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                fp, ph, first, count = pieces(rule.tokens(text), rule, levels)
+                parts.append((fp, ph, np.full(len(fp), doc), first, count))
             fp, ph, doc, first, count = (np.concatenate(x) for x in zip(*parts, strict=True))
             fp, ph = _signed(fp), _signed(ph)
             order = np.lexsort((first, doc, ph, fp))
@@ -155,8 +177,7 @@ def piece_rows(source: DataFrame, rule: Rule) -> DataFrame:
                 names=["fp", "ph", "doc", "start", "n", "kind"],
             )
 
-    columns = ["doc", "start", "content"] if again else ["doc", "text"]
-    return source.select(*columns).mapInArrow(run, ROW)
+    return docs.select("doc", "text").mapInArrow(run, ROW)
 
 
 def settled(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -216,26 +237,31 @@ def repeated_spans(docs: DataFrame, rule: Rule, engine: Callable) -> DataFrame:
     """Spans (doc, a, b) of tokens that lie in windows with an earlier occurrence. ``docs``
     has (doc, doc_id, text); ``engine`` gets the fetched pieces of whole anchors, sorted by anchor and
     document, and yields spans."""
-    return compared(saved(settled(piece_rows(docs, rule), rule)), docs, rule, engine)
-
-
-def compared(found: DataFrame, docs: DataFrame, rule: Rule, engine: Callable) -> DataFrame:
-    """The spans of settled pieces; hot anchors are cut again by longer runs, two or more times
-    until the run is the window."""
-    window = rule.window
+    found = all_settled(docs, rule)
     gone = found.where(F.col("kind") == GONE).select(
-        "doc", F.col("start").alias("a"), (F.col("start") + F.col("n") + (window - 1)).alias("b")
+        "doc", F.col("start").alias("a"), (F.col("start") + F.col("n") + (rule.window - 1)).alias("b")
     )
-    pieces = fetched(found.where(F.col("kind") == PIECE), docs, rule)
-    dealt = pieces.repartition("fp").sortWithinPartitions("fp", "doc", "start")
-    spans = gone.union(dealt.mapInArrow(engine, SPANS))
-    hot = found.where(F.col("kind") == HOT)
-    if rule.gram == window or hot.isEmpty():
-        return spans
-    longer = (rule.gram + window) // 2
-    finer = replace(rule, gram=longer if longer - rule.gram > window // 4 else window)
-    again = saved(settled(piece_rows(fetched(hot, docs, rule), finer), finer))
-    return spans.union(compared(again, docs, finer, engine))
+    fetch = fetched(found.where(F.col("kind") == PIECE), docs, rule)
+    dealt = fetch.repartition("fp").sortWithinPartitions("fp", "doc", "start")
+    return gone.union(dealt.mapInArrow(engine, SPANS))
+
+
+def all_settled(docs: DataFrame, rule: Rule) -> DataFrame:
+    """The settled pieces of the rule's run length and, where anchors are hot, of the longer ones up
+    to the window."""
+    found, levels = [], []
+    while True:
+        found.append(saved(settled(piece_rows(docs, rule, levels), rule)))
+        if rule.gram == rule.window:
+            break
+        cell = F.col("fp").bitwiseAND(F.lit(CELLS - 1)).alias("cell")
+        hot = found[-1].where(F.col("kind") == HOT).select(cell).distinct().collect()
+        if not hot:
+            break
+        levels = [*levels, (rule.gram, np.array([r.cell for r in hot], np.uint64))]
+        longer = (rule.gram + rule.window) // 2
+        rule = replace(rule, gram=longer if longer - rule.gram > rule.window // 4 else rule.window)
+    return reduce(DataFrame.union, found)
 
 
 def whole_groups(batches: Iterator, bound: int) -> Iterator[list[tuple]]:

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 
+from quarrylens.llm import anchors as an
 from quarrylens.llm import suffix_array as sa
 from quarrylens.llm import substring_automata as su
 from quarrylens.llm.anchors import Rule, anchors, gram_hashes, numbered, piece_rows, settled
@@ -176,6 +177,20 @@ def test_hot_anchors_of_words_are_cut_again(spark, docs):
     assert spans_of(su.repeated_word_spans(rows, most=0)) == want and want
 
 
+def test_hot_anchors_move_no_texts(spark, docs, monkeypatch):
+    """Cutting again shuffled the texts once more per length; now one fetch serves all lengths."""
+    calls = []
+    fetch = an.fetched
+    monkeypatch.setattr(an, "fetched", lambda *a: calls.append(a) or fetch(*a))
+    rows = numbered(around(spark, extra(spark, docs), prose(30, 9)))
+    want = spans_of(su.repeated_word_spans(rows))
+    assert len(calls) == 1
+    # Few cells: pieces that are not hot are cut again as well, with the same result.
+    monkeypatch.setattr(an, "CELLS", 2)
+    assert spans_of(su.repeated_word_spans(rows, most=300)) == want
+    assert len(calls) == 2
+
+
 def test_texts_longer_than_the_place_bits(monkeypatch):
     rng = np.random.default_rng(8)
     text = rng.integers(0, 20, 3000).astype(np.uint64)
