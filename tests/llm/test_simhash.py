@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
+from quarrylens.llm import components as cc
 from quarrylens.llm import simhash as sm
+from quarrylens.llm.common import saved
 from quarrylens.llm.components import components
 
 
@@ -85,6 +88,19 @@ def test_long_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("finish", "written"), [(10_000, 1), (0, None)])
+def test_small_edge_tables_write_no_rounds(spark, monkeypatch, finish, written):
+    """Every round wrote its edges and shuffles; a small table now needs none, and rounds agree."""
+    calls = []
+    monkeypatch.setattr(cc, "saved", lambda df: calls.append(df) or saved(df))
+    monkeypatch.setattr(cc, "FINISH", finish)
+    links = [(i, i + 1) for i in range(60, 90)] + [(3, 7), (7, 3), (-4, 7), (5, 5)]
+    rows = components(spark.createDataFrame(links, "u long, v long")).collect()
+    want = [(i, 60) for i in range(60, 91)] + [(i, -4) for i in (-4, 3, 7)]
+    assert sorted((r.node, r.root) for r in rows) == sorted(want)
+    assert len(calls) == written if written else len(calls) > 1
+
+
 def test_query_and_representatives(spark, docs, empty, clash, write):
     rows = sm.op9_simhash_golay(spark, write(documents=docs)).collect()
     assert len(rows) == docs.count()
