@@ -15,7 +15,7 @@ from quarrylens.operators import stats as S
 from quarrylens.operators.cells import group_moments, pair_cells, rank_sums
 from quarrylens.operators.cleaning import duplicate_metrics
 from quarrylens.operators.ordered import Key, Ordered, attach_totals
-from quarrylens.operators.quantiles import cumulative_counts, quantiles_of_counts, value_counts, with_below
+from quarrylens.operators.quantiles import counted_once, cumulative_counts, quantiles_of_counts, value_counts, with_below
 from quarrylens.session import cut_lineage
 
 
@@ -447,6 +447,7 @@ def detect_findings(df: DataFrame, high_missing_threshold: float = 0.2, strong_c
 def generate_eda_report(df: DataFrame) -> dict[str, DataFrame]:
     """Nine lazy sections; a section that does not apply to the schema is left out."""
     numbers, cats = numeric_columns(df), categorical_columns(df)
+    df = counted_once(df, numbers)
     out = {"findings": detect_findings(df)}
     if numbers:
         out["numeric"] = analyze_numeric_eda(df, numbers)
@@ -461,7 +462,8 @@ def generate_eda_report(df: DataFrame) -> dict[str, DataFrame]:
         if len(few) >= 2:
             out["categorical_relationships"] = analyze_categorical_relationships(df, few)
     if numbers and cats:
-        groups = analyze_numeric_categorical_relationships(df, numbers, cats)
+        # A row per pair of columns, which the best comparisons read again.
+        groups = cut_lineage(analyze_numeric_categorical_relationships(df, numbers, cats))
         out["group_relationships"] = groups
         if "eta_squared" in groups.columns:
             out["best_group_comparisons"] = groups.filter("eta_squared is not null").orderBy(

@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 from quarrylens.errors import require
 from quarrylens.operators.ordered import Key, Ordered, attach_totals, fits_one_task
+from quarrylens.session import cut_lineage
 
 INTERPOLATIONS = ("linear", "lower", "higher", "midpoint", "nearest")
+COUNTS = "_value_counts"
+BELOW = "below"
 
 
 def value_counts(df: DataFrame, columns: list[str], keys=(), as_type: str = "double") -> DataFrame:
     """Long (keys, column, value, count); combines map-side, so repeated values are cheap."""
     keys = list(keys)
+    known = None if keys else _known(df, as_type, columns)
+    if known is not None:
+        return known.select("column", "value", "count")
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast(as_type).alias("value")) for c in columns
     ]))
@@ -26,8 +32,34 @@ def value_counts(df: DataFrame, columns: list[str], keys=(), as_type: str = "dou
     )
 
 
+def _known(df: DataFrame, kind: str, columns: list[str]) -> DataFrame | None:
+    names, counts = getattr(df, COUNTS, {}).get(kind, ((), None))
+    if counts is None or len(set(columns)) < len(columns) or not set(columns) <= set(names):
+        return None
+    return counts if set(columns) == set(names) else counts.filter(F.col("column").isin(*columns))
+
+
+def with_counts(df: DataFrame, kind: str, columns: list[str], counts: DataFrame) -> DataFrame:
+    """``df`` with value counts that are known of it, by type of the values or as ``BELOW``."""
+    out = df.select("*")
+    setattr(out, COUNTS, {**getattr(df, COUNTS, {}), kind: (tuple(columns), counts)})
+    return out
+
+
+def counted_once(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with the ordered counts of ``columns`` computed at once and written to the shared folder, for
+    reports whose sections each read them: ordering them is most of such a section's work."""
+    if not columns or _known(df, BELOW, columns) is not None:
+        return df
+    counts = cut_lineage(cumulative_counts(df, columns))
+    return with_counts(with_counts(df, BELOW, columns, counts), "double", columns, counts)
+
+
 def cumulative_counts(df: DataFrame, columns: list[str], keys=()) -> DataFrame:
     """value_counts plus ``below`` (rows with a smaller value) within (keys, column)."""
+    known = None if keys else _known(df, BELOW, columns)
+    if known is not None:
+        return known
     return with_below(value_counts(df, columns, keys), [*keys, "column"])
 
 

@@ -21,7 +21,7 @@ from quarrylens.operators import ranks as R
 from quarrylens.operators.aggregate import contingency_table
 from quarrylens.operators.ordered import Key, Ordered, attach_totals
 from quarrylens.operators.quantiles import (
-    INTERPOLATIONS, cumulative_counts, exact_quantiles, linspace, quantile_row, quantiles_of_counts, rows_of_cells, with_below,
+    INTERPOLATIONS, counted_once, cumulative_counts, exact_quantiles, linspace, quantile_row, quantiles_of_counts, rows_of_cells, with_below,
 )
 
 
@@ -1043,10 +1043,12 @@ MISSING_PCT, VARIABILITY, STRONG_R, STRONG_PAIRS = 20, 1, 0.7, 5
 
 def generate_statistics_report(df: DataFrame, columns=None, alpha: float = 0.05, sections=None) -> dict[str, DataFrame]:
     """The sections asked for plus findings drawn from them and warnings (section, code, message)
-    of those that could not be made; sections stay lazy."""
+    of those that could not be made. Sections stay lazy over value counts that they share."""
     columns = _numeric(df, columns)
     wanted = list(SECTIONS if sections is None else sections)
     require(set(wanted) <= set(SECTIONS), "INVALID_SECTION", sections=sorted(set(wanted) - set(SECTIONS)))
+    if {"descriptive", "distribution", "normality"} & set(wanted):
+        df = counted_once(df, columns)
     makers = {
         "descriptive": lambda: analyze_descriptive_statistics(df, columns),
         "percentiles": lambda: analyze_percentiles(df, columns),

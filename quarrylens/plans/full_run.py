@@ -14,8 +14,10 @@ from quarrylens.operators.business import build_bi_report
 from quarrylens.operators.charts import recommend_charts
 from quarrylens.operators.eda import generate_eda_report
 from quarrylens.operators.quality import quality_frames
+from quarrylens.operators.quantiles import counted_once, with_counts
 from quarrylens.operators.stats import generate_statistics_report
 from quarrylens.plans.recipe import safe_clean_frame
+from quarrylens.session import cut_lineage
 from quarrylens.sources.versions import VersionStore
 
 
@@ -23,10 +25,13 @@ from quarrylens.sources.versions import VersionStore
 NO_CHART = {"INSUFFICIENT_COLUMNS", "INVALID_INTENT"}
 
 
-def analysis_sections(df: DataFrame) -> dict[str, DataFrame]:
-    """Every section of the analysis of one table, lazy, by name."""
-    body = df.drop(ROW_ID)
-    out = {f"quality.{k}": v for k, v in quality_frames(df, keep=False).items() if k != "value_counts"}
+def analysis_sections(df: DataFrame, quality: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Every section of the analysis of one table, lazy, by name. The quality sections are those
+    given, or made here; the others share their value counts."""
+    quality = quality_frames(df, keep=False) if quality is None else quality
+    body = with_counts(df.drop(ROW_ID), "string", data_columns(df), quality["value_counts"])
+    body = counted_once(body, numeric_columns(body))
+    out = {f"quality.{k}": v for k, v in quality.items() if k != "value_counts"}
     if numeric_columns(body):
         out.update({f"statistics.{k}": v for k, v in generate_statistics_report(body).items()})
     out.update({f"eda.{k}": v for k, v in generate_eda_report(body).items()})
@@ -60,12 +65,14 @@ def run_full_analysis(store: VersionStore, df: DataFrame, dataset: str, output:
     first = store.write(df, dataset, step="import", health_score=first_health["score"])
     raw = store.read(dataset, first["version_number"])
     before = first_health
-    cleaned = safe_clean_frame(raw)
+    # Quality and the store read the cleaned rows many times.
+    cleaned = cut_lineage(safe_clean_frame(raw))
     clean_health = _health(cleaned)
     second = store.write(cleaned, dataset, step="safe_clean", parameters={"before": before["score"]},
                          health_score=clean_health["score"])
     clean = store.read(dataset, second["version_number"])
-    sections = analysis_sections(clean)
+    quality = quality_frames(clean)
+    sections = analysis_sections(clean, quality)
 
     def save(item):
         name, frame = item
@@ -75,6 +82,8 @@ def run_full_analysis(store: VersionStore, df: DataFrame, dataset: str, output:
 
     with ThreadPoolExecutor(workers) as pool:
         written = dict(pool.map(save, sections.items()))
+    for frame in quality.values():
+        frame.unpersist()
     after = clean.sparkSession.read.parquet(written["quality.health"]).first().asDict()
     return {"versions": [first, second], "sections": written, "health_before": before, "health_after": after}
 
