@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarrylens.errors import require
@@ -143,14 +144,22 @@ class Ordered:
             return self
 
         inputs = {f"__in_{n}": c for n, (_, c) in specs.items()}
-        local = self._df.withColumns(inputs).withColumns(
+        given = self._df.withColumns(inputs)
+        local = given.withColumns(
             {_LOCAL: F.row_number().over(w), **{n: fn[k](F.col(f"__in_{n}")) for n, (k, _) in specs.items()}}
         )
-        ends = []
-        for n, (k, _) in specs.items():
-            source = f"__in_{n}" if k == "prev" else n
-            ends.append(F.max_by(F.struct(source), _LOCAL)[source].alias(f"__end_{n}"))
-        summary = local.groupBy(*self.keys, CHUNK).agg(*ends)
+        whole = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
+        exact = all(k in whole and (k != "sum" or isinstance(given.schema[f"__in_{n}"].dataType, T.IntegralType))
+                    for n, (k, _) in specs.items())
+        if exact:
+            # What a range ends with is its total, in any order; the rows need not be sorted for it.
+            ends = [whole[k](f"__in_{n}").alias(f"__end_{n}") for n, (k, _) in specs.items()]
+        else:
+            ends = []
+            for n, (k, _) in specs.items():
+                source = f"__in_{n}" if k == "prev" else n
+                ends.append(F.max_by(F.struct(source), _LOCAL)[source].alias(f"__end_{n}"))
+        summary = (given if exact else local).groupBy(*self.keys, CHUNK).agg(*ends)
         chunk_order = F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()
         cw = (Window.partitionBy(*self.keys) if self.keys else Window.partitionBy(F.lit(0))).orderBy(chunk_order)
         before = cw.rowsBetween(Window.unboundedPreceding, -1)

@@ -60,7 +60,11 @@ def cumulative_counts(df: DataFrame, columns: list[str], keys=()) -> DataFrame:
     known = None if keys else _known(df, BELOW, columns)
     if known is not None:
         return known
-    return with_below(value_counts(df, columns, keys), [*keys, "column"])
+    counts = value_counts(df, columns, keys)
+    if keys or _known(df, "double", columns) is None:
+        # Sizes, ranges and rows are three readings; the cells are counted for the first only.
+        counts = cut_lineage(counts)
+    return with_below(counts, [*keys, "column"])
 
 
 def with_below(counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -65,13 +65,14 @@ def run_full_analysis(store: VersionStore, df: DataFrame, dataset: str, output:
     first = store.write(df, dataset, step="import", health_score=first_health["score"])
     raw = store.read(dataset, first["version_number"])
     before = first_health
-    # Quality and the store read the cleaned rows many times.
+    # Quality and the store read the cleaned rows many times; the store gives the same rows back, so
+    # the quality that the version is written with is that of the sections too.
     cleaned = cut_lineage(safe_clean_frame(raw))
-    clean_health = _health(cleaned)
+    quality = quality_frames(cleaned)
+    clean_health = quality["health"].first().asDict()
     second = store.write(cleaned, dataset, step="safe_clean", parameters={"before": before["score"]},
                          health_score=clean_health["score"])
     clean = store.read(dataset, second["version_number"])
-    quality = quality_frames(clean)
     sections = analysis_sections(clean, quality)
 
     def save(item):
